@@ -1,0 +1,5 @@
+"""Reserved for streaming variants.
+
+Every operator of this library is a batch operator; there is no stream source, watermark or
+stateful step to provide, so this package is intentionally empty.
+"""
