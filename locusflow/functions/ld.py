@@ -165,8 +165,8 @@ def dprime_from_haplotypes(h: Column) -> Column:
 
 
 def _quotient(top: Column, bottom: Column) -> Column:
-    """Floating-point division: NaN for 0/0 instead of an error."""
-    return F.when(bottom == 0, F.lit(float("nan"))).otherwise(top / bottom)
+    """Floating-point division: NaN for 0/0 and for unknown proportions instead of an error or NULL."""
+    return F.coalesce(F.when(bottom != 0, top / bottom), F.lit(float("nan")))
 
 
 def is_conflict(ld: Column, threshold: float) -> Column:

@@ -157,17 +157,19 @@ def ld_matrix(
 
 
 def orient(pairs: DataFrame, start: int | None, cross_boundary: bool = False) -> DataFrame:
-    """Pairs ``j < i`` → (later, earlier) in scan order.
+    """Pairs ``j < i`` → (scan, later, earlier) in scan order; ``scan`` is the contig unless given.
 
     From ``start`` the scan runs upward, below it downward; the two scans ignore each other unless
     ``cross_boundary`` lets the downward scan see what the upward scan kept.
     """
+    if "scan" not in pairs.columns:
+        pairs = pairs.withColumn("scan", F.col("contig"))
     if start is None:
-        return pairs.select("contig", F.col("i").alias("later"), F.col("j").alias("earlier"))
+        return pairs.select("scan", F.col("i").alias("later"), F.col("j").alias("earlier"))
     up_i, up_j = F.col("i") >= start, F.col("j") >= start
     kept = pairs if cross_boundary else pairs.filter(up_i == up_j)
     return kept.select(
-        "contig",
+        "scan",
         F.when(up_j, F.col("i")).otherwise(F.col("j")).alias("later"),
         F.when(up_j, F.col("j")).otherwise(F.col("i")).alias("earlier"),
     )
@@ -199,36 +201,35 @@ def _settle(start: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
                     verdict = 2
             state[int(nodes[r])] = verdict
         return pd.DataFrame(
-            {"contig": edges["contig"].iloc[0], "node": list(state), "state": list(state.values())}
+            {"scan": edges["scan"].iloc[0], "node": list(state), "state": list(state.values())}
         )
 
     return settle
 
 
 def greedy_dropped(edges: DataFrame, start: int | None = None, segment: int = SEGMENT) -> DataFrame:
-    """SNPs the greedy scan drops, from the conflict edges (contig, later, earlier).
+    """SNPs (scan, node) the greedy scan drops, from the conflict edges (scan, later, earlier).
 
     A SNP is dropped when an earlier neighbour is kept and kept when all earlier neighbours are
     dropped. Each round settles whole segments in parallel and hands the outcome over to the segments
-    that wait for it; edges of settled SNPs leave the table, which is checkpointed every round.
+    that wait for it; edges of settled SNPs leave the table, which is checkpointed every round. All
+    scans advance together.
     """
     edges = cut_lineage(edges)
-    dropped = edges.select("contig", F.col("later").alias("node")).limit(0)
+    dropped = edges.select("scan", F.col("later").alias("node")).limit(0)
     while not edges.isEmpty():
-        waiting = edges.select("contig", F.col("later").alias("earlier")).distinct().withColumn("open", F.lit(True))
-        flagged = edges.join(waiting, ["contig", "earlier"], "left").withColumn(
-            "open", F.coalesce("open", F.lit(False))
-        )
+        waiting = edges.select("scan", F.col("later").alias("earlier")).distinct().withColumn("open", F.lit(True))
+        flagged = edges.join(waiting, ["scan", "earlier"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         settled = cut_lineage(
-            flagged.groupBy("contig", F.floor(F.col("later") / segment).alias("_g"))
-            .applyInPandas(_settle(start), "contig string, node long, state int")
+            flagged.groupBy("scan", F.floor(F.col("later") / segment).alias("_g"))
+            .applyInPandas(_settle(start), "scan string, node long, state int")
             .filter("state <> 2")
         )
-        out = settled.filter("state = 0").select("contig", "node")
+        out = settled.filter("state = 0").select("scan", "node")
         dropped = dropped.unionByName(out)
         edges = cut_lineage(
-            edges.join(settled.select("contig", F.col("node").alias("later")), ["contig", "later"], "left_anti").join(
-                out.withColumnRenamed("node", "earlier"), ["contig", "earlier"], "left_anti"
+            edges.join(settled.select("scan", F.col("node").alias("later")), ["scan", "later"], "left_anti").join(
+                out.withColumnRenamed("node", "earlier"), ["scan", "earlier"], "left_anti"
             )
         )
     return dropped
@@ -239,7 +240,7 @@ def prune_from_pairs(
 ) -> DataFrame:
     """Kept SNPs (contig, idx), given LD values of the windowed pairs."""
     conflicts = orient(pairs.filter(LD.is_conflict(F.col("ld"), threshold)), start, cross_boundary)
-    dropped = greedy_dropped(conflicts, start).withColumnRenamed("node", "idx")
+    dropped = greedy_dropped(conflicts, start).select(F.col("scan").alias("contig"), F.col("node").alias("idx"))
     return snps.select("contig", "idx").join(dropped, ["contig", "idx"], "left_anti")
 
 
@@ -281,21 +282,26 @@ def ld_prune_grid(
     idx: str = "idx",
     pos: str = "start",
 ) -> DataFrame:
-    """Pruning over a parameter grid. Pairs are computed once; grid points are independent."""
-    from .calls import maf_filter
+    """Pruning over a parameter grid.
 
+    Pairs are computed once, grid points are independent scans that are settled in the same rounds.
+    """
+    points = [
+        F.struct(F.lit(f"{t}/{m}").alias("point"), F.lit(float(t)).alias("threshold"), F.lit(m).cast("double").alias("maf"))
+        for m in (None if m is None or m != m else float(m) for m in mafs)
+        for t in thresholds
+    ]
     vectors = cut_lineage(snp_vectors(calls, idx, pos))
-    freq = cut_lineage(snp_frequency(vectors))
-    pairs = cut_lineage(ld_value(pair_counts(vectors, max_bp, max_n), method).select("contig", "i", "j", "ld"))
-    out = None
-    for maf in mafs:
-        snps = maf_filter(freq, maf).select("contig", "idx")
-        chosen = pairs
-        if maf is not None and maf == maf:
-            for end in ("i", "j"):
-                chosen = chosen.join(snps.withColumnRenamed("idx", end), ["contig", end], "left_semi")
-        for threshold in thresholds:
-            kept = prune_from_pairs(snps, chosen, threshold).withColumn("threshold", F.lit(float(threshold)))
-            kept = kept.withColumn("maf", F.lit(maf).cast("double"))
-            out = kept if out is None else out.unionByName(kept)
-    return out
+    minor = F.least("alleleFrequency", 1 - F.col("alleleFrequency"))
+    snps = snp_frequency(vectors).select("contig", "idx", minor.alias("minor"), F.explode(F.array(*points)).alias("g"))
+    snps = snps.filter(F.col("g.maf").isNull() | (F.col("minor") >= F.col("g.maf")))
+    snps = cut_lineage(
+        snps.select("contig", "idx", F.concat_ws("/", "g.point", "contig").alias("scan"), "g.threshold", "g.maf")
+    )
+    pairs = ld_value(pair_counts(vectors, max_bp, max_n), method).select("contig", "i", "j", "ld")
+    # A pair reappears only at the grid points where it conflicts and both of its SNPs take part.
+    conflicts = pairs.join(snps.withColumnRenamed("idx", "i"), ["contig", "i"])
+    conflicts = conflicts.filter(~F.coalesce((F.abs("ld") <= F.col("threshold")) & ~F.isnan("ld"), F.lit(False)))
+    conflicts = conflicts.join(snps.select("scan", F.col("idx").alias("j")), ["scan", "j"], "left_semi")
+    dropped = greedy_dropped(orient(conflicts, None)).withColumnRenamed("node", "idx")
+    return snps.join(dropped, ["scan", "idx"], "left_anti").select("contig", "idx", "threshold", "maf")

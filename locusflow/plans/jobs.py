@@ -21,7 +21,7 @@ from ..operators import metrics as M
 from ..operators import reduce as R
 from ..operators import reshape as RS
 from ..operators import sampling as Q
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from ..sources import writers as W
 from ..sources.params import JobParams
 from ..sources.readers import read_feature_csv, read_genotypes, read_variant_catalog
@@ -301,19 +301,25 @@ def subpopulation_drilldown(
 ) -> DataFrame:
     """Inside every predicted cluster: new frequency filter, pruning, PCA and k-means by sub-population.
 
-    ``calls`` is the long dosage table; ``clusters`` holds ``sampleId, Predict``; clusters are few, and each
-    one is a set of Spark jobs over its own samples.
+    ``calls`` is the long dosage table; ``clusters`` holds ``sampleId, Predict``. Filtering and pruning cover
+    all clusters at once; only the model fits run cluster by cluster.
     """
+    members = clusters.select("sampleId", "Predict")
+    known = calls.filter(F.col("dosage").isNotNull())
+    own = cut_lineage(known.join(broadcast_if_small(members), "sampleId"))
+    sizes = own.groupBy("Predict").agg(F.count_distinct("sampleId").alias("n"))
+    carriers = own.groupBy("Predict", "contig", "idx").agg(F.count_if(F.col("dosage") > 0).alias("c"))
+    share = carriers.join(F.broadcast(sizes), "Predict")  # one row per cluster
+    share = share.select("Predict", "contig", "idx", (F.col("c") / F.col("n")).alias("frequency"))
+    own = own.join(P.frequency_range(share, low, high), ["Predict", "contig", "idx"], "left_semi")
+    # Clusters are pruned in one run: a contig of a cluster is a scan of its own.
+    scans = own.withColumn("contig", F.concat_ws("/", F.col("Predict").cast("string"), "contig"))
+    kept = L.ld_prune(scans, method, ld_threshold, max_bp)
+    scans = cut_lineage(scans.join(kept, ["contig", "idx"], "left_semi"))
     result = None
     for (cluster,) in clusters.select("Predict").distinct().orderBy("Predict").collect():
-        members = clusters.filter(F.col("Predict") == cluster).select("sampleId")
-        own = cut_lineage(calls.join(members, "sampleId", "left_semi").filter(F.col("dosage").isNotNull()))
-        total = P.sample_total(own)
-        share = own.groupBy("contig", "idx").agg((F.count_if(F.col("dosage") > 0) / total).alias("frequency"))
-        own = own.join(P.frequency_range(share, low, high), ["contig", "idx"], "left_semi")
-        kept = L.ld_prune(own, method, ld_threshold, max_bp)
-        own = own.join(kept, ["contig", "idx"], "left_semi")
-        vectors = P.attach_region(R.filled_vectors(own, feature="idx", value="dosage"), panel, "pop")
+        rows = scans.filter(F.col("Predict") == cluster)
+        vectors = P.attach_region(R.filled_vectors(rows, feature="idx", value="dosage"), panel, "pop")
         reduced = RS.compact(R.pca_gram(RS.compact(vectors), train=1.0, at_least_one=True))
         k = reduced.agg(F.count_distinct("Region")).first()[0]
         part = C.fit_predict(reduced, reduced, "kmeans", k, "pcaFeatures").select(
@@ -321,5 +327,3 @@ def subpopulation_drilldown(
         )
         result = part if result is None else result.unionByName(part)
     return result
-
-

@@ -62,34 +62,57 @@ def _(spark, sf):
     return rounded(L.ld_matrix(X.dense(spark, sf), "corr", 6000, 4), "ld")
 
 
-@query("haplotype_em")
+# Haplotype estimation as a recursive query: one row per pair and round until the pair settles.
+EM = f""", c AS ({CELLS} {PAIR.format(bp=500000)}),
+h AS (SELECT contig, i, j, 2.0*c22+c21+c12 AS naa, 2.0*c20+c21+c10 AS nab, 2.0*c02+c12+c01 AS nba, 2.0*c00+c01+c10 AS nbb, CAST(c11 AS DOUBLE) AS het FROM c),
+s AS (SELECT *, naa + nab + nba + nbb AS known, naa + nab + nba + nbb + 2 * het AS total FROM h),
+z AS (SELECT *, CASE WHEN het > 0 THEN (naa + 0.01) / (known + 0.04) ELSE naa / total END AS paa, CASE WHEN het > 0 THEN (nab + 0.01) / (known + 0.04) ELSE nab / total END AS pab,
+  CASE WHEN het > 0 THEN (nba + 0.01) / (known + 0.04) ELSE nba / total END AS pba, CASE WHEN het > 0 THEN (nbb + 0.01) / (known + 0.04) ELSE nbb / total END AS pbb FROM s),
+l AS (SELECT *, naa*ln(paa+pow(2.0,-52)) + nab*ln(pab+pow(2.0,-52)) + nba*ln(pba+pow(2.0,-52)) + nbb*ln(pbb+pow(2.0,-52)) AS ll FROM z),
+em AS (
+  SELECT contig, i, j, naa, nab, nba, nbb, het, total, paa, pab, pba, pbb, ll, greatest(pow(2.0,-26) * abs(ll), pow(2.0,-52)) AS tol, 0 AS it, het = 0 AS done FROM l
+  UNION ALL
+  SELECT contig, i, j, naa, nab, nba, nbb, het, total, qaa, qab, qba, qbb, nll, tol, it + 1, abs(ll - nll) <= tol FROM (
+    SELECT *, naa*ln(qaa+pow(2.0,-52)) + nab*ln(qab+pow(2.0,-52)) + nba*ln(qba+pow(2.0,-52)) + nbb*ln(qbb+pow(2.0,-52)) AS nll FROM (
+      SELECT *, (naa + het * (1 - trans)) / total AS qaa, (nab + het * trans) / total AS qab, (nba + het * trans) / total AS qba, (nbb + het * (1 - trans)) / total AS qbb FROM (
+        SELECT *, pab * pba / (paa * pbb + pab * pba) AS trans FROM em WHERE NOT done AND it < 999) a) b) d),
+p AS (SELECT contig, i, j, paa, pab, pba, pbb FROM em WHERE done OR it = 999),
+f AS (SELECT *, (paa+pab) AS a, (paa+pba) AS a2, (pbb+pba) AS b, (pbb+pab) AS b2, paa - (paa+pab)*(paa+pba) AS d FROM p)
+"""
+
+
+@query("haplotype_em", "dense", recursive=True,
+       sql=EM + "SELECT contig, i, j, round(paa, 6) AS pAA, round(pab, 6) AS pAB, round(pba, 6) AS pBA, round(pbb, 6) AS pBB FROM p")
 def _(spark, sf):
     found = L.haplotypes(_counts(spark, sf))
     return found.select("contig", "i", "j", *[r6(F.col("hap")[p]).alias(p) for p in ("pAA", "pAB", "pBA", "pBB")])
 
 
-@query("ld_r")
+@query("ld_r", "dense", recursive=True, sql=EM + "SELECT contig, i, j, CASE WHEN a*a2*b*b2 > 0 THEN round(d / sqrt(a*a2*b*b2), 6) + 0.0 END AS ld FROM f")
 def _(spark, sf):
     return rounded(L.ld_matrix(X.dense(spark, sf), "r"), "ld")
 
 
-@query("ld_dprime")
+@query(
+    "ld_dprime", "dense", recursive=True,
+    sql=EM + """SELECT contig, i, j, CASE WHEN bound <> 0 THEN round(d / bound, 6) + 0.0 END AS ld FROM (
+      SELECT *, CASE WHEN d >= 0 THEN least(a*b2, b*a2) ELSE greatest(-a*a2, -b*b2) END AS bound FROM f) x""",
+)
 def _(spark, sf):
     return rounded(L.ld_matrix(X.dense(spark, sf), "dprime"), "ld")
 
 
-# Pairs without double heterozygotes have their haplotype proportions in closed form; the others are
-# settled by expectation maximisation, which SQL has no form for.
+# Without heterozygous calls the haplotype proportions have a closed form.
 @query(
-    "ld_r_certain", "dense",
-    sql=f""", c AS ({CELLS} {PAIR.format(bp=500000)}),
-    h AS (SELECT contig, i, j, 2.0*c22+c21+c12 AS aa, 2.0*c20+c21+c10 AS ab, 2.0*c02+c12+c01 AS ba, 2.0*c00+c01+c10 AS bb FROM c WHERE c11 = 0),
-    p AS (SELECT contig, i, j, aa/(aa+ab+ba+bb) AS aa, ab/(aa+ab+ba+bb) AS ab, ba/(aa+ab+ba+bb) AS ba, bb/(aa+ab+ba+bb) AS bb FROM h)
+    "ld_r_homozygotes", "dense",
+    sql=f""", c AS ({CELLS} {PAIR.format(bp=500000).replace("WHERE", "WHERE a.dosage <> 1 AND b.dosage <> 1 AND")}),
+    p AS (SELECT contig, i, j, 1.0*c22/(c22+c20+c02+c00) AS aa, 1.0*c20/(c22+c20+c02+c00) AS ab, 1.0*c02/(c22+c20+c02+c00) AS ba, 1.0*c00/(c22+c20+c02+c00) AS bb FROM c)
     SELECT contig, i, j, CASE WHEN (aa+ab)*(aa+ba)*(bb+ba)*(bb+ab) > 0
       THEN round((aa - (aa+ab)*(aa+ba)) / sqrt((aa+ab)*(aa+ba)*(bb+ba)*(bb+ab)), 6) + 0.0 END AS ld FROM p""",
 )
 def _(spark, sf):
-    return rounded(L.ld_value(_counts(spark, sf).filter("c11 = 0"), "r").select("contig", "i", "j", "ld"), "ld")
+    homozygous = F.when(F.col("dosage") != 1, F.col("dosage"))
+    return rounded(L.ld_matrix(X.dense(spark, sf).withColumn("dosage", homozygous), "r"), "ld")
 
 
 def greedy_sql(view: str, threshold: float, order: str = "idx", group: str = "0") -> str:
@@ -146,6 +169,26 @@ def _(spark, sf):
     return P.union_picks(forward, backward)
 
 
-@query("ld_prune_grid")
+GRID = """, grid AS (SELECT t.threshold, m.maf FROM (VALUES (CAST(0.1 AS DOUBLE)), (0.2), (0.5)) t(threshold), (VALUES (CAST(NULL AS DOUBLE)), (0.45)) m(maf)),
+freq AS (SELECT contig, idx, sum(dosage) / CAST(2 * count(dosage) AS DOUBLE) AS f FROM dense_ld GROUP BY contig, idx),
+snp AS (SELECT contig, idx, threshold, maf, threshold || '/' || coalesce(maf, -1) || '/' || contig AS scan FROM freq, grid WHERE maf IS NULL OR least(f, 1 - f) >= maf),
+ld AS (SELECT a.contig, a.idx AS i, b.idx AS j, corr(a.dosage, b.dosage) AS r FROM dense_ld a JOIN dense_ld b
+  ON a.sampleId = b.sampleId AND a.contig = b.contig AND b.idx < a.idx AND a.start - b.start <= 500000 GROUP BY 1, 2, 3),
+bl AS (
+  SELECT s.scan, s.contig, s.threshold, s.maf, s.idx, coalesce(list(e.idx) FILTER (e.idx IS NOT NULL), []) AS nb,
+         row_number() OVER (PARTITION BY s.scan ORDER BY s.idx) AS rn
+  FROM snp s LEFT JOIN ld ON ld.contig = s.contig AND ld.i = s.idx AND NOT coalesce(abs(ld.r) <= s.threshold AND NOT isnan(ld.r), false)
+    LEFT JOIN snp e ON e.scan = s.scan AND e.idx = ld.j
+  GROUP BY s.scan, s.contig, s.threshold, s.maf, s.idx),
+g AS (
+  SELECT scan, rn, CAST([idx] AS INTEGER[]) AS kept FROM bl WHERE rn = 1
+  UNION ALL
+  SELECT bl.scan, bl.rn, CASE WHEN len(list_intersect(g.kept, bl.nb)) = 0 THEN list_append(g.kept, bl.idx) ELSE g.kept END
+  FROM g JOIN bl ON bl.scan = g.scan AND bl.rn = g.rn + 1),
+k AS (SELECT scan, unnest(kept) AS idx FROM g WHERE rn = (SELECT max(rn) FROM bl b WHERE b.scan = g.scan))
+SELECT s.contig, CAST(s.idx AS BIGINT) AS idx, s.threshold, s.maf FROM k JOIN snp s ON s.scan = k.scan AND s.idx = k.idx"""
+
+
+@query("ld_prune_grid", "dense_ld", sql=GRID, recursive=True)
 def _(spark, sf):
     return L.ld_prune_grid(X.dense_ld(spark, sf), (0.1, 0.2, 0.5), (None, 0.45))

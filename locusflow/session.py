@@ -43,14 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     A private temporary folder is used only on a local master, where driver and executors are one
     process; on a cluster the setting is required.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    sc = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not _is_local(spark):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="locusflow-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="locusflow-", dir="/tmp"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
