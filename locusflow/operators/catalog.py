@@ -52,9 +52,13 @@ def allele_frequency(calls: DataFrame) -> DataFrame:
     )
 
 
-def freq_carrier(distinct_variants: DataFrame) -> DataFrame:
-    """From distinct sample variants: group size and share of samples carrying an alternate allele."""
-    total = one_value(distinct_variants.agg(F.count_distinct("sampleId")))
+def freq_carrier(distinct_variants: DataFrame, total: Column | None = None) -> DataFrame:
+    """From distinct sample variants: group size and share of samples carrying an alternate allele.
+
+    ``total`` is the sample count when it is cheaper to take from the calls.
+    """
+    if total is None:
+        total = one_value(distinct_variants.agg(F.count_distinct("sampleId")))
     counted = distinct_variants.groupBy("variantId").agg(
         F.count(F.lit(1)).alias("size"), F.count_if(F.col("altCount") > 0).alias("carriers")
     )
@@ -80,29 +84,38 @@ def select_by_allele_counts(
     )
 
 
-def genotype_entries(calls: DataFrame) -> DataFrame:
-    """Distinct ``(variant, id, dosage)``; repeated calls collapse before anything is gathered."""
-    return calls.select(*VARIANT, F.col("sampleId").alias("id"), G.dosage("alleles").alias("dosage")).distinct()
-
-
 def genotype_list(calls: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:
     """Sorted ``id:dosage`` lists per variant.
 
-    A list is split over several rows once the cohort outgrows ``chunk`` samples, so no row or task
-    ever holds an unbounded group.
+    A list is split over several rows once the cohort outgrows ``chunk`` samples, and gathering into
+    sets folds repeated calls before the shuffle, so no row or task ever holds an unbounded group.
     """
     chunks = F.ceil(sample_total(calls) / F.lit(float(chunk)))
+    entry = F.struct(F.col("sampleId").alias("id"), G.dosage("alleles").alias("dosage"))
     return (
-        genotype_entries(calls)
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+        calls.select(*VARIANT, F.pmod(F.xxhash64("sampleId"), chunks).cast("int").alias("chunk"), entry.alias("e"))
         .groupBy(*VARIANT, "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "dosage"))).alias("entries"))
+        .agg(F.array_sort(F.collect_set("e")).alias("entries"))
         .select(
             *VARIANT, "chunk", F.transform("entries", lambda e: G.genotype_text(e["id"], e["dosage"])).alias("genotype")
         )
     )
 
 
+def attach_genotypes(catalog: DataFrame, calls: DataFrame) -> DataFrame:
+    """Catalogue rows with their sorted genotype list.
+
+    Meant for catalogues of completely called variants, where a list has one entry per sample;
+    :func:`genotype_list` splits longer ones.
+    """
+    lists = (
+        calls.join(catalog.select(*VARIANT), VARIANT, "left_semi")
+        .groupBy(*VARIANT)
+        .agg(F.array_sort(F.collect_set(G.genotype_text("sampleId", G.dosage("alleles")))).alias("genotype"))
+    )
+    return catalog.join(lists, VARIANT)
+
+
 def snp_index(variants: DataFrame, span: int = NUMBERING_SPAN, first: int = 0) -> DataFrame:
     """Dense numbers in (contig, start, ref, alt) order.
 
@@ -129,14 +142,8 @@ def snp_index(variants: DataFrame, span: int = NUMBERING_SPAN, first: int = 0) -
     )
 
 
-def variant_catalog(
-    calls: DataFrame, complete: bool = True, strict_biallelic: bool = False, genotypes: bool = True
-) -> DataFrame:
-    """SNP catalogue: calls, dosage frequency and genotype list per variant.
-
-    Counting runs first and without lists; lists are gathered only for the variants that survive, by
-    then one entry per sample.
-    """
+def variant_catalog(calls: DataFrame, complete: bool = True, strict_biallelic: bool = False) -> DataFrame:
+    """SNP catalogue: calls and dosage frequency per variant (lists: :func:`attach_genotypes`)."""
     snps = snp_only(calls)
     counted = variant_counts(snps)
     total = sample_total(calls)
@@ -148,16 +155,7 @@ def variant_catalog(
             snps.groupBy(*site).agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).filter("lo = hi").select(*site)
         )
         counted = counted.join(single, site, "left_semi")
-    catalog = counted.select(*VARIANT, "nonmissing", (F.col("altTotal") / total).alias("frequency"))
-    if not genotypes:
-        return catalog
-    lists = (
-        genotype_entries(snps)
-        .join(catalog.select(*VARIANT), VARIANT, "left_semi")
-        .groupBy(*VARIANT)
-        .agg(F.array_sort(F.collect_list(G.genotype_text("id", "dosage"))).alias("genotype"))
-    )
-    return catalog.join(lists, VARIANT)
+    return counted.select(*VARIANT, "nonmissing", (F.col("altTotal") / total).alias("frequency"))
 
 
 def sample_variant_dosage(
@@ -191,7 +189,10 @@ def sample_vectors(
     variant_total: Column | None = None,
     chunk: int = LIST_CHUNK,
 ) -> DataFrame:
-    """Per sample the variants in order with their values, split in chunks of bounded length."""
+    """Per sample the variants in order with their values, split in chunks of bounded length.
+
+    Repeated rows fold into one entry before the shuffle.
+    """
     if variant_total is None:
         variant_total = one_value(long.agg(F.count_distinct(variant_col)))
     chunks = F.ceil(variant_total / F.lit(float(chunk)))
@@ -200,7 +201,7 @@ def sample_vectors(
         .groupBy("sampleId", "chunk")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct(F.col(variant_col).alias("variant"), F.col(value_col).alias("value")))
+                F.collect_set(F.struct(F.col(variant_col).alias("variant"), F.col(value_col).alias("value")))
             ).alias("variants")
         )
     )
@@ -315,8 +316,8 @@ def population_matrix(
 ) -> DataFrame:
     """Distinct sample variants of the variants that pass the carrier-frequency and missingness tests."""
     distinct_variants = sample_variants(calls)
-    total = one_value(distinct_variants.agg(F.count_distinct("sampleId")))
-    counted = freq_carrier(distinct_variants)
+    total = sample_total(calls)
+    counted = freq_carrier(distinct_variants, total)
     kept = counted.filter(F.col("size") >= F.floor(total * F.lit(1.0 - missing_rate)))
     kept = frequency_range(kept, low, high, skip_full_range=True)
     return distinct_variants.join(kept.select("variantId"), "variantId", "left_semi")

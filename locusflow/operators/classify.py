@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +41,19 @@ def cross_validate(pipeline: Estimator, df: DataFrame, grid: list, folds: int =
         rows.unpersist()
 
 
-def _indexer(df: DataFrame, label: str):
+def label_indexer(df: DataFrame, label: str = "Region") -> StringIndexerModel:
+    """Label coding by falling frequency. Fit it on the whole table, so that every split knows every class."""
     return StringIndexer(inputCol=label, outputCol="label", stringOrderType="frequencyDesc").fit(df)
 
 
 def svm(
     df: DataFrame, label: str = "Region", features: str = "features", cv: bool = True, folds: int = FOLDS, cost: Sequence[float] = COSTS,
     intercept: Sequence[bool] = (False,), tol: Sequence[float] = (0.01,), max_iter: Sequence[int] = (10,),
+    indexer: StringIndexerModel | None = None,
 ) -> Model:
     """Multi-class linear SVM, one against the rest."""
     base = LinearSVC(featuresCol=features, labelCol="label", fitIntercept=intercept[0], tol=tol[0], maxIter=max_iter[0], regParam=cost[0])
-    indexer = _indexer(df, label)
+    indexer = indexer or label_indexer(df, label)
     grids = ParamGridBuilder().addGrid(base.regParam, list(cost)).addGrid(base.fitIntercept, list(intercept))
     grids = grids.addGrid(base.tol, list(tol)).addGrid(base.maxIter, list(max_iter)).build()
     rest = OneVsRest(classifier=base, featuresCol=features, labelCol="label", parallelism=PARALLELISM)
@@ -60,8 +62,8 @@ def svm(
     return cross_validate(Pipeline(stages=[indexer, rest, back]), df, grid, folds, cv)
 
 
-def _trees(tree: Estimator, df: DataFrame, label: str, cv: bool, folds: int, bins: Sequence[int], impurity: Sequence[str], depth: Sequence[int]) -> Model:
-    indexer = _indexer(df, label)
+def _trees(tree: Estimator, df: DataFrame, label: str, cv: bool, folds: int, bins: Sequence[int], impurity: Sequence[str], depth: Sequence[int], indexer: StringIndexerModel | None) -> Model:
+    indexer = indexer or label_indexer(df, label)
     back = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=indexer.labels)
     grid = (
         ParamGridBuilder().addGrid(tree.maxBins, list(bins)).addGrid(tree.maxDepth, list(depth))
@@ -73,18 +75,19 @@ def _trees(tree: Estimator, df: DataFrame, label: str, cv: bool, folds: int, bin
 def decision_tree(
     df: DataFrame, label: str = "Region", features: str = "features", cv: bool = True, folds: int = FOLDS,
     bins: Sequence[int] = BINS, impurity: Sequence[str] = IMPURITIES, depth: Sequence[int] = DEPTHS, seed: int = SEED,
+    indexer: StringIndexerModel | None = None,
 ) -> Model:
     tree = DecisionTreeClassifier(labelCol="label", featuresCol=features, seed=seed)
-    return _trees(tree, df, label, cv, folds, bins, impurity, depth)
+    return _trees(tree, df, label, cv, folds, bins, impurity, depth, indexer)
 
 
 def random_forest(
     df: DataFrame, label: str = "Region", features: str = "features", cv: bool = True, folds: int = FOLDS,
     bins: Sequence[int] = BINS, impurity: Sequence[str] = IMPURITIES, depth: Sequence[int] = DEPTHS, seed: int = SEED,
-    trees: int = 20,
+    trees: int = 20, indexer: StringIndexerModel | None = None,
 ) -> Model:
     forest = RandomForestClassifier(labelCol="label", featuresCol=features, seed=seed, numTrees=trees)
-    return _trees(forest, df, label, cv, folds, bins, impurity, depth)
+    return _trees(forest, df, label, cv, folds, bins, impurity, depth, indexer)
 
 
 FITS: dict[str, Callable[..., Model]] = {"svm": svm, "dt": decision_tree, "rf": random_forest}
@@ -119,9 +122,10 @@ def repeat_classification(
     if method not in FITS:
         raise ValueError(f"unknown classifier {method!r}; one of {tuple(FITS)}")
     out = None
+    indexer = label_indexer(df, label)
     for rep in range(reps):
         train, test = train_test_split(df, ratio, seed, rep, key)
-        model = FITS[method](train, label, **options)
+        model = FITS[method](train, label, indexer=indexer, **options)
         for split, rows in (("train", train), ("test", test)):
             part = prediction_metrics(model.transform(rows), split, rep)
             out = part if out is None else out.unionByName(part)

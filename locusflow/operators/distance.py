@@ -154,9 +154,9 @@ def mds_double_centre(pairs: DataFrame) -> DataFrame:
     squared = pairs.select("i", "j", (F.col("dist") * F.col("dist")).alias("d2"))
     ends = squared.select(F.explode(F.array("i", "j")).alias("id"), "d2")
     sums = cut_lineage(ends.groupBy("id").agg(F.sum("d2").alias("total")))
-    n = one_value(sums.agg(F.count(F.lit(1))))
-    means = sums.select("id", (F.col("total") / n).alias("m"))
-    grand = one_value(sums.agg(F.sum("total"))) / n / n
+    head = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total")).first()
+    means = sums.select("id", (F.col("total") / head["n"]).alias("m"))
+    grand = F.lit((head["total"] or 0.0) / max(head["n"], 1) ** 2)
     side = broadcast_if_small(means)
     off = (
         squared.join(side.select(F.col("id").alias("i"), F.col("m").alias("mi")), "i")

@@ -26,8 +26,8 @@ def snp_vectors(
 ) -> DataFrame:
     """Per SNP (and sample chunk) the known dosages with their sample numbers.
 
-    ``calls`` holds one row per (sample, SNP); values outside 0..2 and NULLs are missing. The sample
-    numbers are checkpointed, so that every later stage sees the same ones.
+    ``calls`` holds one dosage per (sample, SNP), repeated rows fold into one; values outside 0..2 and
+    NULLs are missing. The sample numbers are checkpointed, so that every later stage sees the same ones.
     """
     numbers = cut_lineage(sample_index(calls.select("sampleId")))
     typed = calls.select(
@@ -40,7 +40,7 @@ def snp_vectors(
         "contig", "idx", "pos", F.floor(F.col("sidx") / chunk).cast("int").alias("chunk"),
         F.when(F.col("d").isNotNull(), entry).alias("e"),  # a SNP without known dosages keeps an empty row
     )
-    gathered = entries.groupBy("contig", "idx", "pos", "chunk").agg(F.collect_list("e").alias("e"))
+    gathered = entries.groupBy("contig", "idx", "pos", "chunk").agg(F.collect_set("e").alias("e"))
     return gathered.select("contig", "idx", "pos", "chunk", F.col("e.s").alias("s"), F.col("e.d").alias("d"))
 
 

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import one_value
-
-
 
 def confusion_matrix(df: DataFrame, truth: str = "y", predicted: str = "p", complete: bool = False) -> DataFrame:
     """``(y, p, n)``; ``complete`` adds the empty cells."""
@@ -25,10 +22,6 @@ def wide_confusion(cm: DataFrame, predicted_values: list) -> DataFrame:
     return cm.groupBy("y").pivot("p", predicted_values).agg(F.sum("n")).na.fill(0)
 
 
-def _total(cm: DataFrame) -> Column:
-    return one_value(cm.agg(F.sum("n")))
-
-
 def purity(cm: DataFrame, percent: bool = False) -> DataFrame:
     """Share of rows in the majority class of their cluster."""
     best = cm.groupBy("p").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
@@ -76,7 +69,7 @@ def macro_prf(cm: DataFrame) -> DataFrame:
 
 def one_vs_all(cm: DataFrame) -> DataFrame:
     """Per class the 2x2 table against the rest."""
-    n = _total(cm)
+    n = F.sum("actual").over(W.partitionBy())  # one row per class
     return class_margins(cm).select(
         "class", "tp", (F.col("actual") - F.col("tp")).alias("fn"), (F.col("predicted") - F.col("tp")).alias("fp"),
         (n - F.col("actual") - F.col("predicted") + F.col("tp")).alias("tn"),
@@ -132,10 +125,9 @@ def random_guess_baseline(cm: DataFrame) -> DataFrame:
 
 def kappa(cm: DataFrame, parity: bool = False) -> DataFrame:
     """Agreement beyond chance. ``parity`` puts the accuracy in as a percentage at two decimals."""
-    n = _total(cm)
-    m = class_margins(cm).agg(
-        (F.sum("tp") / n).alias("acc"), F.sum(F.col("actual") / n * F.col("predicted") / n).alias("chance")
-    )
+    n = F.sum("actual").cast("double")
+    both = F.sum(F.col("actual").cast("double") * F.col("predicted"))
+    m = class_margins(cm).agg((F.sum("tp") / n).alias("acc"), (both / (n * n)).alias("chance"))
     acc = F.round(F.col("acc") * 100, 2) if parity else F.col("acc")
     return m.select(F.round((acc - F.col("chance")) / (1 - F.col("chance")), 2).alias("kappa"))
 
@@ -150,10 +142,22 @@ def pair_agreement(cm: DataFrame) -> DataFrame:
         x = (F.col(c) if isinstance(c, str) else c).cast("double")
         return x * (x - 1) / 2
 
-    cells = cm.agg(F.sum(pairs("n")).alias("yy"), pairs(F.sum("n")).alias("t"))
-    a = one_value(cm.groupBy("y").agg(F.sum("n").alias("n")).agg(F.sum(pairs("n"))))
-    b = one_value(cm.groupBy("p").agg(F.sum("n").alias("n")).agg(F.sum(pairs("n"))))
-    out = cells.select("yy", (a - F.col("yy")).alias("yn"), (b - F.col("yy")).alias("ny"), "t")
+    # Margins of both labellings and the cell pairs in one regrouping of the contingency table.
+    sides = cm.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("y").alias("side"), F.col("y").cast("string").alias("key"), "n", pairs("n").alias("yy")),
+                F.struct(F.lit("p").alias("side"), F.col("p").cast("string").alias("key"), "n", F.lit(0.0).alias("yy")),
+            )
+        ).alias("s")
+    ).select("s.*")
+    margins = sides.groupBy("side", "key").agg(F.sum("n").alias("n"), F.sum("yy").alias("yy"))
+    first = F.col("side") == "y"
+    sums = margins.agg(
+        F.sum("yy").alias("yy"), F.sum(F.when(first, pairs("n"))).alias("a"), F.sum(F.when(~first, pairs("n"))).alias("b"),
+        pairs(F.sum(F.when(first, F.col("n")))).alias("t"),
+    )
+    out = sums.select("yy", (F.col("a") - F.col("yy")).alias("yn"), (F.col("b") - F.col("yy")).alias("ny"), "t")
     return out.withColumn("nn", F.col("t") - F.col("yy") - F.col("yn") - F.col("ny"))
 
 

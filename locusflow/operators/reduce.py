@@ -218,12 +218,24 @@ def _start(keys: DataFrame, key: str, width: int, seed: int) -> DataFrame:
     return keys.select(key, F.array(*cells).alias("q"))
 
 
+def _less_means(product: DataFrame, block: DataFrame, means: DataFrame, rows: int, width: int) -> DataFrame:
+    """``X'X q`` → the same for centred columns: less ``rows * m (m'q)``."""
+    mean_of = broadcast_if_small(means)
+    weighted = block.join(mean_of, "j").agg(_sums(width, "m", "q").alias("t")).first()["t"]
+    factors = F.array(*[F.lit(float(rows * t)) for t in weighted])
+    shifted = F.zip_with("q", factors, lambda q, f: q - F.col("m") * f)
+    return product.join(mean_of, "j").select("j", shifted.alias("q"))
+
+
 def subspace_iteration(
     entries: DataFrame, k: int, max_iter: int = 100, tol: float = 1e-7, oversample: int = 8, seed: int = SEED,
-    symmetric: bool = False,
+    symmetric: bool = False, means: DataFrame | None = None, rows: int = 0,
 ) -> Subspace:
     """Leading ``k`` singular pairs of a matrix given as ``(i, j, v)`` rows.
 
+    With ``means`` (``j, m``) the columns are centred on the way, over ``rows`` rows of which absent
+    entries are zeros; the centred matrix is never written out.
+
     Each round is two join-and-sum steps (one for a symmetric matrix) over the entries and one
     orthonormalisation through a small Gram matrix. Only that matrix, as wide as the block, reaches the
     driver; the block itself stays a DataFrame and is checkpointed every few rounds.
@@ -248,7 +260,10 @@ def subspace_iteration(
         if symmetric:
             raw = half(block, "j", "i").withColumnRenamed("i", "j").persist()
         else:
-            raw = half(half(block, "j", "i"), "i", "j").persist()
+            raw = half(half(block, "j", "i"), "i", "j")
+            if means is not None:
+                raw = _less_means(raw, block, means, rows, width)
+            raw = raw.persist()
         squares, rotation = np.linalg.eigh(_inner(raw, "q", width))
         order = np.argsort(squares)[::-1]
         squares, rotation = np.maximum(squares[order], 0.0), rotation[:, order]
@@ -322,13 +337,65 @@ def pca_randomized(
     return _leading_scores(matrix_entries(long, key, feature, value), space, k, threshold, at_least_one)
 
 
+def scaled_entries(long: DataFrame, rows: int, key: str, feature: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Entries over their feature's deviation, and the feature means after scaling; absent cells are zeros."""
+    entries = matrix_entries(long, key, feature, value)
+    sums = entries.groupBy("j").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    mean = F.col("s") / rows
+    variance = (F.col("q") - rows * mean * mean) / max(rows - 1, 1)
+    stats = cut_lineage(sums.select("j", mean.alias("m"), F.sqrt(variance).alias("sd"), variance.alias("var")).filter("var > 1e-12"))
+    scaled = entries.join(broadcast_if_small(stats.select("j", "sd")), "j").select("i", "j", (F.col("v") / F.col("sd")).alias("v"))
+    return scaled, stats.select("j", (F.col("m") / F.col("sd")).alias("m"))
+
+
+def _score_table(samples: DataFrame, scores: np.ndarray, key: str) -> DataFrame:
+    """Local scores (one row per sample number) → ``(key, pcs)``."""
+    n, c = scores.shape
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * c)
+    values = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(scores).ravel()))
+    table = pa.table({"sidx": pa.array(np.arange(n, dtype=np.int32)), "pcs": values})
+    return samples.sparkSession.createDataFrame(table).join(F.broadcast(samples), "sidx").select(F.col("i").alias(key), "pcs")
+
+
+def pca_wide(
+    long: DataFrame, k: int = 20, threshold: float = 0.7, mode: str = "parity", at_least_one: bool = True, local_limit: int = LOCAL_GRAM,
+    key: str = "sampleId", feature: str = "variantId", value: str = "altCount", tol: float = 1e-7,
+) -> DataFrame:
+    """The PCA of :func:`pca` for more features than a covariance matrix can hold: ``(sampleId, pcs)``.
+
+    Up to ``local_limit`` samples all components come from the sample-by-sample products, summed over
+    the features; larger cohorts iterate for the leading ``k``.
+    """
+    samples = cut_lineage(sample_index(long.select(F.col(key).alias("i")), "i"))
+    n = samples.count()
+    scaled, means = scaled_entries(long, n, key, feature, value)
+    if n <= local_limit:
+        numbered = scaled.join(F.broadcast(samples), "i").groupBy("j").agg(F.collect_list(F.struct("sidx", "v")).alias("e"))
+        rows = _dense_rows(numbered.select(F.col("e.sidx").alias("s"), F.col("e.v").alias("v")), n)
+        products = _row_matrix(rows, "z").computeGramianMatrix().toArray()
+        middle = np.eye(n) - 1.0 / n
+        values, vectors = np.linalg.eigh(middle @ products @ middle)
+        order = np.argsort(values)[::-1]
+        order = order[values[order] > values[order[0]] * 1e-12]
+        scores = products @ middle @ fix_signs(vectors[:, order]) / np.sqrt(values[order])
+        s = np.linalg.svd(scores, compute_uv=False)
+        kept = leading(shares_of(s if mode == "parity" else s * s), threshold, at_least_one)
+        return _score_table(samples, scores[:, :kept], key)
+    space = subspace_iteration(scaled, k, tol=tol, means=means, rows=n)
+    scores = cut_lineage(scores_of(scaled, space))
+    s = np.sqrt(np.maximum(np.linalg.eigvalsh(_inner(scores, "pcs", len(space.values)))[::-1], 0.0))
+    kept = leading(shares_of(s if mode == "parity" else s * s), threshold, at_least_one)
+    return scores.select(F.col("i").alias(key), F.slice("pcs", 1, kept).alias("pcs"))
+
+
 def pca_glrm(
     long: DataFrame, k: int = 20, max_iter: int = 20, train: float = 1.0, key: str = "sampleId", feature: str = "idx", value: str = "w",
     seed: int = SEED,
 ) -> DataFrame:
     """Low-rank model with quadratic loss by alternating least squares: ``(sampleId, pcs)``.
 
-    The factors span the leading subspace; missing cells are simply absent from the fit.
+    The factors span the leading subspace; missing cells are simply absent from the fit. With ``train``
+    under 1 the model is fitted on a part and every sample is scored on it, absent cells as zeros.
     """
     part = frame_split(long, train, key=key)[0] if train < 1 else long
     samples = cut_lineage(sample_index(part, key))
@@ -339,8 +406,14 @@ def pca_glrm(
         .select("sidx", "fidx", F.col(value).cast("float").alias("v"))
     )
     model = ALS(rank=k, maxIter=max_iter, regParam=0.0, userCol="sidx", itemCol="fidx", ratingCol="v", seed=seed).fit(rated)
-    factors = model.userFactors.select(F.col("id").alias("sidx"), F.transform("features", lambda x: x.cast("double")).alias("pcs"))
-    return factors.join(broadcast_if_small(samples), "sidx").select(key, "pcs")
+    if train >= 1:
+        factors = model.userFactors.select(F.col("id").alias("sidx"), F.transform("features", lambda x: x.cast("double")).alias("pcs"))
+        return factors.join(broadcast_if_small(samples), "sidx").select(key, "pcs")
+    # Samples outside the fit are scored by least squares on the feature factors.
+    items = model.itemFactors.select(F.col("id").alias("fidx"), F.transform("features", lambda x: x.cast("double")).alias("q"))
+    items = cut_lineage(items.join(broadcast_if_small(features), "fidx").select(F.col(feature).alias("j"), "q"))
+    products = scores_of(matrix_entries(long, key, feature, value), Subspace(np.ones(k), items, 0.0, 0))
+    return _times(products, "i", "pcs", np.linalg.pinv(_inner(items, "q", k))).withColumnRenamed("i", key)
 
 
 # ---------------------------------------------------------------- relationship PCA
@@ -411,7 +484,6 @@ def grm_pca(
     entries = cut_lineage(normalized_genotypes(calls, maf, missing_rate, key, feature, value))
     samples = cut_lineage(sample_index(entries, "i"))
     n = samples.count()
-    spark = calls.sparkSession
     if n > vector_limit:
         flipped = entries.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
         space = subspace_iteration(flipped, k)
@@ -428,13 +500,7 @@ def grm_pca(
         values, vectors = leading_singular(rows, "z", k)
         shares = values / entries.agg(F.sum(F.col("v") * F.col("v"))).first()[0]
 
-    def scores(c: int) -> DataFrame:
-        block = np.ascontiguousarray(vectors[:, :c])
-        offsets = pa.array(np.arange(0, n * c + 1, c, dtype=np.int32)) if c else pa.array(np.zeros(n + 1, dtype=np.int32))
-        table = pa.table({"sidx": pa.array(np.arange(n, dtype=np.int32)), "pcs": pa.ListArray.from_arrays(offsets, pa.array(block.ravel()))})
-        return spark.createDataFrame(table).join(F.broadcast(samples), "sidx").select(F.col("i").alias(key), "pcs")
-
-    return RelationshipPca(shares, scores)
+    return RelationshipPca(shares, lambda c: _score_table(samples, vectors[:, :c], key))
 
 
 def snp_pc_correlation(
@@ -469,12 +535,14 @@ def chi_square(long: DataFrame, region: str = "super_pop", feature: str = "idx",
 def mds_classic(
     long: DataFrame, metric: str = "euclidean", p: float = 2, k: int = 20, threshold: float = 0.7, at_least_one: bool = False,
     key: str = "sampleId", feature: str = "idx", value: str = "w", max_iter: int = 100, tol: float = 1e-7,
+    local_limit: int = LOCAL_GRAM,
 ) -> DataFrame:
     """Classical MDS coordinates ``(sampleId, pcs)`` with the leading components kept.
 
     Shares are taken over the ``k`` components found. For Euclidean distances the coordinates are the
-    scores of the centred data, so no pair is ever formed; other distances go through the
-    double-centred matrix, of which the most positive eigenvalues count.
+    scores of the centred data, so no pair is ever formed. Other distances go through the
+    double-centred matrix, of which the most positive eigenvalues count; it is solved on the driver up to
+    ``local_limit`` samples and iterated on beyond.
     """
     if metric == "euclidean" or (metric == "minkowski" and p == 2):
         entries = cut_lineage(centred_entries(matrix_entries(long, key, feature, value)))
@@ -491,6 +559,12 @@ def mds_classic(
         n = leading(shares_of(space.values), threshold, at_least_one)
         return scores_of(entries, space, max(n, 1)).select(F.col("i").alias(key), F.slice("pcs", 1, n).alias("pcs"))
     upper = cut_lineage(DI.mds_double_centre(DI.distance_matrix(long, metric, p, key, feature, value)))
+    samples = cut_lineage(sample_index(upper, "i"))
+    if (size := samples.count()) <= local_limit:
+        values, vectors = _local_eigen(upper, samples, size)
+        values, vectors = np.maximum(values[:k], 0.0), vectors[:, :k]
+        n = leading(shares_of(values), threshold, at_least_one)
+        return _score_table(samples, vectors[:, :n] * np.sqrt(values[:n]), key)
     # Shift by a bound of the negative eigenvalues, so that the largest eigenvalues are the largest in size.
     strict = upper.filter("i <> j")
     both = upper.select("i", "j", F.col("b").alias("v")).unionByName(strict.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("b").alias("v")))
@@ -503,6 +577,20 @@ def mds_classic(
     return scaled.select(F.col("j").alias(key), F.slice("q", 1, n).alias("pcs"))
 
 
+def _local_eigen(upper: DataFrame, samples: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenpairs (falling) of a symmetric matrix of at most ``LOCAL_GRAM`` rows from its upper triangle."""
+    side = F.broadcast(samples)
+    cells = upper.join(side.select("i", F.col("sidx").alias("r")), "i").join(side.select(F.col("i").alias("j"), F.col("sidx").alias("c")), "j")
+    table = cells.select("r", "c", "b").toArrow()
+    r, c, b = (table[name].to_numpy() for name in ("r", "c", "b"))
+    matrix = np.zeros((n, n))
+    matrix[r, c] = b
+    matrix[c, r] = b
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(values)[::-1]
+    return values[order], fix_signs(vectors[:, order])
+
+
 def _most_negative(entries: DataFrame, max_iter: int) -> float:
     """A bound of the size of the negative eigenvalues of a symmetric matrix."""
     top = subspace_iteration(entries, 1, max_iter, 1e-4, oversample=4, symmetric=True)

@@ -6,7 +6,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +54,9 @@ def stage_report(stages: DataFrame) -> DataFrame:
 
 def build_variant_catalog(calls: DataFrame, strict_biallelic: bool = False) -> DataFrame:
     """Numbered catalogue of the SNPs that every sample has a call for."""
-    catalog = A.variant_catalog(calls, complete=True, strict_biallelic=strict_biallelic)
+    counted = cut_lineage(A.variant_catalog(calls, complete=True, strict_biallelic=strict_biallelic))
     columns = ["snpIdx", *P.VARIANT, "nonmissing", "frequency", "genotype"]
-    return A.snp_index(catalog).select(*columns)
+    return A.attach_genotypes(A.snp_index(counted), calls).select(*columns)
 
 
 def build_variant_catalog_job(spark: SparkSession, genotype_path: str, out: str, csv: bool = True) -> DataFrame:
@@ -119,23 +119,24 @@ class Stratification:
 
 def reduce_features(long: DataFrame, panel: DataFrame, params: JobParams, level: str, k: int = 20) -> DataFrame:
     """``(sampleId, Region, pcaFeatures)`` by the method the parameters name."""
-    value, feature = "altCount", "variantId"
-    options = {"feature": feature, "value": value}
+    options = {"feature": "variantId", "value": "altCount"}
+    size = long.agg(F.count_distinct("variantId").alias("p")).first()
+    narrow = size["p"] <= R.LOCAL_GRAM
     if params.dim_red_method == "MDS":
         scores = R.mds_classic(long, k=k, at_least_one=True, **options)
-    elif params.dim_red_method == "pcaH2O" and params.pca_method != "GramSVD":
-        if params.pca_method == "Power":
-            scores = R.pca_power(long, k, at_least_one=True, **options)
-        elif params.pca_method == "Randomized":
-            scores = R.pca_randomized(long, k, at_least_one=True, **options)
-        else:
-            scores = R.pca_glrm(long, k, **options)
+    elif params.dim_red_method == "pcaH2O" and params.pca_method == "GLRM":
+        scores = R.pca_glrm(long, k, train=0.5, **options)
+    elif params.dim_red_method == "pcaH2O" and params.pca_method == "Randomized":
+        scores = R.pca_randomized(long, k, at_least_one=True, **options)
+    elif params.dim_red_method == "pcaH2O" and (params.pca_method == "Power" or not narrow):
+        scores = R.pca_power(long, k, at_least_one=True, **options)
+    elif not narrow:
+        scores = R.pca_wide(long, k, **options)
     else:
         vectors = RS.compact(P.attach_region(R.filled_vectors(long), panel, level))
         if params.dim_red_method == "pcaH2O":
             return R.pca_gram(vectors, k, at_least_one=True)
-        width = vectors.select(F.size(vector_to_array("features"))).first()[0]
-        return R.pca(vectors, min(vectors.count(), width)).drop("allPcaFeatures")
+        return R.pca(vectors, min(vectors.count(), size["p"])).drop("allPcaFeatures")
     return P.attach_region(scores, panel, level).select("sampleId", "Region", array_to_vector("pcs").alias("pcaFeatures"))
 
 
@@ -165,7 +166,7 @@ def assign(features: DataFrame, params: JobParams, result: Stratification, colum
         )
         if params.class_train_file or params.class_test_file:
             train, test = Q.train_test_split(features)
-            model = K.FITS[method](train, **options)
+            model = K.FITS[method](train, indexer=K.label_indexer(features), **options)
             for rows, path in ((train, params.class_train_file), (test, params.class_test_file)):
                 if path:
                     W.write_csv(model.transform(rows).select("Region", "prediction", "label", column), path)

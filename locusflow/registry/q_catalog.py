@@ -37,8 +37,7 @@ def _(spark, sf):
 
 @query("variant_catalog", "gts_cell", sql=CELL_CATALOG)
 def _(spark, sf):
-    catalog = A.snp_index(A.variant_catalog(X.gts_cell(spark, sf)))
-    return flat_catalog(catalog.select("snpIdx", *P.VARIANT, "nonmissing", "frequency", "genotype"))
+    return flat_catalog(J.build_variant_catalog(X.gts_cell(spark, sf)))
 
 
 @query(
@@ -50,7 +49,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return rounded(
-        A.variant_catalog(X.gts_raw(spark, sf), complete=False, strict_biallelic=True, genotypes=False), "frequency"
+        A.variant_catalog(X.gts_raw(spark, sf), complete=False, strict_biallelic=True), "frequency"
     )
 
 
@@ -69,7 +68,8 @@ def _(spark, sf):
 
 @query("freq_carrier", "gts_raw", sql=f"SELECT variantId, size, round(frequency, 6) AS frequency FROM ({CARRIER}) c")
 def _(spark, sf):
-    return rounded(A.freq_carrier(P.sample_variants(X.gts_raw(spark, sf))), "frequency")
+    calls = X.gts_raw(spark, sf)
+    return rounded(A.freq_carrier(P.sample_variants(calls), P.sample_total(calls)), "frequency")
 
 
 @query(
@@ -109,7 +109,8 @@ def _(spark, sf):
     FROM ({SV}) s GROUP BY sampleId""",
 )
 def _(spark, sf):
-    vectors = A.sample_vectors(P.sample_variants(X.gts_raw(spark, sf)))
+    calls = X.gts_raw(spark, sf).select("sampleId", G.variant_id3().alias("variantId"), G.alt_count_nonref().alias("altCount"))
+    vectors = A.sample_vectors(calls)
     text = F.transform("variants", lambda v: F.concat(v["variant"], F.lit("="), v["value"].cast("string")))
     return vectors.select("sampleId", "chunk", F.array_join(text, ",").alias("variants"))
 

@@ -108,7 +108,7 @@ def _(spark, sf):
         "", "", frequencies=True, inf_freq=0.05, sup_freq=0.3, dim_red_method="pcaH2O", clustering=True, clustering_method="kmeans",
         n_repeat_clustering=1, classification=True, classification_method="dt", n_repeat_classification=1, outliers=True,
     )
-    catalog = A.variant_catalog(calls, complete=False, genotypes=False)
+    catalog = A.variant_catalog(calls, complete=False)
     return rounded(J.stratify(calls, catalog, X.panel(spark, sf), params).metrics(), "value")
 
 

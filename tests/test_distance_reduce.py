@@ -187,3 +187,36 @@ def test_filled_vectors_put_zeros(spark):
     long = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "y", 1)], "sampleId string, variantId string, altCount int")
     rows = {r["sampleId"]: sorted(r["features"].toArray()) for r in R.filled_vectors(long).collect()}
     assert rows == {"a": [1.0, 2.0], "b": [0.0, 1.0]}
+
+
+def test_wide_pca_paths_agree_with_the_pipeline(spark, signal, long, vectors):
+    options = {"feature": "idx", "value": "w", "threshold": 1.0, "mode": "standard"}
+    pipeline = scores_matrix(R.pca(vectors, 12).withColumn("pcs", vector_to_array("allPcaFeatures")))
+    dual = scores_matrix(R.pca_wide(long, **options))
+    rounds = scores_matrix(R.pca_wide(long, 3, local_limit=5, tol=1e-10, **options))
+    assert np.abs(dual) == pytest.approx(np.abs(pipeline), abs=1e-6)
+    assert np.abs(rounds[:, :2]) == pytest.approx(np.abs(pipeline[:, :2]), abs=1e-2)
+
+
+def test_wide_pca_fills_absent_cells_with_zeros(spark):
+    rng = np.random.default_rng(17)
+    m = rng.binomial(2, 0.4, (15, 30)).astype(float)
+    sparse = long_from(spark, m).filter("w <> 0")
+    keyed = sparse.withColumn("Region", F.lit("x")).select("sampleId", "idx", "w", "Region")
+    vectors = R.filled_vectors(keyed, feature="idx", value="w").withColumn("Region", F.lit("x"))
+    want = scores_matrix(R.pca(vectors, 5).withColumn("pcs", vector_to_array("allPcaFeatures")))
+    got = scores_matrix(R.pca_wide(sparse, feature="idx", value="w", threshold=1.0))[:, :5]
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
+
+
+def test_mds_paths_agree(spark, long):
+    local = scores_matrix(R.mds_classic(long, "manhattan", k=2, threshold=1.0))
+    rounds = scores_matrix(R.mds_classic(long, "manhattan", k=2, threshold=1.0, tol=1e-10, local_limit=5))
+    assert np.abs(rounds) == pytest.approx(np.abs(local), abs=2e-2)
+
+
+def test_low_rank_model_scores_samples_outside_the_fit(spark, signal, long):
+    got = scores_matrix(R.pca_glrm(long, 3, train=0.5))
+    assert len(got) == 60
+    u, s, _ = np.linalg.svd(signal, full_matrices=False)
+    assert same_subspace(got, u[:, :3] * s[:3], 5e-2)
