@@ -229,16 +229,13 @@ def _sum_of_smallest(pairs: DataFrame, count: int, low: float, high: float, buck
 
 def c_index(pairs: DataFrame) -> DataFrame:
     """``(S - S_min) / (S_max - S_min)`` over the within-cluster distances."""
-    pairs = pairs.select("dist", "same").persist()
-    try:
-        head = pairs.agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("same").alias("nw"), F.sum("dist").alias("all"),
-            F.sum(F.when(F.col("same"), F.col("dist"))).alias("sw"), F.min("dist").alias("lo"), F.max("dist").alias("hi"),
-        ).first()
-        smallest = _sum_of_smallest(pairs, head["nw"], head["lo"], head["hi"])
-        largest = head["all"] - _sum_of_smallest(pairs, head["n"] - head["nw"], head["lo"], head["hi"])
-    finally:
-        pairs.unpersist()
+    pairs = cut_lineage(pairs.select("dist", "same"))  # read again by every pass below
+    head = pairs.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("same").alias("nw"), F.sum("dist").alias("all"),
+        F.sum(F.when(F.col("same"), F.col("dist"))).alias("sw"), F.min("dist").alias("lo"), F.max("dist").alias("hi"),
+    ).first()
+    smallest = _sum_of_smallest(pairs, head["nw"], head["lo"], head["hi"])
+    largest = head["all"] - _sum_of_smallest(pairs, head["n"] - head["nw"], head["lo"], head["hi"])
     spread = largest - smallest
     value = (head["sw"] - smallest) / spread if spread else None
     return pairs.sparkSession.createDataFrame([(value,)], "c_index double")

@@ -26,8 +26,6 @@ from .tiles import scatter
 
 #: Widest Gram matrix that is solved on the driver (128 MB of doubles); wider data is iterated on.
 LOCAL_GRAM = 4096
-#: Rounds of an iteration between two checkpoints.
-CHECKPOINT_ROUNDS = 5
 #: Largest block (in doubles) that is shipped to every executor: 64 MB.
 BROADCAST_CELLS = 1 << 23
 KEYS = ("sampleId", "Region")
@@ -238,7 +236,7 @@ def subspace_iteration(
 
     Each round is two join-and-sum steps (one for a symmetric matrix) over the entries and one
     orthonormalisation through a small Gram matrix. Only that matrix, as wide as the block, reaches the
-    driver; the block itself stays a DataFrame and is checkpointed every few rounds.
+    driver; the block itself stays a DataFrame and is checkpointed every round.
     """
     entries = entries.select("i", "j", "v").persist()
     head = entries.agg(F.sum(F.col("v") * F.col("v")).alias("t"), F.count_distinct("j").alias("p"), F.count_distinct("i").alias("n")).first()
@@ -255,26 +253,20 @@ def subspace_iteration(
         joined = entries.join(broadcast_if_rows(vectors, cells, BROADCAST_CELLS), on)
         return joined.groupBy(to).agg(_sums(width, "v", "q").alias("q"))
 
-    previous_raw: DataFrame | None = None
     for rounds in range(1, max_iter + 1):
         if symmetric:
-            raw = half(block, "j", "i").withColumnRenamed("i", "j").persist()
+            raw = half(block, "j", "i").withColumnRenamed("i", "j")
         else:
             raw = half(half(block, "j", "i"), "i", "j")
             if means is not None:
                 raw = _less_means(raw, block, means, rows, width)
-            raw = raw.persist()
+        raw = cut_lineage(raw)
         squares, rotation = np.linalg.eigh(_inner(raw, "q", width))
         order = np.argsort(squares)[::-1]
         squares, rotation = np.maximum(squares[order], 0.0), rotation[:, order]
         scale = np.sqrt(np.maximum(squares, squares[0] * 1e-24) if squares[0] > 0 else np.ones(width))
         values = np.sqrt(squares)
         block = _times(raw, "j", "q", rotation / scale)
-        if rounds % CHECKPOINT_ROUNDS == 0:
-            block = cut_lineage(block)
-        if previous_raw is not None:
-            previous_raw.unpersist()
-        previous_raw = raw
         if rounds > 1 and np.all(np.abs(values[:k] - previous[:k]) <= tol * max(values[0], 1e-300)):
             break
         previous = values
@@ -286,8 +278,6 @@ def subspace_iteration(
     kept = min(k, width)
     vectors = cut_lineage(_times(block, "j", "q", np.diag(signs)[:, :kept]))
     entries.unpersist()
-    if previous_raw is not None:
-        previous_raw.unpersist()
     # For A the round multiplies by A'A, so its values are squared singular values.
     return Subspace(values[:kept], vectors, float(head["t"] or 0.0), rounds)
 
@@ -550,7 +540,8 @@ def mds_classic(
         width = columns.count()
         if width <= MAX_FEATURES:
             numbered = entries.join(F.broadcast(columns), "j").groupBy("i").agg(F.collect_list(F.struct("f", "v")).alias("e"))
-            rows = _dense_rows(numbered.select("i", F.col("e.f").alias("s"), F.col("e.v").alias("v")), width, "i").persist()
+            rows = _dense_rows(numbered.select("i", F.col("e.f").alias("s"), F.col("e.v").alias("v")), width, "i")
+            rows = cut_lineage(rows)
             values, vectors = leading_singular(rows, "z", k)
             n = leading(shares_of(values), threshold, at_least_one)
             kept = project(rows, vectors[:, : max(n, 1)], ["i"], "z", "pcs")
