@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -13,7 +12,7 @@ from ..plans import jobs as J
 from ..session import scratch_path
 from ..sources import readers as RD
 from ..sources import writers as W
-from .base import alleles_out, query, r6, rounded
+from .base import alleles_out, query, rounded
 from .q_calls import CALL, DOSE_COUNT, N_RAW
 from .q_catalog import CELL_CATALOG, PC64, PC_SQL, flat_catalog
 from .q_metrics import CM, _cm
