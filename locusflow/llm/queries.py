@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contamination import contamination_report
+from .packing import pack_documents
 from .setsketch import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +71,44 @@ FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents on two-word shingles at similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query(
+    "op4_contamination",
+    sql=r"""
+WITH
+low AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+),
+split AS (SELECT kind, id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM low),
+benchmark_windows AS (
+  SELECT DISTINCT id AS item_id, len(ws) AS n, list_slice(ws, i, i + 12) AS win
+  FROM (SELECT id, ws, unnest(range(1, greatest(2, len(ws) - 11))) AS i FROM split WHERE kind = 'b' AND len(ws) > 0)
+),
+sizes AS (SELECT DISTINCT len(win) AS k FROM benchmark_windows),
+document_windows AS (
+  SELECT id AS doc_id, i, k, list_slice(ws, i, i + k - 1) AS win
+  FROM (SELECT id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM split, sizes WHERE kind = 'd' AND len(ws) >= k)
+),
+hits AS (SELECT d.doc_id, d.i, d.k, b.item_id FROM document_windows d JOIN benchmark_windows b ON d.win = b.win),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS all_items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id
+)
+SELECT s.id AS doc_id, CAST(len(s.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(s.ws) AS contaminated
+FROM split s LEFT JOIN covered c ON c.doc_id = s.id LEFT JOIN items i ON i.doc_id = s.id WHERE s.kind = 'd'
+""",
+)
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents holding passages of benchmark items."""
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("chars")
+
+
+@query("op3_best_fit_packing")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))
