@@ -144,3 +144,31 @@ def _cut(data: bytes, is_space: np.ndarray) -> Iterator[bytes]:
 def doc_of(offsets: np.ndarray) -> np.ndarray:
     """For every word the number of its text."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+#: Bits of a membership map; its size does not depend on the data.
+MAP_BITS = 1 << 24
+
+
+def membership_map(keys: DataFrame, column: str) -> np.ndarray:
+    """Fixed-size bit map (2 MB of 64-bit words) of 64-bit keys: a cheap filter in tasks before an exact join."""
+    place = F.col(column).bitwiseAND(F.lit(MAP_BITS - 1))
+    words = (
+        keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bits"))
+        .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    )
+    out = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that are surely not in the map."""
+    at = keys.view(np.uint64) & np.uint64(MAP_BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def row_keys(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """Two hashes that name a row by id and text, equal for repeated rows; nulls are told apart from empty text."""
+    parts = [F.col(id_column).cast("string"), F.col(text_column).cast("string"), F.col(id_column).isNull(), F.col(text_column).isNull()]
+    return F.xxhash64(*parts), F.hash(*parts)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .contamination import contamination_report
 from .packing import pack_documents
 from .setsketch import near_duplicates
+from .templates import drop_recurring_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,3 +114,14 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_line_templates")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template recurs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_lines = F.when(F.col("before").isNull(), 0).otherwise(F.size(F.split("before", "\n", -1)))
+    return drop_recurring_lines(docs.withColumn("before", F.col("text"))).select(
+        "doc_id", n_lines.cast("long").alias("n_lines"), F.size("dropped_lines").cast("long").alias("n_dropped"),
+        F.concat_ws(",", F.col("dropped_lines").cast("array<string>")).alias("dropped"), "text",
+    )
