@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contamination import contamination_report
+from .language import identify_languages
 from .packing import pack_documents
 from .setsketch import near_duplicates
 from .templates import drop_recurring_lines
@@ -125,3 +126,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", n_lines.cast("long").alias("n_lines"), F.size("dropped_lines").cast("long").alias("n_dropped"),
         F.concat_ws(",", F.col("dropped_lines").cast("array<string>")).alias("dropped"), "text",
     )
+
+
+@query("op8_kernel_language")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    found = identify_languages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "language.held_out", "language.lang_pred", "language.score")
