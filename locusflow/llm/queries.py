@@ -12,6 +12,7 @@ from .language import identify_languages
 from .packing import pack_documents
 from .setsketch import near_duplicates
 from .templates import drop_recurring_lines
+from .vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,3 +134,30 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     found = identify_languages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "language.held_out", "language.lang_pred", "language.score")
+
+
+@query(
+    "op2_subspace_vectors",
+    sql="""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(max(n), 0) AS n_links, min(other) AS component_id, e.vec_id = min(other) AS kept
+FROM embeddings e JOIN reach r ON r.vec_id = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id GROUP BY e.vec_id
+""",
+)
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with a cosine of at least 0.95."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
