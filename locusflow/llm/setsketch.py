@@ -28,6 +28,9 @@ REGISTERS, BAND_ROWS = 288, 6
 #: Standard deviations of the estimate by which a candidate may fall short of the threshold.
 SLACK = 6.0
 
+#: Members and shingles in a chunk of a large bucket.
+TILE_ROWS, TILE_SHINGLES = 2048, 1_500_000
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,14 +155,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
         for batch in batches:
             first, at = shingle_sets(batch["text_a"].tolist(), words)
             second, to = shingle_sets(batch["text_b"].tolist(), words)
-            keep = np.zeros(len(batch), dtype=bool)
-            for k in range(len(batch)):
-                x, y = first[at[k] : at[k + 1]], second[to[k] : to[k + 1]]
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[k] = common > 0 and 100 * common >= percent * (len(both) - common)
+            keep = [
+                _similar(first[at[k] : at[k + 1]], second[to[k] : to[k + 1]], percent) for k in range(len(batch))
+            ]
             yield batch.loc[keep, ["a", "b"]]
 
     return joined.mapInPandas(run, "a long, b long")
@@ -173,8 +171,9 @@ def near_duplicates(
 
     Texts are lower-cased (A-Z) and cut at white space; a text shorter than a shingle is one shingle, and one without
     words links with nothing. Documents with equal sets form a class at once and take part once. In every bucket of
-    equal band values the members are tried against the smallest one; then all pairs of the bucket that are still
-    in different components, so no pair of a bucket stays untested and none inside a settled group is formed.
+    equal band values the members are tried against the smallest one; then, inside tiles, all pairs of the bucket that
+    are still in different components. So no pair of a bucket stays untested unless a chain of links joins it
+    already, and a settled group never forms its pairs.
     Null ids keep their row, link with nothing and are not kept; rows that repeat an id count as one document.
     An empty table gives no rows.
     """
@@ -189,9 +188,9 @@ def near_duplicates(
     bands = F.array(
         *(F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * band_rows, band_rows)) for k in range(registers // band_rows))
     )
-    buckets = classes.select("rep", F.explode(bands).alias("band"))
+    buckets = classes.select("rep", F.posexplode(bands).alias("at", "band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("band", "a")
-    members = cut_lineage(buckets.join(shared, "band").select("band", "a", F.col("rep").alias("b")))
+    members = cut_lineage(buckets.join(shared, "band").select("at", "band", "a", F.col("rep").alias("b")))
     texts = cut_lineage(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         .join(members.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
@@ -206,18 +205,8 @@ def near_duplicates(
     edges = cut_lineage(edges.unionByName(_confirmed(rest, texts, words, percent)))
     groups = _groups(edges)
 
-    # Then every pair of a bucket whose components still differ.
-    known = members.join(groups.toDF("b", "component"), "b", "left").select("band", "b", F.coalesce("component", "b").alias("c"))
-    mixed = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    known = cut_lineage(known.join(mixed, "band"))
-    parts = known.select("band", "c").distinct()
-    crossed = parts.toDF("band", "ca").join(parts.toDF("band", "cb"), "band").where("ca < cb")
-    open_pairs = (
-        crossed.join(known.toDF("band", "a", "ca"), ["band", "ca"]).join(known.toDF("band", "b", "cb"), ["band", "cb"])
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    late = cut_lineage(_confirmed(_likely(open_pairs, classes, similarity), texts, words, percent))
+    # Then, in tiles, every pair of a bucket whose components still differ.
+    late = cut_lineage(_late_links(members, groups, classes, texts, words, percent, registers // band_rows))
     if not late.isEmpty():
         groups = _groups(edges.unionByName(late))
 
@@ -230,6 +219,91 @@ def near_duplicates(
     )
 
 
+def _late_links(
+    members: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, bands: int
+) -> DataFrame:
+    """Links (a, b) between components that share a bucket; a few per pair of components, found inside tiles.
+
+    A bucket of two was settled by its star. Larger ones are cut into chunks of bounded content, and each pair of
+    chunks is one tile, so that nothing but links leaves a task.
+    """
+    sized = members.join(classes.select(F.col("rep").alias("b"), "n_shingles", "sketch"), "b")
+    known = sized.join(groups.toDF("b", "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    mixed = (
+        known.groupBy("band").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("content")
+        )
+        .where("low < high and n > 2")
+        .select("band", F.ceil(F.greatest(F.col("n") / TILE_ROWS, F.col("content") / TILE_SHINGLES)).cast("int").alias("chunks"))
+    )
+    own = F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")
+    spread = (
+        known.join(mixed, "band").withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        .join(texts.toDF("b", "text"), "b")
+    )
+    columns = ["at", "low", "high", "own", "b", "component", "n_shingles", "sketch", "text"]
+    tiles = spread.select("band", *columns).groupBy("band", "low", "high")
+    return tiles.applyInPandas(_tile(words, percent, bands), "a long, b long")
+
+
+def _tile(words: int, percent: int, bands: int):
+    similarity = percent / 100
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["own", "b"], ignore_index=True)
+        ids, part, size, chunk = (frame[c].to_numpy() for c in ("b", "component", "n_shingles", "own"))
+        marks = np.stack([np.frombuffer(x, np.uint8) for x in frame["sketch"]])
+        keys = np.ascontiguousarray(marks[:, : marks.shape[1] // bands * bands]).view(f"V{marks.shape[1] // bands}")
+        _, keys = np.unique(keys, return_inverse=True)  # equal band values as equal numbers
+        keys = keys.reshape(len(frame), bands)
+        least = similarity - SLACK * np.sqrt(similarity * (1 - similarity) / marks.shape[1])
+        band, both = int(frame["at"].iloc[0]), key[1] != key[2]
+        sets = offsets = None
+        links = []
+        joined = {c: c for c in part.tolist()}
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                joined[c] = joined[joined[c]]
+                c = joined[c]
+            return c
+
+        for i in range(len(frame)):
+            # The pair belongs to the first band its sketches share, and to one tile.
+            rest = np.arange(i + 1, len(frame))
+            rest = rest[(part[rest] != part[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))]
+            if both:
+                rest = rest[chunk[rest] != chunk[i]]
+            if len(rest) and band:
+                rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
+            if not len(rest):
+                continue
+            found = joint_similarity(np.broadcast_to(marks[i], (len(rest), marks.shape[1])), marks[rest], np.full(len(rest), size[i]), size[rest])
+            likely = np.flatnonzero(found >= least)
+            if len(likely) and sets is None:
+                sets, offsets = shingle_sets(frame["text"].tolist(), words)
+            for j in rest[likely[np.argsort(-found[likely], kind="stable")]].tolist():
+                x, y = root(int(part[i])), root(int(part[j]))
+                if x != y and _similar(sets[offsets[i] : offsets[i + 1]], sets[offsets[j] : offsets[j + 1]], percent):
+                    joined[max(x, y)] = min(x, y)
+                    links.append((ids[i], ids[j]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct values."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and 100 * common >= percent * (len(both) - common)
+
+
 def _groups(edges: DataFrame) -> DataFrame:
     return components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("node", "component")
 
