@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .contamination import contamination_report
 from .language import identify_languages
+from .maxent import language_model_scores
 from .packing import pack_documents
 from .setsketch import near_duplicates
 from .templates import drop_recurring_lines
@@ -161,3 +162,9 @@ FROM embeddings e JOIN reach r ON r.vec_id = e.vec_id LEFT JOIN counts c ON c.a
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with a cosine of at least 0.95."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_maxent_scores")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return language_model_scores(table(spark, sf_dir, "documents"))
