@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .contamination import contamination_report
 from .language import identify_languages
+from .licences import find_licences
 from .maxent import language_model_scores
 from .packing import pack_documents
+from .privacy import KINDS, TERM, digest, find_private
+from .quality import score_quality
 from .setsketch import near_duplicates
 from .templates import drop_recurring_lines
 from .vectors import near_vectors
@@ -168,3 +171,34 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document."""
     return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op7_factorisation_quality")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    found = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=["n_chars"])
+    return found.select("doc_id", "quality.held_out", "quality.score", "quality.predicted")
+
+
+@query("op1_licence_scan")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    found = find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hits = F.transform("licences", lambda x: F.concat_ws(":", x["template"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select(
+        "doc_id", F.size("licences").cast("long").alias("n_passages"), F.array_join(F.array_sort(F.array_distinct("licences.template")), ",").alias("licences"),
+        F.round(F.array_max("licences.dice"), 6).alias("best_dice"), F.array_join(hits, ",").alias("passages"),
+    )
+
+
+@query("op5_disclosure_control")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that reveal it."""
+    found = find_private(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    base, terms = digest("base"), digest("terms", TERM)
+    return found.select(
+        "doc_id", *counts, F.sha2(base, 256).alias("base_sha256"),
+        F.array_join(F.filter(F.array(base, terms), lambda s: s != ""), ",").alias("spans"), F.size("terms").cast("long").alias("n_terms"),
+    )
