@@ -25,13 +25,14 @@ from .common import prepare
 from .components import components
 
 #: Dimensions of a block, largest number of split coordinates, and vectors a cell should hold.
-BLOCK, MOST_SPLITS, CELL = 8, 8, 2048
+BLOCK, MOST_SPLITS, CELL = 16, 8, 4096
 
 #: Home and visiting vectors of one tile.
 HOME, VISITORS = 2048, 8192
 
-#: Candidates verified at once, and what rounding may add to a squared distance.
-_CHUNK, _ROUNDING = 1 << 16, 1e-9
+#: Candidates verified at once, and what rounding may add to a squared distance in
+#: double and in single precision.
+_CHUNK, _ROUNDING, _SINGLE = 1 << 16, 1e-9, 1e-5
 
 
 def rotation(dims: int, seed: int = 20) -> np.ndarray:
@@ -71,7 +72,7 @@ def scaled(raw: np.ndarray) -> np.ndarray:
 
 
 def _rows(batch: pd.DataFrame, kind: str) -> np.ndarray:
-    return scaled(np.stack([np.frombuffer(x, dtype=kind) for x in batch["vector"]]))
+    return scaled(np.frombuffer(b"".join(batch["vector"]), dtype=kind).reshape(len(batch), -1))
 
 
 def _reach(turned: np.ndarray, means: np.ndarray, splits: int, cosine: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -143,19 +144,20 @@ def _tile(kind: str, dims: int, cosine: float):
         ids, weights, role = (frame[c].to_numpy() for c in ("id", "weight", "role"))
         raw = _rows(frame, kind)
         norms = np.sqrt((raw * raw).sum(axis=1))
-        turned = (raw / norms[:, None]) @ rotation(dims)
-        parts = blocks(dims)
+        turn, parts = rotation(dims), blocks(dims)
         budgets = [(2 - 2 * cosine) * (p.stop - p.start) / dims + _ROUNDING for p in parts]
         homes, visitors = np.flatnonzero(role == HOME_COPY), np.flatnonzero(role != HOME_COPY)
         links, label = np.zeros(len(frame), dtype=np.int64), np.arange(len(frame))
         found: list[np.ndarray] = []
-        x = turned[:, parts[b]]
-        squares = (x * x).sum(axis=1)
+        x = (raw / norms[:, None]) @ turn[:, parts[b]]
+        squares, one = (x * x).sum(axis=1)[:, None], np.ones((len(frame), 1))
+        # Squared distances as one product, in single precision; exact tests follow.
+        from_home = np.hstack([x, squares, one]).astype(np.float32)
+        to_visitor = np.hstack([-2 * x, one, squares]).astype(np.float32)[visitors].T
         step = max(1, (1 << 21) // max(1, len(visitors)))
         for at in range(0, len(homes), step):
             some = homes[at : at + step]
-            gap = squares[some][:, None] + squares[visitors][None, :] - 2 * x[some] @ x[visitors].T
-            left, right = np.nonzero(gap <= budgets[b] + 1e-7)
+            left, right = np.nonzero(from_home[some] @ to_visitor <= budgets[b] + _SINGLE)
             for k in range(0, len(left), _CHUNK):
                 i, j = some[left[k : k + _CHUNK]], visitors[right[k : k + _CHUNK]]
                 once = (role[j] == VISITOR) | (ids[i] < ids[j])
@@ -163,8 +165,9 @@ def _tile(kind: str, dims: int, cosine: float):
                 ok = (raw[i] * raw[j]).sum(axis=1) / (norms[i] * norms[j]) >= cosine
                 i, j = i[ok], j[ok]
                 first = np.ones(len(i), dtype=bool)
+                apart = raw[i] / norms[i][:, None] - raw[j] / norms[j][:, None]
                 for c in range(b + 1):
-                    within = ((turned[i][:, parts[c]] - turned[j][:, parts[c]]) ** 2).sum(axis=1) <= budgets[c]
+                    within = ((apart @ turn[:, parts[c]]) ** 2).sum(axis=1) <= budgets[c]
                     first &= within if c == b else ~within
                 i, j = i[first], j[first]
                 np.add.at(links, i, weights[j])
