@@ -15,6 +15,10 @@ VARIANT = ["contig", "start", "ref", "alt"]
 KEY_COLUMNS = ("sampleId", "SampleId", "Region")
 
 
+# Fixed value: region of samples that the panel does not list.
+UNKNOWN_REGION = "Unknown"
+
+
 def flatten_calls(nested: DataFrame) -> DataFrame:
     """Nested genotype rows → flat columns; only the fields used later are read from the source."""
     return nested.select(
@@ -60,8 +64,13 @@ def sample_in(calls: DataFrame, samples: Iterable[str], sample_col: str = "sampl
     return calls.join(listed, sample_col, "left_semi")
 
 
+def panel_level(panel: DataFrame, level: str) -> str:
+    """Name of the panel's population column."""
+    return "Region" if level not in panel.columns and "Region" in panel.columns else level
+
+
 def panel_population_filter(panel: DataFrame, keep: Iterable[str], level: str = "super_pop") -> DataFrame:
-    return panel.filter(F.col(level).isin(list(keep)))
+    return panel.filter(F.col(panel_level(panel, level)).isin(list(keep)))
 
 
 def frequency_range(
@@ -194,10 +203,13 @@ def calls_join_catalog(
 
 
 def attach_region(
-    df: DataFrame, panel: DataFrame, level: str = "super_pop", sample_col: str = "sampleId", default: str = "Unknown"
+    df: DataFrame, panel: DataFrame, level: str = "super_pop", sample_col: str = "sampleId", default: str = UNKNOWN_REGION
 ) -> DataFrame:
-    """Panel lookup; samples outside the panel get ``default``."""
-    lookup = panel.select(F.col("sampleId").alias(sample_col), F.col(level).alias("Region"))
+    """Panel lookup; samples outside the panel get ``default``.
+
+    A panel that was read at one level already holds it as ``Region``.
+    """
+    lookup = panel.select(F.col("sampleId").alias(sample_col), F.col(panel_level(panel, level)).alias("Region"))
     return df.join(broadcast_if_small(lookup), sample_col, "left").withColumn(
         "Region", F.coalesce("Region", F.lit(default))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
-from ..session import one_value
+from ..session import broadcast_if_small, cut_lineage, one_value
 from .calls import (
     SITE,
     VARIANT,
@@ -163,22 +163,21 @@ def sample_variant_dosage(
 ) -> DataFrame:
     """Dosage per (sample, site) over the catalogued sites.
 
-    Calls are summed before the join and catalogue rows are counted per site, so a site that holds a
-    large share of all calls enters the join with one row per sample. Multiplying by the number of
-    catalogue rows gives the same sums as joining every call with every row.
+    Catalogue rows in the frequency range are counted per site first; calls at other sites are gone
+    before anything is shuffled when that list is small enough to be sent along, and before the sums
+    otherwise. Multiplying by the number of catalogue rows gives the same sums as joining every call
+    with every row.
     """
-    per_site = (
-        calls.filter(G.not_double_other_alt("alleles"))
-        .groupBy("sampleId", *SITE)
-        .agg(F.sum(G.dosage("alleles")).cast("bigint").alias("_d"))
-    )
     rows = (
         catalog.filter(F.col("frequency").between(low, high))
         .groupBy(*SITE)
         .agg(F.count(F.lit(1)).alias("_k"))
     )
-    return per_site.join(rows, SITE).select(
-        "sampleId", G.variant_id2().alias("variantId"), (F.col("_d") * F.col("_k")).alias("altCount")
+    chosen = calls.filter(G.not_double_other_alt("alleles")).join(broadcast_if_small(rows), SITE)
+    return (
+        chosen.groupBy("sampleId", *SITE, "_k")
+        .agg(F.sum(G.dosage("alleles")).cast("bigint").alias("_d"))
+        .select("sampleId", G.variant_id2().alias("variantId"), (F.col("_d") * F.col("_k")).alias("altCount"))
     )
 
 
@@ -274,10 +273,13 @@ def sample_index(df: DataFrame, key: str = "sampleId", out: str = "sidx", bucket
 
 
 def row_index(df: DataFrame, *order: str, out: str = "rowIdx") -> DataFrame:
-    """Position of each row in key order, counted per range partition."""
-    ordered = df.orderBy(*order)
-    schema = ordered.schema.add(out, "long")
-    return ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1])).toDF(schema)
+    """Position of each row in key order: its place in its range partition plus the rows of the earlier ones."""
+    ordered = cut_lineage(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_p", F.shiftright("_m", 33))
+    before = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    before = before.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_shift"))
+    place = F.col("_m") - F.shiftleft("_p", 33) + F.col("_shift")
+    return ordered.join(F.broadcast(before), "_p").withColumn(out, place).drop("_m", "_p", "_shift")
 
 
 def cumulative_share(values: DataFrame, position: str = "component", value: str = "value") -> DataFrame:

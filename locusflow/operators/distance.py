@@ -22,14 +22,17 @@ def sample_rows(
     long: DataFrame, key: str = "sampleId", feature: str = "idx", value: str = "dosage",
     label: str | None = None, chunk: int = FEATURE_CHUNK,
 ) -> DataFrame:
-    """Per sample (and feature chunk) the features as a sparse row; absent features count as zero."""
+    """Per sample (and feature chunk) the features as a sparse row; absent features count as zero.
+
+    Of repeated cells the largest value counts, whatever the order of the rows.
+    """
     extra = [] if label is None else [F.col(label).cast("string").alias("label")]
     cells = long.filter(F.col(value).isNotNull()).select(
         F.col(key).alias("id"), *extra, F.floor(F.col(feature) / chunk).cast("int").alias("chunk"),
         F.struct((F.col(feature) % chunk).cast("int").alias("f"), F.col(value).cast("double").alias("v")).alias("e"),
     )
     keys = ["id", "chunk"] if label is None else ["id", "label", "chunk"]
-    gathered = cells.groupBy(*keys).agg(F.collect_list("e").alias("e"))
+    gathered = cells.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("e"))
     return gathered.select(*keys, F.col("e.f").alias("f"), F.col("e.v").alias("v"))
 
 
@@ -88,7 +91,7 @@ def pair_distances(rows: DataFrame, metric: str = "euclidean", p: float = 2, til
     labelled = "label" in rows.columns
     rows = cut_lineage(rows)
     numbers = cut_lineage(sample_index(rows, "id"))
-    size = rows.agg(F.count_distinct("id").alias("n"), F.max(F.size("f")).alias("width"), F.max("chunk").alias("chunks")).first()
+    size = rows.agg(F.count_distinct("id").alias("n"), (F.max(F.array_max("f")) + 1).alias("width"), F.max("chunk").alias("chunks")).first()
     tile = tile or TL.tile_size(size["n"], size["width"] or 1, cells=1 << 21)
     if size["chunks"]:  # a sample without features in some chunk still counts there, as zeros
         every = numbers.select("id", F.explode(F.sequence(F.lit(0), F.lit(size["chunks"]))).alias("chunk"))

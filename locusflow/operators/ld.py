@@ -40,7 +40,8 @@ def snp_vectors(
         "contig", "idx", "pos", F.floor(F.col("sidx") / chunk).cast("int").alias("chunk"),
         F.when(F.col("d").isNotNull(), entry).alias("e"),  # a SNP without known dosages keeps an empty row
     )
-    gathered = entries.groupBy("contig", "idx", "pos", "chunk").agg(F.collect_set("e").alias("e"))
+    # Sorted: of contradicting calls the largest dosage counts, whatever the order of the rows.
+    gathered = entries.groupBy("contig", "idx", "pos", "chunk").agg(F.array_sort(F.collect_set("e")).alias("e"))
     return gathered.select("contig", "idx", "pos", "chunk", F.col("e.s").alias("s"), F.col("e.d").alias("d"))
 
 
@@ -98,8 +99,8 @@ def pair_counts(
 ) -> DataFrame:
     """3x3 genotype counts of every SNP pair ``j < i`` inside the window, per contig."""
     size = vectors.agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size("s")).alias("width"), F.max("chunk").alias("chunks")
-    ).first()
+        F.count(F.lit(1)).alias("rows"), (F.max(F.array_max("s")) + 1).alias("width"), F.max("chunk").alias("chunks")
+    ).first()  # a tile is as wide as the highest sample number, however few calls are known
     sent = window_tiles(vectors, max_bp, max_n, tile or TL.tile_size(size["rows"], size["width"] or 1))
     schema = "contig string, i long, j long, " + ", ".join(f"{c} long" for c in LD.CELLS)
     counted = sent.groupBy("contig", "t", "u", "chunk").applyInArrow(_cells_of_tiles(max_bp, max_n), schema)

@@ -128,7 +128,3 @@ def index_labels(df: DataFrame, column: str = "Region", out: str = "label") -> t
 
 def labels_back(df: DataFrame, model: StringIndexerModel, column: str = "prediction", out: str = "predictedLabel") -> DataFrame:
     return IndexToString(inputCol=column, outputCol=out, labels=model.labels).transform(df)
-
-
-def array_column(column: str | Column) -> Column:
-    return vector_to_array(F.col(column) if isinstance(column, str) else column)

@@ -81,12 +81,6 @@ def train_test_split(
     return df.filter(score < ratio), df.filter(score >= ratio)
 
 
-def random_split(df: DataFrame, ratio: float = 0.7, seed: int = SEED, rep: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Row-wise random split, for tables without a key."""
-    train, test = df.randomSplit([ratio, 1 - ratio], seed + rep)
-    return train, test
-
-
 def frame_split(df: DataFrame, ratio: float = 0.7, seed: int = SEED, key: str = "sampleId") -> tuple[DataFrame, DataFrame]:
     """(training, validation) for the reductions that fit on a part."""
     return train_test_split(df, ratio, seed, 0, key)

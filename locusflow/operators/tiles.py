@@ -39,8 +39,8 @@ def windowed_tile_pairs(tiles: DataFrame, max_bp: int | None, max_n: int | None)
     """Tile pairs (contig, t, u), ``u <= t``, that can hold a pair inside the window.
 
     ``tiles`` has one row per tile: contig, tile, first/last position and number. With a position
-    limit, tiles meet in position buckets of the window width (an equi-join); without one, the
-    earlier tiles of the number window are listed directly.
+    limit, tiles meet in position buckets of the window width (an equi-join), whatever the order of
+    their positions; without one, the earlier tiles of the number window are listed directly.
     """
     if max_bp is None:
         ahead = F.col("tile")
@@ -54,15 +54,16 @@ def windowed_tile_pairs(tiles: DataFrame, max_bp: int | None, max_n: int | None)
     width = max_bp + 1
     bucket = [F.floor(F.col(c) / width).cast("long") for c in ("first_pos", "last_pos")]
     later = tiles.select(
-        "contig", F.col("tile").alias("t"), F.col("first_pos").alias("t_pos"), F.col("first_n").alias("t_n"),
-        F.explode(F.sequence(bucket[0] - 1, bucket[1])).alias("_b"),
+        "contig", F.col("tile").alias("t"), F.col("first_pos").alias("t_first"), F.col("last_pos").alias("t_last"),
+        F.col("first_n").alias("t_n"), F.explode(F.sequence(bucket[0] - 1, bucket[1] + 1)).alias("_b"),
     )
     earlier = tiles.select(
-        "contig", F.col("tile").alias("u"), F.col("last_pos").alias("u_pos"), F.col("last_n").alias("u_n"),
+        "contig", F.col("tile").alias("u"), F.col("first_pos").alias("u_first"), F.col("last_pos").alias("u_last"),
+        F.col("last_n").alias("u_n"),
         F.explode(F.sequence(bucket[0], bucket[1])).alias("_b"),
     )
     met = later.join(earlier, ["contig", "_b"]).filter(F.col("u") <= F.col("t"))
-    met = met.filter(F.col("t_pos") - F.col("u_pos") <= max_bp)
+    met = met.filter((F.col("t_first") - F.col("u_last") <= max_bp) & (F.col("u_first") - F.col("t_last") <= max_bp))
     if max_n is not None:
         met = met.filter(F.col("t_n") - F.col("u_n") <= max_n)
     return met.select("contig", "t", "u").distinct()

@@ -23,8 +23,8 @@ from ..operators import reshape as RS
 from ..operators import sampling as Q
 from ..session import broadcast_if_small, cut_lineage
 from ..sources import writers as W
-from ..sources.params import JobParams
-from ..sources.readers import read_feature_csv, read_genotypes, read_variant_catalog
+from ..sources.params import JobParams, load_job_params
+from ..sources.readers import read_feature_csv, read_genotypes, read_panel, read_variant_catalog
 
 
 class StageClock:
@@ -147,10 +147,10 @@ def assign(features: DataFrame, params: JobParams, result: Stratification, colum
         method, reps = params.clustering_method, params.n_repeat_clustering
         if params.cv_clustering:
             best = A.best_k(C.tune_k(features, method, reps=reps, features=column))
-            k = result.clock.run("K estimation", lambda: best.first()["k"])
+            k = result.clock.run("choose k", lambda: best.first()["k"])
         result.chosen_k = k
         result.purity = result.clock.run(
-            f"Clustering. {method}", lambda: cut_lineage(C.repeat_purity(features, method, k, reps, column))
+            f"cluster: {method}", lambda: cut_lineage(C.repeat_purity(features, method, k, reps, column))
         )
         result.clusters = C.fit_predict(features, features, method, k, column)
         if params.cluster_df_file:
@@ -161,7 +161,7 @@ def assign(features: DataFrame, params: JobParams, result: Stratification, colum
         if method == "svm":
             options |= {"cost": (0.01, 0.1, 1.0, 10.0), "max_iter": (1,)}
         result.classification = result.clock.run(
-            f"Classification. {method}",
+            f"classify: {method}",
             lambda: cut_lineage(K.repeat_classification(features, method, params.n_repeat_classification, **options)),
         )
         if params.class_train_file or params.class_test_file:
@@ -180,15 +180,14 @@ def stratify(calls: DataFrame, catalog: DataFrame, panel: DataFrame, params: Job
         panel = P.panel_population_filter(panel, params.population_set, level)
     clock = StageClock()
     long = clock.run(
-        "Feature selection. Frequencies",
+        "select variants by frequency",
         lambda: cut_lineage(A.sample_variant_dosage(calls, catalog, params.inf_freq, params.sup_freq)),
     )
     result = Stratification(features=long, clock=clock)
     if params.ld_pruning:
-        sites = A.snp_index(catalog.select(*P.SITE).distinct().withColumns({"ref": F.lit(""), "alt": F.lit("")}))
-        located = long.join(sites.withColumn("variantId", F.concat_ws(":", "contig", "start")), "variantId")
+        located = _located(long)
         kept = clock.run(
-            "Feature selection. LD Pruning",
+            "prune variants by LD",
             lambda: cut_lineage(
                 L.ld_prune(
                     located.withColumn("dosage", F.col("altCount")), params.ld_method, params.ld_threshold,
@@ -204,7 +203,7 @@ def stratify(calls: DataFrame, catalog: DataFrame, panel: DataFrame, params: Job
         long = Q.drop_outliers(long, result.outliers)
     if params.dim_reduction:
         result.features = clock.run(
-            f"Dimensionality reduction. {params.dim_red_method}",
+            f"reduce dimensions: {params.dim_red_method}",
             lambda: RS.compact(reduce_features(long, panel, params, level)),
         )
     else:
@@ -213,10 +212,44 @@ def stratify(calls: DataFrame, catalog: DataFrame, panel: DataFrame, params: Job
     return assign(result.features, params, result)
 
 
-def stratify_job(spark: SparkSession, params: JobParams, panel: DataFrame) -> Stratification:
-    """The same from the files the parameters name."""
+def _located(long: DataFrame) -> DataFrame:
+    """The matrix with contig, start and SNP number, taken from the variant ids themselves."""
+    site = long.withColumns(
+        {
+            "contig": F.regexp_extract("variantId", r"^(.*):[^:]*$", 1),
+            "start": F.regexp_extract("variantId", r":([^:]*)$", 1).cast("long"),
+        }
+    )
+    sites = site.select("contig", "start").distinct().withColumns({"ref": F.lit(""), "alt": F.lit("")})
+    return site.join(broadcast_if_small(A.snp_index(sites).select("contig", "start", "snpIdx")), ["contig", "start"])
+
+
+def stratify_job(spark: SparkSession, params: JobParams, panel: DataFrame | None = None) -> Stratification:
+    """The same from the files the parameters name; the catalogue is cut to the allowed missing rate."""
+    if params.dim_reduction and params.dim_red_method == "MDS" and params.mds_method != "classic":
+        raise ValueError(f"mds_method: no scaling {params.mds_method!r} here; classic only")
     calls = P.flatten_calls(read_genotypes(spark, params.chr_file))
-    return stratify(calls, read_variant_catalog(spark, params.chr_frequencies_file), panel, params)
+    if panel is None:
+        panel = read_panel(spark, params.panel_file, params.population, params.population_set or None)
+    catalog = read_variant_catalog(spark, params.chr_frequencies_file)
+    catalog = P.missing_rate_filter(catalog, P.sample_total(calls), params.missing_rate)
+    return stratify(calls, catalog, panel, params)
+
+
+def run_job(spark: SparkSession, params_path: str) -> DataFrame | Stratification:
+    """Run what a parameter file asks for.
+
+    Without a frequency file the catalogue is built and written; with ``transformWithR`` the features come from a
+    component table; otherwise calls, catalogue and panel are stratified.
+    """
+    params = load_job_params(spark, params_path)
+    if params.chr_frequencies_file is None:
+        if params.chr_frequencies_file_output is None:
+            raise ValueError("chr_frequencies_file_output: no place for the catalogue")
+        return build_variant_catalog_job(spark, params.chr_file, params.chr_frequencies_file_output)
+    if params.transform_with_r:
+        return stratify_from_features_job(spark, params.chr_file, params)
+    return stratify_job(spark, params)
 
 
 def stratify_from_features(table: DataFrame, params: JobParams) -> Stratification:

@@ -138,8 +138,8 @@ def _(spark, sf):
 @query("stage_report")
 def _(spark, sf):
     clock = J.StageClock()
-    clock.run("Feature selection. Frequencies", lambda: A.freq_dosage(X.gts_raw(spark, sf)).count())
-    clock.run("Dimensionality reduction. PCA", lambda: R.pca_gram(region_vectors(spark, sf), threshold=0.95).count())
+    clock.run("select variants by frequency", lambda: A.freq_dosage(X.gts_raw(spark, sf)).count())
+    clock.run("reduce dimensions: PCA", lambda: R.pca_gram(region_vectors(spark, sf), threshold=0.95).count())
     return clock.report(spark)
 
 

@@ -12,6 +12,7 @@ from ..plans import jobs as J
 from ..session import scratch_path
 from ..sources import readers as RD
 from ..sources import writers as W
+from ..sources.params import load_job_params
 from .base import alleles_out, query, rounded
 from .q_calls import CALL, DOSE_COUNT, N_RAW
 from .q_catalog import CELL_CATALOG, PC64, PC_SQL, flat_catalog
@@ -102,3 +103,30 @@ def _(spark, sf):
 def _(spark, sf):
     path = W.write_single_file(_cm(spark, sf), scratch_path(spark, "report") + ".csv")
     return spark.read.schema("y string, p string, n bigint").csv(path, header=True)
+
+
+_SETTINGS = """
+SELECT 'population_set' AS name, region AS value FROM (SELECT DISTINCT super_pop AS region FROM panel) r
+UNION ALL SELECT 'ld_max_bp', CAST(max(start) AS STRING) FROM gts_raw
+UNION ALL SELECT 'n_repeat_clustering', CAST(count(DISTINCT sampleId) AS STRING) FROM gts_raw
+UNION ALL SELECT 'ld_threshold', '0.25' UNION ALL SELECT 'clustering', 'true' UNION ALL SELECT 'chr_frequencies_file', 'null'
+"""
+
+
+@query("load_job_params", "panel", "gts_raw", sql=_SETTINGS.replace("STRING", "VARCHAR"))
+def _(spark, sf):
+    """A parameter file written from the tables, read back with its types."""
+    calls = X.gts_raw(spark, sf)
+    regions = X.panel(spark, sf).agg(F.array_join(F.array_sort(F.collect_set("super_pop")), "/").alias("value"))
+    lines = regions.select(F.lit("population_set").alias("key"), "value")
+    for key, value in (
+        ("ld_max_bp", F.max("start")), ("n_reapeat_clustering", F.count_distinct("sampleId")), ("ld_treshold", F.lit(0.25)), ("clustering", F.lit("TRUE")),
+        ("chr_frequencies_file", F.lit("null")), ("chr_file", F.lit("calls")), ("panel_file", F.lit("panel")),
+    ):
+        lines = lines.unionByName(calls.agg(value.cast("string").alias("value")).select(F.lit(key).alias("key"), "value"))
+    path = W.write_csv(lines, scratch_path(spark, "parameters"))
+    got = load_job_params(spark, path)
+    rows = [("population_set", p) for p in got.population_set]
+    rows += [("ld_max_bp", str(got.ld_max_bp)), ("n_repeat_clustering", str(got.n_repeat_clustering)), ("ld_threshold", str(got.ld_threshold))]
+    rows += [("clustering", str(got.clustering).lower()), ("chr_frequencies_file", got.chr_frequencies_file or "null")]
+    return spark.createDataFrame(rows, "name string, value string")

@@ -35,5 +35,3 @@ VARIANT_CATALOG = T.StructType(
         T.StructField("genotype", T.ArrayType(T.StringType())),
     ]
 )
-
-PANEL_LEVELS = ("pop", "super_pop")

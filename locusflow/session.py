@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-#: Largest row count that may be shipped to every executor as a broadcast table.
-BROADCAST_ROWS = 500_000
+#: Largest row count and size (estimated from the values) that may be shipped to every executor as a broadcast table.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def build_session(app: str = "locusflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,9 +66,24 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; a bigger table keeps the shuffled join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+def _bytes_of(df: DataFrame) -> Column:
+    """Size of a row: text and array lengths, eight bytes for anything else."""
+    total = F.lit(16)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            total = total + 32 * F.greatest(F.size(c), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after counting rows and bytes; a bigger table keeps the shuffled join."""
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(_bytes_of(df))).first()
+    if rows <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(df)
     return df
 

@@ -150,3 +150,40 @@ def test_window_join_equals_all_pairs_filter(spark):
     snps = spark.createDataFrame([("c", i, int(p)) for i, p in enumerate(pos)], "contig string, idx long, start long")
     got = {(r["i"], r["j"]) for r in L.window_pair_join(snps, 300, 7).collect()}
     assert got == {(i, j) for i in range(60) for j in range(i) if pos[i] - pos[j] <= 300 and i - j <= 7}
+
+
+# ---------------------------------------------------------------- routing and tile width
+
+
+def _calls(spark, positions, samples=6, seed=11):
+    rng = np.random.default_rng(seed)
+    rows = [("1", k, int(p), f"s{s}", int(rng.integers(0, 3))) for k, p in enumerate(positions) for s in range(samples)]
+    return spark.createDataFrame(rows, "contig string, idx int, start long, sampleId string, dosage int")
+
+
+@pytest.mark.parametrize("order", ["rising", "falling", "shuffled"])
+def test_pairs_do_not_depend_on_number_order(spark, order):
+    positions = np.sort(np.random.default_rng(7).choice(20_000, 40, replace=False))
+    if order == "falling":
+        positions = positions[::-1]
+    if order == "shuffled":
+        positions = np.random.default_rng(8).permutation(positions)
+    got = L.pair_counts(L.snp_vectors(_calls(spark, positions)), 5_000, tile=8).select("i", "j").collect()
+    wanted = {(i, j) for i in range(40) for j in range(i) if abs(positions[i] - positions[j]) <= 5_000}
+    assert {(r.i, r.j) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_tile_size_follows_the_highest_sample_number(spark, monkeypatch):
+    """Few known calls among a million sample numbers: the rows of a tile shrink accordingly."""
+    sizes = []
+    monkeypatch.setattr(L.TL, "tile_size", lambda rows, width: sizes.append(width) or 8)
+    rows = [("1", k, 100 * k, 0, [5, 999_999], [1, 2]) for k in range(4)]
+    vectors = spark.createDataFrame(rows, "contig string, idx long, pos long, chunk int, s array<int>, d array<tinyint>")
+    assert L.pair_counts(vectors, 500_000).count() == 6 and sizes == [1_000_000]
+
+
+def test_contradicting_calls_do_not_depend_on_row_order(spark):
+    rows = [("1", 0, 5, "a", 0), ("1", 0, 5, "a", 2), ("1", 1, 9, "a", 1), ("1", 1, 9, "b", 1), ("1", 0, 5, "b", 1)]
+    schema = "contig string, idx int, start long, sampleId string, dosage int"
+    found = [L.pair_counts(L.snp_vectors(spark.createDataFrame(r, schema).coalesce(1)), 100).collect() for r in (rows, rows[::-1])]
+    assert found[0] == found[1]

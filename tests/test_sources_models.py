@@ -156,3 +156,59 @@ def test_stage_clock(spark):
     rows = J.stage_report(spark.createDataFrame([("x", 3_723_000), ("y", 999)], "stage string, milliseconds bigint"))
     assert [r["elapsed"] for r in rows.orderBy("stage").collect()] == ["1hrs, 2mins, 3sec", "0sec"]
     assert clock.report(spark).count() == 1
+
+
+# ---------------------------------------------------------------- jobs from a parameter file
+
+
+def _parameter_file(folder, **values):
+    path = os.path.join(folder, "params.csv")
+    base = PARAMETERS | {"population_set": "AFRICA/AMERICA/ASIA/EUROPE/MIDDLE EAST", "transformWithR": "FALSE", "mds_method": "classic"}
+    with open(path, "w") as f:
+        f.write("".join(f"{k}, {v}\n" for k, v in (base | values).items()))
+    return path
+
+
+@pytest.fixture(scope="module")
+def files(spark, sf_dir):
+    from locusflow import fixtures as X
+
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    out = {"chr_file": os.path.join(folder, "calls"), "panel_file": os.path.join(folder, "panel"), "catalog": os.path.join(folder, "catalog")}
+    W.write_parquet(X.gts_nested(spark, sf_dir), out["chr_file"])
+    W.write_csv(X.panel(spark, sf_dir).withColumnRenamed("sampleId", "sample"), out["panel_file"], sep="\t")
+    from locusflow.operators import catalog as A
+
+    W.write_parquet(A.attach_genotypes(A.snp_index(A.variant_catalog(X.gts_raw(spark, sf_dir), complete=False)), X.gts_raw(spark, sf_dir)), out["catalog"])
+    return out
+
+
+def test_run_job_builds_the_catalogue(spark, files, folder):
+    path = _parameter_file(folder, chr_file=files["chr_file"], chr_frequencies_file="null", chr_frequencies_file_output=os.path.join(folder, "out"))
+    built = J.run_job(spark, path)
+    assert built.columns[0] == "snpIdx" and built.count() == RD.read_variant_catalog(spark, os.path.join(folder, "out")).count()
+
+
+def test_run_job_stratifies_from_files(spark, files, folder):
+    path = _parameter_file(
+        folder, chr_file=files["chr_file"], panel_file=files["panel_file"], chr_frequencies_file=files["catalog"], missing_rate="1", inf_freq="0.05", sup_freq="0.6",
+        clustering="TRUE", clustering_method="kmeans", n_reapeat_clustering="1", classification="FALSE", dim_red_method="pcaH2O", ld_pruning="TRUE", ld_treshold="0.9",
+    )
+    result = J.run_job(spark, path)
+    assert result.features.count() > 0 and {r["Region"] for r in result.features.select("Region").distinct().collect()} <= {"AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "Unknown"}
+    assert result.chosen_k == 5 and result.purity is not None
+
+
+def test_run_job_from_components(spark, folder):
+    from pyspark.sql import Row
+
+    rows = [Row(SampleId=f"s{k}", Region="AB"[k % 2], **{f"PC{i}": float(k % 2) * 5 + 0.1 * ((k * i) % 3) for i in range(1, 20)}) for k in range(40)]
+    table = W.write_csv2(spark.createDataFrame(rows), os.path.join(folder, "components"))
+    path = _parameter_file(folder, chr_file=table, transformWithR="TRUE", classification_method="dt", cv_classification="FALSE", population_set="A/B")
+    assert J.run_job(spark, path).metrics().count() > 0
+
+
+def test_run_job_rejects_what_it_cannot_do(spark, files, folder):
+    path = _parameter_file(folder, chr_file=files["chr_file"], panel_file=files["panel_file"], chr_frequencies_file=files["catalog"], dim_red_method="MDS", mds_method="Metric")
+    with pytest.raises(ValueError):
+        J.run_job(spark, path)
