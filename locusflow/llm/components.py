@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .common import stored
+
+#: Edges in one partition of a stored round.
+PART_EDGES = 100_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,16 +33,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     adaptive execution splits its side of the join. Edges with a null end and loops are ignored.
     """
     clean = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    now = cut_lineage(_small_star(clean.where("u is not null and v is not null")))
+    now = stored(_small_star(clean.where("u is not null and v is not null")), "components")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     seen = state(now)
-    if not seen[0]:
+    parts = -(-seen[0] // PART_EDGES)
+    if not parts:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = stored(_small_star(_large_star(now)).coalesce(parts), "components")
         if (found := state(now)) == seen:
             leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -18,7 +18,6 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import hash_words, maybe_in, membership_map, prepare, stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -171,7 +170,7 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, documents: int, disclos
     spark = texts.sparkSession
     near = found.select("body", F.explode("context").alias("x")).select("body", "x.entity", "x.term")
     pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= MEETINGS)
-    pairs = cut_lineage(pairs)
+    pairs = stored(pairs, "private")
     held = found.select("uid", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("held"))
     rows = found.select("uid", F.explode("context").alias("x")).select("uid", "x.entity", "x.term").distinct()
     together = rows.join(pairs, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))

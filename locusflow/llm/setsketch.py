@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import doc_of, hash_words, mix, prepare, stored
 from .components import components
 
@@ -182,31 +181,31 @@ def near_duplicates(
     similarity = percent / 100
     table = stored(sketch_table(docs, id_col, text_col, words, registers), "setsketch")
     sets = ["n_shingles", "key1", "key2"]
-    classes = cut_lineage(
-        table.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = stored(
+        table.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "near"
     )
     bands = F.array(
         *(F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * band_rows, band_rows)) for k in range(registers // band_rows))
     )
     buckets = classes.select("rep", F.posexplode(bands).alias("at", "band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("band", "a")
-    members = cut_lineage(buckets.join(shared, "band").select("at", "band", "a", F.col("rep").alias("b")))
-    texts = cut_lineage(
+    members = stored(buckets.join(shared, "band").select("at", "band", "a", F.col("rep").alias("b")), "near")
+    texts = stored(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(members.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+        .join(members.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), "near"
     )
-    star = cut_lineage(_likely(members.where("a <> b").select("a", "b").distinct(), classes, similarity))
+    star = stored(_likely(members.where("a <> b").select("a", "b").distinct(), classes, similarity), "near")
 
     # The smallest candidate of every document first: one confirmation settles most of a group.
     nearest = star.groupBy("b").agg(F.min("a").alias("a"))
-    edges = cut_lineage(_confirmed(nearest.select("a", "b"), texts, words, percent))
+    edges = stored(_confirmed(nearest.select("a", "b"), texts, words, percent), "near")
     groups = _groups(edges)
     rest = _apart(star.join(nearest, ["a", "b"], "left_anti"), groups)
-    edges = cut_lineage(edges.unionByName(_confirmed(rest, texts, words, percent)))
+    edges = stored(edges.unionByName(_confirmed(rest, texts, words, percent)), "near")
     groups = _groups(edges)
 
     # Then, in tiles, every pair of a bucket whose components still differ.
-    late = cut_lineage(_late_links(members, groups, classes, texts, words, percent, registers // band_rows))
+    late = stored(_late_links(members, groups, classes, texts, words, percent, registers // band_rows), "near")
     if not late.isEmpty():
         groups = _groups(edges.unionByName(late))
 
@@ -227,8 +226,10 @@ def _late_links(
     A bucket of two was settled by its star. Larger ones are cut into chunks of bounded content, and each pair of
     chunks is one tile, so that nothing but links leaves a task.
     """
-    sized = members.join(classes.select(F.col("rep").alias("b"), "n_shingles", "sketch"), "b")
-    known = sized.join(groups.toDF("b", "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    # Narrow rows first: only what is left of them meets sketches and texts.
+    sizes = classes.select(F.col("rep").alias("b"), "n_shingles")
+    known = members.select("at", "band", "b").join(groups.toDF("b", "component"), "b", "left").join(sizes, "b")
+    known = stored(known.withColumn("component", F.coalesce("component", "b")), "near")
     mixed = (
         known.groupBy("band").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("content")
@@ -241,10 +242,10 @@ def _late_links(
         known.join(mixed, "band").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-        .join(texts.toDF("b", "text"), "b")
     )
-    columns = ["at", "low", "high", "own", "b", "component", "n_shingles", "sketch", "text"]
-    tiles = spread.select("band", *columns).groupBy("band", "low", "high")
+    bodies = texts.toDF("b", "text").join(classes.select(F.col("rep").alias("b"), "sketch"), "b")
+    columns = ["at", "own", "b", "component", "n_shingles", "sketch", "text"]
+    tiles = spread.join(bodies, "b").select("band", "low", "high", *columns).groupBy("band", "low", "high")
     return tiles.applyInPandas(_tile(words, percent, bands), "a long, b long")
 
 

@@ -18,7 +18,6 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import maybe_in, membership_map, prepare, row_keys, stored
 
 #: Leading tokens that lead to a leaf.
@@ -107,12 +106,12 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int)
     line = ["line1", "line2"]
     place = F.struct("doc_id", "key1", "key2", "line")
     held = lines.groupBy("leaf", "tokens", *line).agg(F.sum(F.col("first").cast("long")).alias("docs"), F.min(place).alias("place"))
-    held = cut_lineage(held)
+    held = stored(held, "templates")
     leaves = (
         held.where(F.col("tokens") >= MIN_VARIABLE_TOKENS).groupBy("leaf")
         .agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("lines")).where((F.col("docs") >= min_docs) & (F.col("lines") > 1)).select("leaf")
     )
-    leaves = cut_lineage(leaves)
+    leaves = stored(leaves, "templates")
     shared = spark.sparkContext.broadcast(membership_map(leaves, "leaf"))
     parts = rows.select("text").mapInPandas(_tokens(shared), "leaf long, line1 long, line2 long, parts array<long>")
     parts = parts.join(leaves, "leaf", "left_semi").groupBy(*line).agg(F.first("leaf").alias("leaf"), F.first("parts").alias("parts"))
@@ -129,7 +128,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int)
     named = held.join(template, line, "left").select(
         *line, "docs", "place", F.coalesce("template", "line1").alias("template"), F.coalesce("generalised", F.lit(False)).alias("generalised")
     )
-    named = cut_lineage(named.where("generalised or docs >= %d" % min_docs))
+    named = stored(named.where("generalised or docs >= %d" % min_docs), "templates")
     counted = named.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("place").alias("kept")).where(F.col("docs") >= min_docs)
     return lines, named.select(*line, "template", "generalised").join(counted.select("template", "kept"), "template")
 

@@ -20,8 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import prepare
+from .common import prepare, stored
 from .components import components
 
 #: Dimensions of a block, largest number of split coordinates, and vectors a cell should hold.
@@ -243,7 +242,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     )
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("hash", F.xxhash64("vector"))
     grouped = rows.where("usable").groupBy("hash", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    grouped = cut_lineage(grouped)
+    grouped = stored(grouped, "vectors")
 
     @F.pandas_udf("binary")
     def packed(values: pd.Series) -> pd.Series:
@@ -251,12 +250,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     found = None
     for (dims,) in grouped.select(F.size("vector")).distinct().collect():
-        part = cut_lineage(grouped.where(F.size("vector") == dims).select("id", "weight", packed("vector").alias("vector")))
+        part = stored(grouped.where(F.size("vector") == dims).select("id", "weight", packed("vector").alias("vector")), "vectors")
         some = _links(part, kind, dims, cosine)
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = spark.createDataFrame([], "id long, links long, root long")
-    found = cut_lineage(found)
+    found = stored(found, "vectors")
     parts = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     result = (
