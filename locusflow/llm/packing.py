@@ -24,6 +24,9 @@ from .common import prepare, stored
 #: Pieces packed together by one task.
 GROUP_PIECES = 2500
 
+#: Donors per sequence to be spared, and receivers, that a sweep of the local search looks at.
+DONORS, RECEIVERS = 8, 128
+
 #: Share of a group's pieces that its least filled sequences hand to the next level.
 REOPENED = 20
 
@@ -143,7 +146,8 @@ def improve(bins: _Bins, lengths: list[int]) -> None:
     A donor's document x moves into a receiver with room for it, or is exchanged for one shorter document (or for
     two whose sum is shorter) of a receiver that has room for the difference. The receiver, at least as full as the
     donor, gains what the donor loses, so the sum of squared fills grows with every step and the search ends. Donors
-    are as many sequences as the total of tokens could spare; with none to spare the packing is already best.
+    are the least filled sequences, some more than the total of tokens could spare, so that space also gathers in
+    sequences about to be emptied; receivers those with most space. With none to spare the packing is already best.
     """
     capacity, members, fill = bins.capacity, bins.members, bins.fill
     fewest_left = fewest(lengths, capacity)
@@ -151,8 +155,11 @@ def improve(bins: _Bins, lengths: list[int]) -> None:
     while changed:
         changed = False
         used = sorted((b for b in range(len(fill)) if members[b]), key=lambda b: (fill[b], b))
-        for donor in used[: len(used) - fewest_left]:
-            receivers = [b for b in reversed(used) if b != donor and members[b] and fill[donor] <= fill[b] < capacity]
+        spare = len(used) - fewest_left
+        if spare <= 0:
+            return
+        for donor in used[: DONORS * (spare + 1)]:
+            receivers = [b for b in used[:RECEIVERS] if b != donor and members[b] and fill[donor] <= fill[b] < capacity][::-1]
             for x in sorted(members[donor], key=lambda k: (-lengths[k], k)):
                 step = _best_step(bins, lengths, x, receivers)
                 if step is None:
