@@ -11,7 +11,7 @@ from locusflow.llm.contamination import contaminated, find_passages
 from locusflow.llm.language import UNKNOWN, identify_languages
 from locusflow.llm.packing import pack_documents
 from locusflow.llm.setsketch import near_duplicates
-from locusflow.llm.templates import drop_recurring_lines
+from locusflow.llm.templates import LONG_DOCS, drop_recurring_lines
 from locusflow.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates leave the texts; n_chars follows, every document stays."""
-    found = drop_recurring_lines(docs, dropped_column="__dropped")
+    """Lines of recurring templates and repeated passages leave the texts; n_chars follows, every document stays."""
+    found = drop_recurring_lines(docs, dropped_column="__dropped", long_docs=LONG_DOCS)
     chars = F.when(F.size("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", chars).drop("__dropped")
 

@@ -15,7 +15,7 @@ from .packing import pack_documents
 from .privacy import KINDS, TERM, digest, find_private
 from .quality import score_quality
 from .setsketch import near_duplicates
-from .templates import drop_recurring_lines
+from .templates import LONG_DOCS, drop_recurring_lines
 from .vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,7 +127,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template recurs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.when(F.col("before").isNull(), 0).otherwise(F.size(F.split("before", "\n", -1)))
-    return drop_recurring_lines(docs.withColumn("before", F.col("text"))).select(
+    return drop_recurring_lines(docs.withColumn("before", F.col("text")), long_docs=LONG_DOCS).select(
         "doc_id", n_lines.cast("long").alias("n_lines"), F.size("dropped_lines").cast("long").alias("n_dropped"),
         F.concat_ws(",", F.col("dropped_lines").cast("array<string>")).alias("dropped"), "text",
     )

@@ -26,6 +26,9 @@ DEPTH = 3
 #: Documents a template must occur in.
 MIN_DOCS = 3
 
+#: A line of so many tokens is a passage: word for word, it need occur only in so many documents.
+LONG_TOKENS, LONG_DOCS = 20, 2
+
 #: Lines with fewer tokens are too common to say anything; generalised lines need more.
 MIN_TOKENS, MIN_VARIABLE_TOKENS = 5, 8
 
@@ -54,25 +57,37 @@ def leaf_of(tokens: list[str]) -> int:
     return _hash(" ".join([str(len(tokens)), *tokens[:DEPTH]]), 1)
 
 
-_LINES = "doc_id long, key1 long, key2 int, line int, tokens int, leaf long, line1 long, line2 long, first boolean"
+_LINES = "doc_id long, key1 long, key2 int, line int, tokens int, words int, leaf long, line1 long, line2 long, first boolean"
+
 
+def _parse(passages: bool):
+    """Lines by their masked tokens; with ``passages``, long ones with wildcards also word for word, in a leaf of their own."""
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["at", "line", "tokens", "leaf", "line1", "line2", "first"]
-    for batch in batches:
-        out = []
-        for at, text in enumerate(batch["text"]):
-            seen: set[int] = set()
-            for number, line in enumerate(text.split("\n") if text else ()):
-                tokens = masked(line)
-                if len(tokens) >= MIN_TOKENS:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["at", "line", "tokens", "words", "leaf", "line1", "line2", "first"]
+        for batch in batches:
+            out = []
+            for at, text in enumerate(batch["text"]):
+                seen: set[int] = set()
+                for number, line in enumerate(text.split("\n") if text else ()):
+                    tokens = masked(line)
+                    n = len(tokens)
+                    if n < MIN_TOKENS:
+                        continue
                     whole = " ".join(tokens)
-                    one = _hash(whole)
-                    out.append((at, number, len(tokens), leaf_of(tokens), one, _hash(whole, 7), one not in seen))
+                    one, words = _hash(whole), n - tokens.count(WILDCARD)
+                    out.append((at, number, n, words, leaf_of(tokens), one, _hash(whole, 7), one not in seen))
                     seen.add(one)
-        found = pd.DataFrame(out, columns=names)
-        rows = batch[["doc_id", "key1", "key2"]].iloc[found["at"].to_numpy(dtype=np.int64)].reset_index(drop=True)
-        yield pd.concat([rows, found.drop(columns="at")], axis=1)
+                    if passages and words < n and n >= LONG_TOKENS:
+                        whole = " ".join(line.split())
+                        one = _hash(whole)
+                        out.append((at, number, n, n, one, one, _hash(whole, 7), one not in seen))
+                        seen.add(one)
+            found = pd.DataFrame(out, columns=names)
+            rows = batch[["doc_id", "key1", "key2"]].iloc[found["at"].to_numpy(dtype=np.int64)].reset_index(drop=True)
+            yield pd.concat([rows, found.drop(columns="at")], axis=1)
+
+    return run
 
 
 def _tokens(leaves: Broadcast):
@@ -95,17 +110,17 @@ def _tokens(leaves: Broadcast):
     return run
 
 
-def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """All parsed lines, and (line1, line2, template, generalised, first place) of those whose template recurs."""
+def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, long_docs: int) -> tuple[DataFrame, DataFrame]:
+    """All parsed lines, and (line1, line2, first place) of those whose template recurs or that are recurring passages."""
     spark = docs.sparkSession
     key1, key2 = row_keys(id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key1.alias("key1"), key2.alias("key2"), F.col(text_col).cast("string").alias("text"))
     numbered = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))  # a null id comes first
-    lines = stored(numbered.mapInPandas(_parse, _LINES), "lines")
+    lines = stored(numbered.mapInPandas(_parse(long_docs < min_docs), _LINES), "lines")
 
     line = ["line1", "line2"]
     place = F.struct("doc_id", "key1", "key2", "line")
-    held = lines.groupBy("leaf", "tokens", *line).agg(F.sum(F.col("first").cast("long")).alias("docs"), F.min(place).alias("place"))
+    held = lines.groupBy("leaf", "tokens", "words", *line).agg(F.sum(F.col("first").cast("long")).alias("docs"), F.min(place).alias("place"))
     held = stored(held, "templates")
     leaves = (
         held.where(F.col("tokens") >= MIN_VARIABLE_TOKENS).groupBy("leaf")
@@ -130,22 +145,26 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int)
     )
     named = stored(named.where("generalised or docs >= %d" % min_docs), "templates")
     counted = named.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("place").alias("kept")).where(F.col("docs") >= min_docs)
-    return lines, named.select(*line, "template", "generalised").join(counted.select("template", "kept"), "template")
+    found = named.select(*line, "template").join(counted.select("template", "kept"), "template").select(*line, "kept")
+    passages = held.where((F.col("words") == F.col("tokens")) & (F.col("tokens") >= LONG_TOKENS) & F.col("docs").between(long_docs, min_docs - 1))
+    return lines, found.unionByName(passages.select(*line, F.col("place").alias("kept")))
 
 
 def drop_recurring_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, dropped_column: str = "dropped_lines",
+    long_docs: int | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs``; ``text_col`` without the dropped lines, whose numbers ``dropped_column`` lists.
 
     A line is dropped when its template occurs in at least ``min_docs`` documents, except at the template's first
     place (smallest id, then line), so that shared content stays in the corpus once. Fields with digits are always
-    variable. Lines of fewer than five tokens stay, and templates with variable words ask for eight tokens. Documents
+    variable. A line of at least twenty tokens goes from ``long_docs`` documents on if it stands there word for word
+    (``min_docs`` if not given; the query and the pipeline give two). Lines of fewer than five tokens stay, and templates with variable words ask for eight tokens. Documents
     are rows: copies count, a line repeated inside one document counts once. Rows that repeat both id and text get
     the same drops. A null text stays null with no drops; a null id sorts first; an empty table stays empty.
     """
     prepare(docs.sparkSession)
-    lines, found = recurring_lines(docs, id_col, text_col, min_docs)
+    lines, found = recurring_lines(docs, id_col, text_col, min_docs, min_docs if long_docs is None else long_docs)
     place = F.struct("doc_id", "key1", "key2", "line")
     gone = (
         lines.join(found, ["line1", "line2"]).where(place != F.col("kept"))
