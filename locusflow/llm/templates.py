@@ -1,9 +1,10 @@
 """Dropping lines that follow a template recurring across documents.
 
 Lines are parsed by a tree of fixed depth: token count first, then the leading tokens, in which fields with digits
-are wildcards. Below such a leaf a token is constant where it stands at its position in enough documents, and a
-variable field elsewhere; lines with the same constants share a template. All counting is grouped and combined
-before it is shuffled, so neither a leaf nor a template is ever gathered in one place.
+are wildcards. Below such a leaf a line's core are the words that stand at their positions in most documents; a word in
+fewer documents than the core's rarest one is a variable field, however frequent it is on its own, and lines with the
+same core share a template. All counting is grouped and combined before it is shuffled, so neither a leaf nor a template
+is ever gathered in one place.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ LONG_TOKENS, LONG_DOCS = 20, 2
 #: Lines with fewer tokens are too common to say anything; generalised lines need more.
 MIN_TOKENS, MIN_VARIABLE_TOKENS = 5, 8
 
-#: Share of constant tokens a generalised template needs.
+#: Share of a line's words (wildcards are none) that the core of a generalised template has.
 CONSTANT_SHARE = 0.75
 
+#: Share of words among the tokens of a masked line; with fewer, as in rows of numbers, only equal lines are the same.
+WORD_SHARE = 0.5
+
 WILDCARD = "<*>"
 
 _DIGIT = re.compile(r"\d")
@@ -48,6 +52,16 @@ def masked(line: str) -> list[str]:
     return tokens
 
 
+def identity(line: str) -> tuple[list[str], int]:
+    """Tokens by which lines are told apart, and how many of them are words: masked, unless too few words are left."""
+    raw = line.split()
+    if not _DIGIT.search(line):
+        return raw, len(raw)
+    tokens = masked(line)
+    words = len(raw) - tokens.count(WILDCARD)
+    return (tokens, words) if words >= WORD_SHARE * len(raw) else (raw, len(raw))
+
+
 def _hash(text: str, seed: int = 0) -> int:
     value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
     return value - (1 << 64) if value >> 63 else value
@@ -70,12 +84,12 @@ def _parse(passages: bool):
             for at, text in enumerate(batch["text"]):
                 seen: set[int] = set()
                 for number, line in enumerate(text.split("\n") if text else ()):
-                    tokens = masked(line)
+                    tokens, words = identity(line)
                     n = len(tokens)
                     if n < MIN_TOKENS:
                         continue
                     whole = " ".join(tokens)
-                    one, words = _hash(whole), n - tokens.count(WILDCARD)
+                    one = _hash(whole)
                     out.append((at, number, n, words, leaf_of(tokens), one, _hash(whole, 7), one not in seen))
                     seen.add(one)
                     if passages and words < n and n >= LONG_TOKENS:
@@ -99,12 +113,12 @@ def _tokens(leaves: Broadcast):
             out = []
             for text in batch["text"]:
                 for line in text.split("\n") if text else ():
-                    tokens = masked(line)
+                    tokens, words = identity(line)
                     if len(tokens) >= MIN_VARIABLE_TOKENS:
                         leaf = leaf_of(tokens)
                         if maybe_in(bits, np.array([leaf], dtype=np.int64))[0]:
                             whole = " ".join(tokens)
-                            out.append((leaf, _hash(whole), _hash(whole, 7), [_hash(t) for t in tokens]))
+                            out.append((leaf, _hash(whole), _hash(whole, 7), [None if t == WILDCARD and words < len(tokens) else _hash(t) for t in tokens]))
             yield pd.DataFrame(out, columns=["leaf", "line1", "line2", "parts"])
 
     return run
@@ -130,15 +144,17 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
     shared = spark.sparkContext.broadcast(membership_map(leaves, "leaf"))
     parts = rows.select("text").mapInPandas(_tokens(shared), "leaf long, line1 long, line2 long, parts array<long>")
     parts = parts.join(leaves, "leaf", "left_semi").groupBy(*line).agg(F.first("leaf").alias("leaf"), F.first("parts").alias("parts"))
-    spread = parts.join(held.select(*line, "docs"), line).select("leaf", *line, "docs", F.posexplode("parts").alias("at", "part"))
-    constants = spread.groupBy("leaf", "at", "part").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    template = (
-        spread.join(constants, ["leaf", "at", "part"]).groupBy("leaf", *line)
-        .agg(F.count(F.lit(1)).alias("constants"), F.sum(F.xxhash64("at", "part").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("part", "at")).alias("xor"))
-    )
+    # Counted only here, so that both uses of the table share one scan of the texts.
+    parts = parts.withColumn("words", F.size(F.filter("parts", lambda x: x.isNotNull())))
+    spread = parts.join(held.select(*line, "docs"), line).select("leaf", *line, "words", "docs", F.posexplode("parts").alias("at", "part")).where("part is not null")
+    counts = spread.groupBy("leaf", "at", "part").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    # The core ends with the count that its required number of words reaches; it follows from the line's own leaf.
+    share = F.ceil(CONSTANT_SHARE * F.col("words")).cast("int")
     template = (
-        template.join(held, ["leaf", *line]).where(F.col("constants") >= CONSTANT_SHARE * F.col("tokens"))
-        .select(*line, F.xxhash64("leaf", "sum", "xor", "constants").alias("template"), (F.col("constants") < F.col("tokens")).alias("generalised"))
+        spread.join(counts, ["leaf", "at", "part"]).groupBy("leaf", *line, "words").agg(F.collect_list(F.struct("n", "at", "part")).alias("held"))
+        .where(F.size("held") >= share).withColumn("least", F.element_at(F.sort_array(F.col("held.n"), asc=False), share))
+        .withColumn("core", F.array_sort(F.transform(F.filter("held", lambda x: x["n"] >= F.col("least")), lambda x: F.struct(x["at"], x["part"]))))
+        .select(*line, F.xxhash64("leaf", "core").alias("template"), (F.size("core") < F.col("words")).alias("generalised"))
     )
     named = held.join(template, line, "left").select(
         *line, "docs", "place", F.coalesce("template", "line1").alias("template"), F.coalesce("generalised", F.lit(False)).alias("generalised")
@@ -157,9 +173,10 @@ def drop_recurring_lines(
     """All rows and columns of ``docs``; ``text_col`` without the dropped lines, whose numbers ``dropped_column`` lists.
 
     A line is dropped when its template occurs in at least ``min_docs`` documents, except at the template's first
-    place (smallest id, then line), so that shared content stays in the corpus once. Fields with digits are always
-    variable. A line of at least twenty tokens goes from ``long_docs`` documents on if it stands there word for word
-    (``min_docs`` if not given; the query and the pipeline give two). Lines of fewer than five tokens stay, and templates with variable words ask for eight tokens. Documents
+    place (smallest id, then line), so that shared content stays in the corpus once. Fields with digits are
+    variable in lines of which at least half the tokens are words; rows of numbers are the same only if they are equal.
+    A line of at least twenty tokens goes from ``long_docs`` documents on if it stands there word for word (``min_docs``
+    if not given; the query and the pipeline give two). Lines of fewer than five tokens stay, and templates with variable words ask for eight tokens. Documents
     are rows: copies count, a line repeated inside one document counts once. Rows that repeat both id and text get
     the same drops. A null text stays null with no drops; a null id sorts first; an empty table stays empty.
     """
