@@ -27,7 +27,8 @@ GROUP_PIECES = 2500
 #: Donors per sequence to be spared, and receivers, that a sweep of the local search looks at.
 DONORS, RECEIVERS = 8, 128
 
-#: Share of a group's pieces that its least filled sequences hand to the next level.
+#: Share of a group's sequences, the least filled ones, that are handed to the next level; more if they have no more than
+#: that share of its pieces. The least filled one always goes.
 REOPENED = 20
 
 #: Texts with other characters than these, or with longer unbroken runs, take the tokenizer's own code.
@@ -236,7 +237,8 @@ def _packer(base: int, last: bool, capacity: int, group_pieces: int) -> Callable
         out["offset"] = before - np.repeat(before[first], sizes)
         least = np.argsort(fills, kind="stable")
         handed = np.zeros(len(fills), dtype=bool)
-        handed[least] = (np.cumsum(sizes[least]) <= max(1, group_pieces // REOPENED)) & (fills[least] < capacity) & (not last)
+        few = (np.arange(len(fills)) < max(1, len(fills) // REOPENED)) | (np.cumsum(sizes[least]) <= group_pieces // REOPENED)
+        handed[least] = few & (fills[least] < capacity) & (not last)
         out["open"] = np.repeat(handed, sizes)
         return out[[*_PIECE, "sequence_id", "offset", "open"]]
 
@@ -256,7 +258,9 @@ def pack_documents(
     token is left out. Rows with repeated or null ids are packed as documents of their own. An empty table gives no rows.
     Pieces are dealt to groups by a hash of all their columns, so a group has a mix of lengths and its size
     follows from the number of pieces; full pieces skip the search. After each level every group hands its least filled
-    sequences, a twentieth of its pieces at most, to the next level, until one group is left.
+    sequence, and others up to a twentieth of its sequences or pieces, to the next level, until one group is left. Groups
+    at least halve with every level: where the handed sequences hold many short pieces, a group grows to those of some
+    sequences, which ``capacity`` bounds.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -282,7 +286,7 @@ def pack_documents(
             break
         todo = placed.where("open").select(*columns)
         count = todo.count()
-        groups = -(-count // group_pieces)
+        groups = min(-(-count // group_pieces), -(-groups // 2))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part.select(out.columns))
