@@ -1,6 +1,6 @@
 """Personal data, and the terms that give it away.
 
-Patterns find e-mail and IP addresses, card and phone numbers. From their contexts the corpus tells how strongly a term
+Patterns find e-mail and IP addresses, card and phone numbers. From the documents that hold both the corpus tells how strongly a term
 reveals such an entity: disclosure is the share of the entity's information content that the term's pointwise mutual
 information with it covers, 1 - log p(entity | term) / log p(entity). Terms above a threshold are reported in the
 documents of that entity and generalised in the sanitised text, or removed where the term gives the entity away entirely.
@@ -23,9 +23,6 @@ from .common import hash_words, maybe_in, membership_map, prepare, stored
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-#: Words on either side of an entity that count as its context.
-CONTEXT = 10
-
 #: Least disclosure of a reported term, and from where on it is removed instead of generalised.
 DISCLOSURE, REMOVAL = 0.85, 0.98
 
@@ -41,6 +38,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]")
 
+# Marks that enclose words, and runs of them at a word's end or start.
+MARKS = ".,;:!?\"'`()[]{}<>*_«»“”„‘’…"
+_M, _S = re.escape(MARKS), r"\x20\x09-\x0D"
+_ENCLOSING = re.compile(rf"(?<![^{_S}])[{_M}]+|(?<![{_M}])[{_M}]+(?![^{_S}])")
+
+#: Pairs in one batch of output.
+PAIR_ROWS = 200_000
+
 #: What stands for a found span in sanitised text.
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", TERM: "[TERM]"}
 
@@ -91,36 +96,42 @@ def canonical(kind: str, value: str) -> str:
 
 def term_of(word: str) -> str:
     """A word as the corpus counts it: A-Z lowered, without enclosing marks."""
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word.strip(MARKS))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, int, int]]:
-    """(entity hash, place of the entity, term, start, end) of the words around every span, without words of spans."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    if not words:
-        return []
-    starts = np.fromiter((a for a, _ in words), dtype=np.int64, count=len(words))
-    ends = np.fromiter((b for _, b in words), dtype=np.int64, count=len(words))
-    covered = np.zeros(len(words), dtype=bool)
-    around = []
-    for kind, a, b in spans:
-        first, last = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
-        covered[first:last] = True
-        around.append((_signed(xxhash.xxh64_intdigest(f"{kind}:{canonical(kind, text[a:b])}".encode("utf-8", "surrogatepass"))), a, first, last))
-    out = []
-    for entity, place, first, last in around:
-        for k in (*range(max(0, first - CONTEXT), first), *range(last, min(len(words), last + CONTEXT))):
-            if not covered[k]:
-                out.append((entity, place, term_of(text[starts[k] : ends[k]]), int(starts[k]), int(ends[k])))
-    return out
+def entity_of(kind: str, value: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(f"{kind}:{canonical(kind, value)}".encode("utf-8", "surrogatepass")))
+
+
+def body_of(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def terms_in(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Hashes and places of all words of a text, without their enclosing marks and without words of spans."""
+    covered = np.zeros(len(text) + 1, dtype=np.int64)
+    for _, a, b in spans:
+        covered[a] += 1
+        covered[b] -= 1
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
+    words, places = [], []
+    for m in _WORD.finditer(text):
+        if covered[m.end()] == covered[m.start()]:
+            word = m.group()
+            start = m.start() + len(word) - len(word.lstrip(MARKS))
+            word = word.strip(MARKS)
+            if word:
+                words.append(word)
+                places.append((start, start + len(word)))
+    return hash_words(words)[0].view(np.int64), places
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
-_BASE = f"uid long, doc_id string, spans {_SPAN}, entities array<bigint>, context array<struct<entity:bigint,term:bigint,start:int,end:int>>, body bigint"
+_BASE = f"uid long, doc_id string, spans {_SPAN}, entities array<bigint>, body bigint"
 
 
 def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,26 +139,71 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch["text"]:
             spans = base_spans(text)
-            around = contexts(text, spans) if spans else []
-            terms = hash_words([x[2] for x in around])[0].view(np.int64).tolist() if around else []
-            rows.append(
-                (
-                    [{"kind": k, "start": a, "end": b} for k, a, b in spans], sorted({x[0] for x in around}),
-                    [{"entity": x[0], "term": t, "start": x[3], "end": x[4]} for x, t in zip(around, terms)],
-                    _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))) if spans else 0,
-                )
-            )
-        out = pd.DataFrame(rows, columns=["spans", "entities", "context", "body"])
+            rows.append(([{"kind": k, "start": a, "end": b} for k, a, b in spans], sorted({entity_of(k, text[a:b]) for k, a, b in spans}), body_of(text) if spans else 0))
+        out = pd.DataFrame(rows, columns=["spans", "entities", "body"])
         yield pd.concat([batch[["uid", "doc_id"]].reset_index(drop=True), out], axis=1)
 
 
+def _holders(texts: pd.Series, bits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """(body, copies in the batch, entities of the map, terms, places) of the different texts that hold such an entity."""
+    for text, n in texts.value_counts(sort=False).items():
+        spans = base_spans(text)
+        entities = np.array(sorted({entity_of(k, text[a:b]) for k, a, b in spans}), dtype=np.int64)
+        if len(entities):
+            entities = entities[maybe_in(bits, entities)]
+        if len(entities):
+            yield body_of(text), n, entities, *terms_in(text, spans)
+
+
+def _terms(entities: Broadcast):
+    """Terms of the documents that hold an entity of the map."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [x[3] for x in _holders(batch["text"], entities.value)]
+            yield pd.DataFrame({"term": np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)})
+
+    return run
+
+
+def _pairs(entities: Broadcast, terms: Broadcast):
+    """(entity, term, body, documents) of entities and terms of the maps."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for body, n, held, words, _ in _holders(batch["text"], entities.value):
+                words = np.unique(words)
+                words = words[maybe_in(terms.value, words)]
+                step = max(1, PAIR_ROWS // max(1, len(words)))
+                for k in range(0, len(held) if len(words) else 0, step):
+                    part = held[k : k + step]
+                    yield pd.DataFrame({"entity": np.repeat(part, len(words)), "term": np.tile(words, len(part)), "body": body, "n": n})
+
+    return run
+
+
+def _places(entities: Broadcast, pairs: Broadcast):
+    """(body, entity, term, start, end) of every occurrence of a term in a text that holds the entity, by the map of pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for body, _, held, words, places in _holders(batch["text"], entities.value):
+                spots = np.array(places, dtype=np.int64).reshape(-1, 2)
+                for entity in held:
+                    at = np.flatnonzero(maybe_in(pairs.value, words ^ entity))
+                    if len(at):
+                        yield pd.DataFrame({"body": body, "entity": entity, "term": words[at], "start": spots[at, 0], "end": spots[at, 1]})
+
+    return run
+
+
 def _document_frequencies(terms: Broadcast):
     """Documents that hold a term of the map, combined per batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = terms.value
         for batch in batches:
-            words, at = hash_words(batch["text"].tolist())
+            words, at = hash_words([_ENCLOSING.sub(" ", t) for t in batch["text"]])
             maybe = maybe_in(bits, words)
             some = words[maybe]
             owner = np.repeat(np.arange(len(batch)), np.diff(at))[maybe]
@@ -161,33 +217,40 @@ def _document_frequencies(terms: Broadcast):
     return run
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, documents: int, disclosure: float) -> DataFrame:
-    """(entity, term, disclosure) above the threshold.
+def shared_entities(found: DataFrame, documents: int) -> DataFrame:
+    """(entity, held) of those in at least two different texts; no other one can meet a term in two of them."""
+    bodies = found.select("body", F.explode("entities").alias("entity")).groupBy("entity", "body").agg(F.count(F.lit(1)).alias("n"))
+    held = bodies.groupBy("entity").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("bodies"))
+    return stored(held.where((F.col("bodies") >= MEETINGS) & (F.col("held") < documents)).select("entity", "held"), "private")
+
+
+def disclosing_terms(held: DataFrame, entities: Broadcast, texts: DataFrame, documents: int, disclosure: float) -> DataFrame:
+    """(entity, term, disclosure) above the threshold, from whole documents.
 
-    Joint counts are of different texts, so that copies do not make a term telling. Only terms that meet an entity in
-    two of them are counted in the corpus; a fixed-size bit map picks them in the scan, and a join counts them exactly.
+    Joint counts are of different texts, so that copies do not make a term telling. Terms of documents with shared
+    entities are counted in the corpus first: one in more documents than the threshold allows for the most frequent
+    entity, or in one only, makes no pairs. Fixed-size bit maps pick terms in the scans, and joins count them exactly.
     """
     spark = texts.sparkSession
-    near = found.select("body", F.explode("context").alias("x")).select("body", "x.entity", "x.term")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= MEETINGS)
-    pairs = stored(pairs, "private")
-    held = found.select("uid", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("held"))
-    rows = found.select("uid", F.explode("context").alias("x")).select("uid", "x.entity", "x.term").distinct()
-    together = rows.join(pairs, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    terms = pairs.select("term").distinct()
+    terms = texts.mapInPandas(_terms(entities), "term long").distinct()
     bits = spark.sparkContext.broadcast(membership_map(terms, "term"))
+    most = held.agg(F.max("held")).first()[0] or 1
+    # both / df >= (held / documents) ** (1 - disclosure), and both <= held
+    limit = most * (max(documents, 2) / most) ** (1 - disclosure) + 1
     counted = texts.mapInPandas(_document_frequencies(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    counted = stored(counted.where(F.col("df").between(MEETINGS, limit)), "private")
+    rare = spark.sparkContext.broadcast(membership_map(counted, "term"))
+    pairs = texts.mapInPandas(_pairs(entities, rare), "entity long, term long, body long, n long").groupBy("entity", "term", "body").agg(F.sum("n").alias("n"))
+    together = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= MEETINGS)
     ratio = 1 - F.log(F.col("both") / F.greatest("df", "both")) / F.log(F.col("held") / F.lit(float(max(documents, 2))))
-    return together.join(held, "entity").join(counted, "term").where(F.col("held") < documents).select(
-        "entity", "term", ratio.alias("disclosure")
-    ).where(F.col("disclosure") >= disclosure)
+    return together.join(held, "entity").join(counted, "term").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= disclosure)
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, base (spans by kind, then place) and terms (start, end, disclosure); text if asked.
 
-    A null text is empty and has no spans. Terms are the words within ten words of an entity whose disclosure of it
-    reaches the threshold; a term that several entities share counts with the highest one. Repeated rows are documents of
+    A null text is empty and has no spans. Terms are all words, without enclosing marks, of a document with an entity whose disclosure of it
+    reaches the threshold, wherever they stand; a term that several entities share counts with the highest one. Repeated rows are documents of
     their own, but equal texts count once when term and entity are paired. Null ids and further columns do no harm; an
     empty table gives no rows.
     """
@@ -201,12 +264,17 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = stored(rows, "texts")
     table = stored(rows.mapInPandas(_detect, _BASE), "private")
     found = table.where(F.size("spans") > 0)
-    terms = disclosing_terms(found, rows.select("text"), table.count(), disclosure)
+    documents, texts = table.count(), rows.select("text")
+    held = shared_entities(found, documents)
+    entities = spark.sparkContext.broadcast(membership_map(held, "entity"))
+    terms = stored(disclosing_terms(held, entities, texts, documents, disclosure), "private")
+    pairs = spark.sparkContext.broadcast(membership_map(terms.select(F.col("entity").bitwiseXOR(F.col("term")).alias("pair")), "pair"))
     told = (
-        found.select("uid", F.explode("context").alias("x")).select("uid", "x.entity", "x.term", "x.start", "x.end").join(terms, ["entity", "term"])
-        .groupBy("uid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+        texts.mapInPandas(_places(entities, pairs), "body long, entity long, term long, start int, end int").join(terms, ["entity", "term"])
+        .groupBy("body", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+        .groupBy("body").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     )
+    told = found.select("uid", "body").join(told, "body").select("uid", "terms")
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
     out = table.join(told, "uid", "left").select("uid", F.col("doc_id").cast(kind).alias("doc_id"), F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms"))
     return out.join(rows.select("uid", "text"), "uid").drop("uid") if keep_text else out.drop("uid")
