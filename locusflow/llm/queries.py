@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_documents
+from .codes import compress_vectors
 from .contamination import contamination_report
 from .language import identify_languages
 from .licences import find_licences
@@ -16,6 +18,7 @@ from .privacy import KINDS, TERM, digest, find_private
 from .quality import score_quality
 from .setsketch import near_duplicates
 from .templates import LONG_DOCS, drop_recurring_lines
+from .trie import prefix_trie
 from .vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,3 +205,106 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(base, 256).alias("base_sha256"),
         F.array_join(F.filter(F.array(base, terms), lambda s: s != ""), ",").alias("spans"), F.size("terms").cast("long").alias("n_terms"),
     )
+
+
+@query("op11_chunked_bpe")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the bytes they decode to."""
+    found = decode_ids(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
+_PARTS, _ENTRIES, _ROUNDS = 4, 256, 4
+
+
+def _lloyd_sql() -> str:
+    """Plain rounds that compare every part with every entry."""
+    rounds = []
+    for k in range(_ROUNDS + 1):
+        rounds.append(f"""
+codes_{k} AS (
+  SELECT vec_id, part, x, d, entry FROM (
+    SELECT p.vec_id, p.part, p.x, e.entry, list_sum(list_transform(list_zip(p.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d,
+           row_number() OVER (PARTITION BY p.vec_id, p.part ORDER BY d, e.entry) AS place
+    FROM parts p JOIN books_{k} e ON e.part = p.part
+  ) WHERE place = 1
+)""")
+        if k < _ROUNDS:
+            rounds.append(f"""
+means_{k} AS (
+  SELECT part, entry, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (
+    SELECT part, entry, i, sum(x[i])::BIGINT AS total, count(*) AS n FROM codes_{k}, range(1, (SELECT any_value(len(x)) + 1 FROM parts)) t(i) GROUP BY ALL
+  ) GROUP BY part, entry
+),
+books_{k + 1} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM books_{k} b LEFT JOIN means_{k} m ON m.part = b.part AND m.entry = b.entry)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
+),
+parts AS (SELECT vec_id, part, list_slice(q, part * len(q) // {_PARTS} + 1, (part + 1) * len(q) // {_PARTS}) AS x FROM kept, range({_PARTS}) t(part)),
+books_0 AS (SELECT p.part, f.entry, p.x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) f JOIN parts p ON p.vec_id = f.vec_id WHERE entry < {_ENTRIES}),
+{",".join(rounds)},
+errors AS (SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM codes_{_ROUNDS} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books_{_ROUNDS})
+SELECT e.vec_id, e.code, e.error, sum(e.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, codebooks_sha256
+FROM errors e JOIN kept k ON k.vec_id = e.vec_id, books
+"""
+
+
+@query("op12_active_lloyd", sql=_lloyd_sql())
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by four rounds over four codebooks of 256 entries."""
+    found = compress_vectors(table(spark, sf_dir, "embeddings"), parts=_PARTS, entries=_ENTRIES, rounds=_ROUNDS)
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return found.select("vec_id", code.alias("code"), "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
+@query(
+    "op13_prefix_trie",
+    sql=r"""
+WITH ids AS (
+  SELECT conv_id, CAST(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v // 2, 3988292384 * (v % 2)))
+  ) AS BIGINT) AS state
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+),
+heads AS (SELECT conv_id, xor(state, 4294967295) % 4 AS h FROM ids),
+own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, h), list_slice(o.turns, h + 1, len(o.turns))) AS turns
+  FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+),
+prefixes AS (SELECT conv_id, d AS depth, list_slice(turns, 1, d) AS prefix, len(turns) AS length FROM rebuilt, range(0, (SELECT max(len(turns)) + 1 FROM rebuilt)) t(d) WHERE d <= len(turns)),
+nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, prefix
+),
+members AS (SELECT p.conv_id AS member, n.* FROM prefixes p JOIN nodes n ON n.depth = p.depth AND n.prefix = p.prefix),
+linked AS (
+  SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.ends_sha256,
+         CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * len(list_filter(regexp_split_to_array(n.prefix[-1].text, '[ 	-]+'), lambda w: w <> '')) END AS saved
+  FROM nodes n LEFT JOIN members p ON p.member = n.conv_id AND p.depth = n.depth - 1
+),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+totals AS (
+  SELECT above.conv_id, above.depth, sum(x.saved) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM linked x JOIN members above ON above.member = x.conv_id AND above.depth <= x.depth
+  LEFT JOIN children k ON k.conv_id = x.conv_id AND k.depth = x.depth
+  GROUP BY above.conv_id, above.depth
+)
+SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked l JOIN totals t ON t.conv_id = l.conv_id AND t.depth = l.depth LEFT JOIN children k ON k.conv_id = l.conv_id AND k.depth = l.depth
+""",
+)
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))

@@ -10,7 +10,7 @@ from locusflow.llm.queries import CHECKS, QUERIES
 def test_registered():
     known = entry_module.queries()
     assert set(QUERIES) <= set(known) and "pipeline" in known
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
