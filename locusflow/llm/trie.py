@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_rows
-from .common import prepare, stored
+from .common import discard, prepare, stored
 
 #: A node with more turns of its members below it than this is handled on top, the others in shards.
 SHARD_TURNS = 200_000
@@ -100,7 +100,10 @@ def _key(sums: list[Column]) -> list[Column]:
 def _blocked(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``block``: rows of a group stand in consecutive blocks, in order; a large group takes many."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    return stored(df.repartitionByRange(n, F.col(group), *order).withColumn("block", F.spark_partition_id()), name)
+    df = stored(df, f"{name}-unsorted")  # the bounds of the ranges are sampled from it, and texts are read once
+    blocks = stored(df.repartitionByRange(n, F.col(group), *order).withColumn("block", F.spark_partition_id()), name)
+    discard(df)
+    return blocks
 
 
 def _running(df: DataFrame, group: str, order: list[Column], sums: list[str]) -> DataFrame:
