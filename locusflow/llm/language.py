@@ -8,12 +8,12 @@ matrix, and a batch of texts is scored by one matrix product.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Texts in one presence matrix, and bytes of text hashed at once.
 _ROWS, _BYTES = 256, 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 # ASCII bytes other than letters count as blanks: neither digits nor marks tell a language.
 _PLAIN = bytes(c if c > 0x7F or 0x61 <= c <= 0x7A else 0x20 for c in range(256))

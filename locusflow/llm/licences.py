@@ -8,6 +8,7 @@ passages are pruned by counting.
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -65,6 +66,83 @@ TEMPLATES: dict[str, str] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT "
+        'HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor "
+        "the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        'permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO "
+        "EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public "
+        "License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA "
+        "02110-1301 USA."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser "
+        "General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, "
+        "Boston, MA 02110-1301 USA"
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero "
+        "General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the "
+        "public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain "
+        "Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+        'software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"
+    ),
+    "BSL-1.0 statement": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not "
+        "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in "
+        "the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must "
+        "not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
 }
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -108,6 +186,9 @@ class Matcher:
         ratio = threshold / (2 - threshold)
         self.bounds = [(n * ratio, n / ratio) for n, _, _ in self.templates]
         self.longest = max((high for _, high in self.bounds), default=0)
+        # The same bounds for bigrams counted as often as they stand: a passage that repeats itself ends there.
+        words = [len(normal(text)) for text in templates.values()]
+        self.widest = int(max((n - 1) / ratio for n in words)) if words else 0
 
     def hit_texts(self, texts: list[str | None]) -> np.ndarray:
         """True for texts that hold any bigram of a template; hashes of a batch at once."""
@@ -124,8 +205,9 @@ class Matcher:
         """Best matches that do not overlap: (template, start, end, Dice), by place; offsets in characters.
 
         Passages begin and end with a template's bigram, which loses nothing: without an outer bigram of no template
-        the coefficient only grows. Of overlapping matches the higher coefficient wins, then the longer, then the
-        earlier passage, then the template's name.
+        the coefficient only grows. They are no longer than the size bounds allow, also where bigrams repeat. Of
+        overlapping matches the higher coefficient wins, then the longer, then the earlier passage, then the template's
+        name. Each start holds its best match only, and looks for the next best one when that overlaps a winner.
         """
         if not text:
             return []
@@ -133,34 +215,48 @@ class Matcher:
         words = [text[a:b].lower() for a, b in spots]
         grams = list(zip(words, words[1:]))
         hits = [k for k, g in enumerate(grams) if g in self.grams]
-        found = []
-        for i, first in enumerate(hits):
-            seen: set = set()
-            reach = first
-            for j in range(i, len(hits)):
-                last = hits[j]
-                seen.update(grams[reach : last + 1])
-                reach = last + 1
-                size = len(seen)
-                if size > self.longest:
-                    break
-                held = j - i + 1
-                for (n, name, template), (low, high) in zip(self.templates, self.bounds):
-                    if low > size:
-                        break
-                    if size <= high and 2 * held >= self.threshold * (size + n):
-                        dice = 2 * len(seen & template) / (size + n)
-                        if dice >= self.threshold:
-                            found.append((-dice, first - last, first, name, last))
+        heap = [best for i in range(len(hits)) if (best := self._best(grams, hits, i, len(words)))]
+        heapq.heapify(heap)
         out: list[tuple[str, int, int, float]] = []
         taken: list[tuple[int, int]] = []
-        for score, _, first, name, last in sorted(found):
+        while heap:
+            score, _, first, name, last, i = heapq.heappop(heap)
             at = bisect_right(taken, (first, len(words)))
-            if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last + 1):
+            if at and taken[at - 1][1] >= first:
+                continue
+            free = taken[at][0] if at < len(taken) else len(words)
+            if free > last + 1:
                 taken.insert(at, (first, last + 1))
                 out.append((name, spots[first][0], spots[last + 1][1], -score))
+            elif best := self._best(grams, hits, i, free):
+                heapq.heappush(heap, best)
         return sorted(out, key=lambda x: x[1])
 
+    def _best(self, grams: list[tuple[str, str]], hits: list[int], i: int, free: int) -> tuple | None:
+        """Best match that starts at hit ``i`` and ends before the word ``free``: (-Dice, -length, start, template, end, i)."""
+        first = reach = hits[i]
+        seen: set = set()
+        best = None
+        for j in range(i, len(hits)):
+            last = hits[j]
+            if last + 1 >= free or last - first >= self.widest:
+                break
+            seen.update(grams[reach : last + 1])
+            reach = last + 1
+            size = len(seen)
+            if size > self.longest:
+                break
+            held = j - i + 1
+            for (n, name, template), (low, high) in zip(self.templates, self.bounds):
+                if low > size:
+                    break
+                if size <= high and 2 * held >= self.threshold * (size + n):
+                    dice = 2 * len(seen & template) / (size + n)
+                    if dice >= self.threshold:
+                        found = (-dice, first - last, first, name, last, i)
+                        best = found if best is None else min(best, found)
+        return best
+
 
 _HITS = "array<struct<template:string,start:int,end:int,dice:double>>"
 

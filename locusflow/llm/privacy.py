@@ -71,6 +71,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_octet(part: str) -> bool:
+    """At most 255, with any number of leading zeros."""
+    value = part.lstrip("0")
+    return len(value) < 3 or (len(value) == 3 and int(value) <= 255)
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then place; matches of one kind do not overlap."""
     if not text:
@@ -78,7 +84,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGITS.search(text):
         if "." in text:
-            out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+            out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(_is_octet, m.group().split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = "".join(_DIGITS.findall(m.group()))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_of, hash_words, mix, prepare, stored
@@ -107,9 +107,18 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
     return grid[np.arange(len(grid)), likelihood.argmax(axis=1)]
 
 
+def text_key(text_col: str) -> Column:
+    """Tells rows of one id apart by their text."""
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(text, text.isNull())
+
+
 def sketch_table(docs: DataFrame, id_col: str, text_col: str, words: int, registers: int) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, sketch) per row; equal sets have equal keys."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text_key, n_shingles, key1, key2, sketch) per row; equal sets have equal keys."""
+    # Ids pass Python as text, so that a null does not turn the others into floating numbers.
+    rows = docs.select(
+        F.col(id_col).cast("long").cast("string").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,12 +128,13 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, words: int, regist
             keys = [(s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums]
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"], "n_shingles": np.diff(offsets), "key1": keys[0], "key2": keys[1],
+                    "doc_id": batch["doc_id"], "text_key": batch["text_key"], "n_shingles": np.diff(offsets), "key1": keys[0], "key2": keys[1],
                     "sketch": [x.tobytes() for x in marks],
                 }
             )
 
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, key1 long, key2 long, sketch binary")
+    found = rows.mapInPandas(run, "doc_id string, text_key long, n_shingles long, key1 long, key2 long, sketch binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -173,16 +183,28 @@ def near_duplicates(
     equal band values the members are tried against the smallest one; then, inside tiles, all pairs of the bucket that
     are still in different components. So no pair of a bucket stays untested unless a chain of links joins it
     already, and a settled group never forms its pairs.
-    Null ids keep their row, link with nothing and are not kept; rows that repeat an id count as one document.
-    An empty table gives no rows.
+    Null ids keep their row, link with nothing and are not kept. Rows that repeat an id with another text are documents of
+    their own, linked or not by what they say; ``kept`` compares ids only. An empty table gives no rows.
     """
+    return near_groups(docs, id_col, text_col, words, percent, registers, band_rows).drop("text_key", "stays")
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
+    registers: int = REGISTERS, band_rows: int = BAND_ROWS,
+) -> DataFrame:
+    """:func:`near_duplicates` with ``text_key`` and ``stays``: true for one document of each component, the one of the
+    smallest id and text key, and for all documents that link with nothing. Rows that repeat id and text are one document."""
     spark = docs.sparkSession
     prepare(spark)
     similarity = percent / 100
     table = stored(sketch_table(docs, id_col, text_col, words, registers), "setsketch")
     sets = ["n_shingles", "key1", "key2"]
+    linked = table.where("doc_id is not null and n_shingles > 0")
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    # Classes have numbers of their own, as rows of one id may lie in several.
     classes = stored(
-        table.where("doc_id is not null and n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "near"
+        linked.groupBy(*sets).agg(first, F.first("sketch").alias("sketch")).withColumn("rep", F.monotonically_increasing_id()), "near"
     )
     bands = F.array(
         *(F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * band_rows, band_rows)) for k in range(registers // band_rows))
@@ -190,10 +212,10 @@ def near_duplicates(
     buckets = classes.select("rep", F.posexplode(bands).alias("at", "band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("band", "a")
     members = stored(buckets.join(shared, "band").select("at", "band", "a", F.col("rep").alias("b")), "near")
-    texts = stored(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(members.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), "near"
-    )
+    asked = classes.join(members.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select("rep", "first.*")
+    bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    texts = bodies.join(asked, ["doc_id", "text_key"]).groupBy(F.col("rep").alias("id")).agg(F.first("text").alias("text"))
+    texts = stored(texts, "near")
     star = stored(_likely(members.where("a <> b").select("a", "b").distinct(), classes, similarity), "near")
 
     # The smallest candidate of every document first: one confirmation settles most of a group.
@@ -209,11 +231,15 @@ def near_duplicates(
     if not late.isEmpty():
         groups = _groups(edges.unionByName(late))
 
-    found = classes.join(groups.toDF("rep", "component"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    joined = groups.toDF("rep", "component")
+    least = classes.join(joined, "rep").groupBy("component").agg(F.min("first").alias("least"))
+    least = joined.join(least, "component").select("rep", "least")
+    found = classes.join(least, "rep", "left").select(*sets, F.coalesce("least", "first").alias("least"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("least.doc_id"), F.col("doc_id")))
+    one = F.col("doc_id").isNull() | F.col("least").isNull() | (F.struct("doc_id", "text_key") == F.col("least"))
     return (
         table.drop("sketch").join(found, sets, "left")
-        .select("doc_id", "n_shingles", own.alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", own.alias("component_id"), one.alias("stays"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 

@@ -26,6 +26,13 @@ def test_edges(frame):
     assert identify_languages(frame([])).count() == 0
 
 
+def test_numbers_that_are_no_letters(frame):
+    base = [(k, ["the cat and the dog", "der hund und die katze"][k % 2] + f" {k}", ["en", "de"][k % 2]) for k in range(40)]
+    odd = [(100, "½ ² ① Ⅷ", None), (101, "_ 12 ³", None), (102, "ª", None), (103, "½ x", None)]
+    got = {r.doc_id: r.language.lang_pred for r in identify_languages(frame(base + odd)).collect()}
+    assert [got[d] for d in (100, 101)] == ["und", "und"] and "und" not in (got[102], got[103])
+
+
 def test_weights_equal_the_kernel_form():
     """The folded matrix scores as the kernel with all training texts as landmarks does."""
     import numpy as np

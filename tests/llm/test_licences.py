@@ -10,10 +10,11 @@ def brute(text, templates, threshold):
     words = normal(text)
     grams = list(zip(words, words[1:]))
     sets = {n: set(zip(normal(t), normal(t)[1:])) for n, t in templates.items()}
+    widest = max(len(normal(t)) - 1 for t in templates.values()) * (2 - threshold) / threshold
     every = set().union(*sets.values())
     found = []
     for i in range(len(grams)):
-        for j in range(i, len(grams)):
+        for j in range(i, min(len(grams), i + int(widest))):
             if grams[i] in every and grams[j] in every:
                 own = set(grams[i : j + 1])
                 for name, other in sets.items():
@@ -66,3 +67,24 @@ def test_no_hit_costs_no_scan(small_rows):
     texts = [t for _, t, _ in small_rows]
     for text, hit in zip(texts, matcher.hit_texts(texts)):
         assert hit or matcher.passages(text) == []
+
+
+@pytest.mark.parametrize("line", ["Released under the MIT License.", "of the Software ", "the License of the License "])
+def test_repeated_lines_cost_in_proportion(line):
+    import time
+
+    matcher = Matcher(TEMPLATES, THRESHOLD)
+    took = []
+    for n in (500, 4000):
+        start = time.process_time()
+        found = matcher.passages(" ".join([line] * n))
+        took.append(time.process_time() - start)
+        assert len(found) == (n if "MIT" in line else 0)
+    assert took[1] < 8 * 3 * took[0] + 1
+
+
+def test_repeated_short_templates():
+    templates = {"a": "one two three", "b": "three one two three one"}
+    for text in ("one two three " * 30, "three one " * 9 + "two three one two " * 7):
+        got = Matcher(templates, 0.5).passages(text)
+        assert [(n, round(d, 9)) for n, _, _, d in got] == [(n, round(d, 9)) for n, _, d in brute(text, templates, 0.5)]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.language import has_letter
 from locusflow.llm.packing import encoder
+from locusflow.llm.templates import LONG_DOCS
 
 from .test_contamination import brute as passages
 from .test_setsketch import brute as near
@@ -40,7 +41,7 @@ def test_each_stage(spark, sf_dir, stages):
     start, spoken, deduped, single, clean, packed = stages
     assert sorted(rows(spoken), key=str) == sorted((r for r in rows(start) if has_letter(r[1])), key=str)
     before = rows(spoken)
-    gone = lines(before)
+    gone = lines(before, long_docs=LONG_DOCS)
     wanted = {d: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k]) for k, (d, t, _) in enumerate(before)}
     assert {d: t for d, t, _ in rows(deduped)} == wanted
     assert deduped.where(F.col("n_chars") != F.length("text")).count() == spoken.where(F.col("n_chars") != F.length("text")).count()
@@ -63,3 +64,14 @@ def test_odd_documents(spark, sf_dir):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_repeated_ids_lose_no_text(spark, sf_dir):
+    """A text that is no copy of anything stays, whatever other rows have its id; of copies with one id one stays."""
+    base = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    rows = [(3, base[0]), (5, base[0]), (5, base[1]), (7, base[2]), (9, base[3]), (9, base[3] + " more"), (None, base[0]), (None, base[0]), (2**60 + 1, "p q r"), (2**60 + 3, "s t u")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, docs, sf_dir).collect()}
+    nines = {x for x in got if x[0] == 9}
+    assert len(nines) == 1
+    assert got - nines == {(3, base[0]), (5, base[1]), (7, base[2]), (None, base[0]), (2**60 + 1, "p q r"), (2**60 + 3, "s t u")}

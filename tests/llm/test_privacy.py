@@ -73,3 +73,11 @@ def test_query(spark, sf_dir, small_rows):
         assert got[doc].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert got[doc].spans.split(",")[: len(spans)] == spans or not spans
         assert [got[doc][f"n_{k}"] for k in PATTERNS] == [sum(s.startswith(k + ":") for s in spans) for k in PATTERNS]
+
+
+def test_long_runs_of_digits(frame):
+    zeros = "0" * 5000
+    text = f"x {zeros}1.2.3.4 y {zeros}256.2.3.4 z {'9' * 5000}.1.1.1 w {zeros}.0.0.{zeros}255 v 1.2.3.4.5.6.7.8"
+    spans = [text[a:b] for kind, a, b in base_spans(text) if kind == "ip"]
+    assert spans == [f"{zeros}1.2.3.4", f"{zeros}.0.0.{zeros}255", "1.2.3.4", "5.6.7.8"]
+    assert find_private(frame([(1, text), (2, None)])).count() == 2

@@ -65,6 +65,14 @@ def test_edges(frame):
     assert near_duplicates(frame([])).count() == 0
 
 
+def test_large_ids_beside_null_and_repeated_ids(spark):
+    rows = [(2**60 + 1, "a b c"), (None, "a b c"), (2**60 + 3, "d e f"), (5, "d e f"), (5, "x y z"), (7, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(df, words=2).collect())
+    big = 2**60
+    assert got == sorted([(str(big + 1), big + 1, True), ("None", None, False), (str(big + 3), 5, False), ("5", 5, True), ("5", 5, True), ("7", 5, False)])
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(6)
     for share in (0.5, 0.8, 0.95):

@@ -1,3 +1,6 @@
+import math
+import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -6,48 +9,68 @@ from locusflow.llm import templates
 from locusflow.llm.templates import drop_recurring_lines, masked
 
 
-def brute(rows, min_docs=3):
+def brute(rows, min_docs=3, long_docs=None):
     """Row number -> numbers of dropped lines."""
-    lines = []
+    long_docs = min_docs if long_docs is None else long_docs
+    lines, docs = [], defaultdict(set)  # a line is (leaf, tokens, words); passages have a leaf of their own
     for k, (doc, text, *_) in enumerate(rows):
         for n, line in enumerate(text.split("\n") if text else ()):
-            tokens = masked(line)
-            if len(tokens) >= templates.MIN_TOKENS:
-                lines.append((k, doc, n, tuple(tokens)))
-    docs = defaultdict(set)
-    for k, _, _, tokens in lines:
-        docs[tokens].add(k)
-    at = Counter()
-    for tokens, held in docs.items():
-        for i, t in enumerate(tokens):
-            at[(len(tokens), tokens[: templates.DEPTH], i, t)] += len(held)
-    lines_in_leaf = Counter((len(t), t[: templates.DEPTH]) for t in docs)
-    name = {}
-    for tokens in docs:
-        leaf = (len(tokens), tokens[: templates.DEPTH])
-        wild = tuple(t if at[(*leaf, i, t)] >= min_docs else None for i, t in enumerate(tokens))
-        constant = sum(t is not None for t in wild)
-        general = len(tokens) >= templates.MIN_VARIABLE_TOKENS and lines_in_leaf[leaf] > 1 and constant >= templates.CONSTANT_SHARE * len(tokens)
-        name[tokens] = wild if general else tokens
-    total = Counter()
-    for tokens, held in docs.items():
-        if len(held) >= min_docs or None in name[tokens]:
-            total[name[tokens]] += len(held)
-    first = {}
-    for k, doc, n, tokens in lines:
-        key = (doc is not None, doc or 0, n)
-        if total[name[tokens]] >= min_docs:
-            first[name[tokens]] = min(first.get(name[tokens], key), key)
-    out = defaultdict(list)
-    for k, doc, n, tokens in lines:
-        if total.get(name[tokens], 0) >= min_docs and (doc is not None, doc or 0, n) != first[name[tokens]] and (len(docs[tokens]) >= min_docs or None in name[tokens]):
-            out[k].append(n)
-    return out
-
-
-def check(df, rows):
-    got = drop_recurring_lines(df.withColumn("before", df.text)).collect()
-    wanted = brute(rows)
+            raw, tokens = tuple(line.split()), tuple(masked(line))
+            words = sum(t != templates.WILDCARD for t in tokens) if re.search(r"\d", line) else len(tokens)
+            if words < templates.WORD_SHARE * len(raw):
+                tokens, words = raw, len(raw)
+            if len(raw) < templates.MIN_TOKENS:
+                continue
+            forms = [((len(raw), tokens[: templates.DEPTH]), tokens, words)]
+            if long_docs < min_docs and words < len(raw) and len(raw) >= templates.LONG_TOKENS:
+                forms.append((raw, raw, len(raw)))
+            for form in forms:
+                lines.append((k, (doc is not None, doc or 0, n), n, form))
+                docs[form].add(k)
+    in_leaf = defaultdict(list)
+    for form in docs:
+        in_leaf[form[0]].append(form)
+    name = {form: form for form in docs}
+    for leaf, forms in in_leaf.items():
+        if len(forms) < 2 or len(forms[0][1]) < templates.MIN_VARIABLE_TOKENS or sum(len(docs[f]) for f in forms) < min_docs:
+            continue
+        at = Counter()
+        for form in forms:
+            for place in fields(form):
+                at[place] += len(docs[form])
+        for form in forms:
+            held = [p for p in fields(form) if at[p] >= min_docs]
+            share = math.ceil(templates.CONSTANT_SHARE * form[2])
+            if len(held) >= share:
+                least = sorted((at[p] for p in held), reverse=True)[share - 1]
+                core = tuple(p for p in held if at[p] >= least)
+                name[form] = ("core", leaf, core, len(core) < form[2])
+    general = {f: name[f][0] == "core" and name[f][3] for f in docs}
+    total, first = Counter(), {}
+    for form, held in docs.items():
+        if general[form] or len(held) >= min_docs:
+            total[name[form]] += len(held)
+    for _, place, _, form in lines:
+        if general[form] or len(docs[form]) >= min_docs:
+            first[name[form]] = min(first.get(name[form], place), place)
+        first[form, "own"] = min(first.get((form, "own"), place), place)
+    out = defaultdict(set)
+    for k, place, n, form in lines:
+        if (general[form] or len(docs[form]) >= min_docs) and total[name[form]] >= min_docs and place != first[name[form]]:
+            out[k].add(n)
+        passage = form[2] == len(form[1]) >= templates.LONG_TOKENS and long_docs <= len(docs[form]) < min_docs
+        if passage and place != first[form, "own"]:
+            out[k].add(n)
+    return defaultdict(list, {k: sorted(v) for k, v in out.items()})
+
+
+def fields(form):
+    return [(i, t) for i, t in enumerate(form[1]) if form[2] == len(form[1]) or t != templates.WILDCARD]
+
+
+def check(df, rows, long_docs=None):
+    got = drop_recurring_lines(df.withColumn("before", df.text), long_docs=long_docs).collect()
+    wanted = brute(rows, long_docs=long_docs)
     assert len(got) == len(rows)
     assert sorted((str(r.doc_id), str(r.before), r.dropped_lines) for r in got) == sorted((str(d), str(t), wanted[k]) for k, (d, t, *_) in enumerate(rows))
     for r in got:
@@ -58,8 +81,27 @@ def check(df, rows):
     return got
 
 
-def test_whole_table(small, small_rows):
-    assert sum(len(r.dropped_lines) for r in check(small, small_rows)) > 0
+@pytest.mark.parametrize("long_docs", [None, templates.LONG_DOCS])
+def test_whole_table(small, small_rows, long_docs):
+    assert sum(len(r.dropped_lines) for r in check(small, small_rows, long_docs)) > 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_templates(frame, seed):
+    """Cores of several frequencies, numbers, ties between first places, long lines in two documents."""
+    draw = random.Random(seed)
+    rows = []
+    for k in range(60):
+        lines = []
+        for _ in range(draw.randrange(1, 6)):
+            words = f"it is the line {draw.choice('ab')} {draw.choice('abc')} of {draw.choice('abcdefgh')} {draw.choice(['x', 'y', '7', '8'])} end".split()
+            words += draw.choice([[], ["more"] * 3, [str(k)] * 2, [f"w{x}" if x % 6 else "7" for x in range(14)], list("abcdefghijklmn")])
+            if draw.random() < 0.2:
+                words = [str(draw.randrange(3)) for _ in words]
+            lines.append(draw.choice([" ", "  "]).join(words))
+        rows.append((k, "\n".join(lines)))
+    check(frame(rows + rows[:2]), rows + rows[:2], long_docs=2)
+    check(frame(rows), rows)
 
 
 def test_variable_fields(frame):
