@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from locusflow.llm.contamination import contaminated, find_passages
 from locusflow.llm.language import UNKNOWN, identify_languages
 from locusflow.llm.packing import pack_documents
-from locusflow.llm.setsketch import near_duplicates
+from locusflow.llm.setsketch import near_groups, text_key
 from locusflow.llm.templates import LONG_DOCS, drop_recurring_lines
 from locusflow.session import scratch_path
 
@@ -31,9 +31,12 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; documents without words, or without an id, stay."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays; documents without words, or without an id, stay.
+
+    Rows of one id with different texts are different documents; rows that repeat id and text stay or go together."""
+    gone = near_groups(docs).where("not stays").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = (F.col("doc_id") == F.col("__id")) & (text_key("text") == F.col("__key"))
+    return docs.join(gone, same, "left_anti")
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
