@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hinge as H
 from . import metrics as M
 from .catalog import average_over_repeats
 from .sampling import SEED, train_test_split
@@ -49,17 +50,38 @@ def label_indexer(df: DataFrame, label: str = "Region") -> StringIndexerModel:
 def svm(
     df: DataFrame, label: str = "Region", features: str = "features", cv: bool = True, folds: int = FOLDS, cost: Sequence[float] = COSTS,
     intercept: Sequence[bool] = (False,), tol: Sequence[float] = (0.01,), max_iter: Sequence[int] = (10,),
-    indexer: StringIndexerModel | None = None,
+    indexer: StringIndexerModel | None = None, seed: int = SEED,
 ) -> Model:
-    """Multi-class linear SVM, one against the rest."""
-    base = LinearSVC(featuresCol=features, labelCol="label", fitIntercept=intercept[0], tol=tol[0], maxIter=max_iter[0], regParam=cost[0])
+    """Multi-class linear SVM with squared hinge loss, one against the rest (:mod:`.hinge`).
+
+    All classes, costs and folds of a search are fitted together; of equally good settings the first wins.
+    """
     indexer = indexer or label_indexer(df, label)
-    grids = ParamGridBuilder().addGrid(base.regParam, list(cost)).addGrid(base.fitIntercept, list(intercept))
-    grids = grids.addGrid(base.tol, list(tol)).addGrid(base.maxIter, list(max_iter)).build()
-    rest = OneVsRest(classifier=base, featuresCol=features, labelCol="label", parallelism=PARALLELISM)
+    classes = len(indexer.labels)
+    rows, width = H.training_rows(indexer.transform(df), features, "label", folds if cv else 1, seed)
+    chosen = _search(rows, width, classes, folds, cv, cost, intercept, tol, max_iter, features)
+    rows.unpersist()
     back = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=indexer.labels)
-    grid = [{rest.classifier: base.copy(g)} for g in grids]
-    return cross_validate(Pipeline(stages=[indexer, rest, back]), df, grid, folds, cv)
+    return PipelineModel(stages=[indexer, chosen, back])
+
+
+def _search(
+    rows: DataFrame, width: int, classes: int, folds: int, cv: bool, cost: Sequence[float], intercept: Sequence[bool], tol: Sequence[float],
+    max_iter: Sequence[int], features: str,
+) -> H.SquaredHingeModel:
+    best, chosen = None, None
+    for ones in intercept:
+        for stop in tol:
+            for most in max_iter:
+                held = (-1, *range(folds)) if cv else (-1,)
+                fits = H.fit_columns(rows, width, classes, cost if cv else cost[:1], held, ones, stop, most)
+                found = H.fold_scores(rows, fits, ones, classes)
+                for c in cost if cv else cost[:1]:
+                    values = [v for (x, _), v in found.items() if x == c and v == v]  # a fold without rows has no score
+                    score = sum(values) / len(values) if values else 0.0
+                    if best is None or score > best:
+                        best, chosen = score, H.SquaredHingeModel(fits.of(c), ones, features)
+    return chosen
 
 
 def _trees(tree: Estimator, df: DataFrame, label: str, cv: bool, folds: int, bins: Sequence[int], impurity: Sequence[str], depth: Sequence[int], indexer: StringIndexerModel | None) -> Model:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -17,17 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_rows, broadcast_if_small, cut_lineage, one_value
+from ..session import broadcast_if_rows, broadcast_if_small, cut_lineage, one_value, ship_package
 from . import distance as DI
-from .catalog import cumulative_share, sample_index
+from . import factor as FA
+from . import krylov as KR
+from .catalog import cumulative_share, row_index, sample_index
 from .reshape import MAX_FEATURES
 from .sampling import SEED, frame_split
 from .tiles import scatter
 
-#: Widest Gram matrix that is solved on the driver (128 MB of doubles); wider data is iterated on.
-LOCAL_GRAM = 4096
 #: Largest block (in doubles) that is shipped to every executor: 64 MB.
 BROADCAST_CELLS = 1 << 23
+#: Cells of dense rows that a task holds at once (32 MB of doubles).
+DENSE_CELLS = 1 << 22
 KEYS = ("sampleId", "Region")
 
 
@@ -63,12 +64,14 @@ def explained_components(
 ) -> DataFrame:
     """Running shares of the score matrix and the number of components under the threshold.
 
-    ``parity`` takes shares of the singular values of the uncentred scores; ``standard`` shares of the
+    All singular values come from a tree of triangular factors. ``parity`` takes shares of the singular values of the uncentred scores; ``standard`` shares of the
     variances.
     """
     if mode not in ("parity", "standard"):
         raise ValueError(f"unknown mode {mode!r}")
-    s = np.array(_row_matrix(scores, column).computeSVD(k).s.toArray())
+    rows = scores.select(_as_array(scores, column).alias("_x"))
+    width = rows.select(F.size("_x")).limit(1).collect()
+    s = FA.singular_values(rows, "_x", width[0][0])[:k] if width and width[0][0] > 0 else np.zeros(0)
     values = s if mode == "parity" else s * s
     spark = scores.sparkSession
     table = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(values)], "component int, value double")
@@ -78,84 +81,182 @@ def explained_components(
     return shares.withColumn("components", kept.cast("int"))
 
 
+def _as_array(df: DataFrame, column: str) -> Column:
+    kind = df.schema[column].dataType.typeName()
+    return F.col(column) if kind == "array" else vector_to_array(column)
+
+
 def pca(
     df: DataFrame, k: int, threshold: float = 0.7, column: str = "features", mode: str = "parity", at_least_one: bool = True,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Scale → PCA with ``k`` components → keep the leading ones: ``allPcaFeatures``, ``pcaFeatures``.
 
-    The covariance pass and the projection run in the JVM; its width is limited to what one driver
-    matrix holds (:func:`pca_power` has no such limit).
+    Neither a covariance matrix nor the loadings reach the driver; see :func:`component_scores`. Components
+    without variance have no direction and are left out.
     """
-    model = Pipeline(
-        stages=[
-            StandardScaler(inputCol=column, outputCol="normFeatures", withMean=False, withStd=True),
-            PCA(k=k, inputCol="normFeatures", outputCol="allPcaFeatures"),
-        ]
-    ).fit(df)
-    scores = model.transform(df).select(*keys, "allPcaFeatures")
+    rows = df.select(*keys, _as_array(df, column).alias("_x"))
+    scores = cut_lineage(component_scores(rows, keys, "_x"))
+    scores = scores.withColumn("pcs", F.slice("pcs", 1, k))
     if k == 1:
-        return scores.withColumn("pcaFeatures", F.col("allPcaFeatures"))
-    n = explained_components(scores, "allPcaFeatures", k, threshold, mode, at_least_one).agg(F.max("components")).first()[0]
-    return scores.withColumn("pcaFeatures", slice_vector("allPcaFeatures", n))
+        return scores.select(*keys, array_to_vector("pcs").alias("allPcaFeatures")).withColumn("pcaFeatures", F.col("allPcaFeatures"))
+    n = explained_components(scores, "pcs", k, threshold, mode, at_least_one).agg(F.max("components")).first()[0] or 0
+    kept = array_to_vector(F.slice("pcs", 1, n))
+    return scores.select(*keys, array_to_vector("pcs").alias("allPcaFeatures"), kept.alias("pcaFeatures"))
 
 
-def project(df: DataFrame, loadings: np.ndarray, keys: Sequence[str], column: str = "features", out: str = "pcaFeatures", offset: np.ndarray | None = None) -> DataFrame:
-    """Scores of every row on the loadings (features x components), batch by batch."""
-    rows = df.select(*keys, vector_to_array(column).alias("_x"))
-    shift = None if offset is None else offset @ loadings
-    width = loadings.shape[0]
+def component_scores(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """(``keys``, pcs): scores of the scaled rows on all principal components of positive variance, for any shape.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Columns are divided by their deviation; constant ones are zero. The components are those of the centred matrix,
+    the scores those of the uncentred one. With no more columns than rows the tree folds the rows; otherwise it folds
+    the columns, each with its mean as one more entry, and the factor alone gives the scores.
+    """
+    rows = cut_lineage(rows)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("p")).first()
+    n, p = size["n"], size["p"] or 0
+    if not n or not p:
+        return rows.select(*keys, F.array().cast("array<double>").alias("pcs"))
+    if p <= n:
+        mean, deviation = _column_moments(rows, column, n, p)
+        factor = FA.tall_factor(rows, column, p, lambda x: (x - mean) / deviation)
+        loadings = FA.of_factor(factor, lambda r: _directions(r)[0])
+        scores = FA.times_factor(rows, keys, column, loadings, p, "pcs", lambda x: x / deviation)
+        return FA.with_signs(cut_lineage(scores), "pcs")
+    numbered = row_index(rows.select(*keys, column), *keys)
+    entries = numbered.select("rowIdx", F.posexplode(column).alias("j", "v"))
+    gathered = entries.groupBy("j").agg(F.collect_list(F.struct(F.col("rowIdx").cast("int").alias("s"), F.col("v"))).alias("e"))
+    wide = _wide_scores(_dense_rows(gathered.select(F.col("e.s").alias("s"), F.col("e.v").alias("v")), n, vector=False), "z", n)
+    scores = numbered.select(*keys, "rowIdx").join(wide.withColumnRenamed("r", "rowIdx"), "rowIdx").drop("rowIdx")
+    return FA.with_signs(cut_lineage(scores), "pcs")
+
+
+def _column_moments(rows: DataFrame, column: str, n: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations (infinite where nothing varies) of the columns; every task sends one row."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, mean, square = 0, np.zeros(p), np.zeros(p)
         for batch in batches:
-            x = batch.column(len(keys)).flatten().to_numpy().reshape(-1, width)
-            y = x @ loadings
-            if shift is not None:
-                y = y - shift
-            values = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel())
+            if batch.num_rows:
+                x = FA.matrix_of(batch.column(0), p)
+                m, q = x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0)
+                gap, both = m - mean, count + len(x)
+                square += q + gap * gap * (count * len(x) / both)
+                mean += gap * (len(x) / both)
+                count = both
+        if count:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(p, count)), pa.array(np.arange(p, dtype=np.int32)), pa.array(mean), pa.array(square)], names=["count", "at", "m", "q"]
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], values], names=[*keys, out])
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {out} array<double>"
-    return rows.mapInArrow(score, schema).withColumn(out, array_to_vector(out))
+    parts = rows.select(column).mapInArrow(sums, "count long, at int, m double, q double")
+    around = parts.groupBy("at").agg(
+        (F.sum(F.col("m") * F.col("count")) / n).alias("mean"), F.sum("q").alias("q"), F.sum(F.col("m") * F.col("m") * F.col("count")).alias("s")
+    )
+    table = around.orderBy("at").toArrow()
+    mean = table["mean"].to_numpy()
+    variance = np.maximum(table["q"].to_numpy() + table["s"].to_numpy() - n * mean * mean, 0.0) / max(n - 1, 1)
+    return mean, _deviations(variance)
+
 
+def _deviations(variance: np.ndarray) -> np.ndarray:
+    return np.where(variance > 1e-12, np.sqrt(variance), np.inf)
 
-def fix_signs(vectors: np.ndarray) -> np.ndarray:
-    """Each column with its largest entry positive."""
-    top = vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])]
-    return vectors * np.where(top < 0, -1.0, 1.0)
 
+def _directions(factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Right singular vectors of positive values, those values, and the left vectors."""
+    u, s, vt = np.linalg.svd(factor, full_matrices=False)
+    kept = s > (s[0] if len(s) else 0.0) * 1e-10
+    return vt[kept].T, s[kept], u[:, kept]
 
-def gram_eigen(df: DataFrame, column: str, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues (falling) and eigenvectors of ``X'X``; the sum over rows is a tree aggregation."""
-    matrix = _row_matrix(df, column)
-    width = matrix.numCols()
-    if width > LOCAL_GRAM:
-        raise ValueError(f"{width} columns: use the iterative form")
-    values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-    order = np.argsort(values)[::-1][: k or width]
-    return np.maximum(values[order], 0.0), fix_signs(vectors[:, order])
 
+def _wide_scores(features: DataFrame, column: str, n: int) -> DataFrame:
+    """(r, pcs) for every sample number from rows that are features over all samples: scaled, centred for the components."""
 
-def leading_singular(df: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Squared singular values and right vectors by distributed matrix-vector products."""
-    matrix = _row_matrix(df, column)
-    svd = matrix.computeSVD(min(k, matrix.numCols()))
-    s = np.array(svd.s.toArray())
-    return s * s, fix_signs(svd.V.toArray())
+    def shape(x: np.ndarray) -> np.ndarray:
+        mean = x.mean(axis=1, keepdims=True)
+        deviation = _deviations(((x - mean) ** 2).sum(axis=1, keepdims=True) / max(n - 1, 1))
+        return np.hstack([(x - mean) / deviation, mean / deviation])
+
+    def solve(factor: np.ndarray) -> np.ndarray:
+        samples, values, left = _directions(factor[:, :n])
+        return samples * values + factor[:, n] @ left
+
+    return FA.of_factor(FA.tall_factor(features, column, n, shape), solve, "pcs")
 
 
 def pca_gram(
     df: DataFrame, k: int = 20, threshold: float = 0.6, train: float = 0.7, column: str = "features",
     keys: Sequence[str] = KEYS, at_least_one: bool = False, seed: int = SEED,
 ) -> DataFrame:
-    """PCA by the Gram matrix of a training part (uncentred), all rows scored, leading components kept."""
-    part = frame_split(df, train, seed, keys[0])[0] if train < 1 else df
-    values, vectors = gram_eigen(part, column)
-    n = leading(shares_of(values)[:k], threshold, at_least_one)
-    return project(df, vectors[:, :n], keys, column) if n else df.select(*keys, array_to_vector(F.array().cast("array<double>")).alias("pcaFeatures"))
+    """PCA of a training part (uncentred), all rows scored, leading components kept; any number of columns.
+
+    The components are the eigenvectors of the training part's Gram matrix, which is never formed: its factor is. With more
+    columns than rows the columns are folded, and the factor of all rows holds the training part and the scores.
+    """
+    rows = df.select(*keys, _as_array(df, column).alias("_x"))
+    part = frame_split(rows, train, seed, keys[0])[0] if train < 1 else rows
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_x")).alias("p")).first()
+    n, p = size["n"], size["p"] or 0
+    if not n or not p:
+        return rows.select(*keys, array_to_vector(F.array().cast("array<double>")).alias("pcaFeatures"))
+    if p <= n:
+        scores = _tall_gram(rows, part, keys, p, k, threshold, at_least_one)
+    else:
+        numbered = row_index(rows, *keys)
+        entries = numbered.select(F.col("rowIdx").cast("int").alias("s"), F.posexplode("_x").alias("j", "v"))
+        inside = numbered.join(part.select(*keys).distinct(), list(keys), "left_semi").select(F.col("rowIdx").cast("int").alias("s"))
+        wide = _wide_gram(entries, n, inside, k, threshold, at_least_one)
+        scores = numbered.select(*keys, "rowIdx").join(wide.withColumnRenamed("r", "rowIdx"), "rowIdx").select(*keys, "pcs")
+    return FA.with_signs(cut_lineage(scores), "pcs").select(*keys, array_to_vector("pcs").alias("pcaFeatures"))
+
+
+def pca_gram_wide(
+    long: DataFrame, k: int = 20, threshold: float = 0.6, train: float = 0.7, at_least_one: bool = False,
+    key: str = "sampleId", feature: str = "variantId", value: str = "altCount", seed: int = SEED,
+) -> DataFrame:
+    """:func:`pca_gram` from long rows, absent cells as zeros: ``(sampleId, pcs)``."""
+    entries = cut_lineage(matrix_entries(long, key, feature, value).groupBy("i", "j").agg(F.sum("v").alias("v")))
+    samples = cut_lineage(sample_index(long.select(F.col(key).alias("i")), "i"))
+    part = frame_split(samples, train, seed, "i")[0] if train < 1 else samples
+    columns = cut_lineage(sample_index(entries, "j", "f"))
+    n, p = samples.count(), columns.count()
+    if p <= n:
+        own = entries.join(broadcast_if_rows(columns, p), "j").groupBy("i").agg(F.collect_list(F.struct("f", "v")).alias("e"))
+        every = samples.select("i").join(own, "i", "left").select(
+            "i", F.coalesce("e.f", F.array().cast("array<int>")).alias("s"), F.coalesce("e.v", F.array().cast("array<double>")).alias("v")
+        )
+        rows = cut_lineage(_dense_rows(every, p, "i", vector=False).withColumnRenamed("z", "_x"))
+        scores = _tall_gram(rows, rows.join(part.select("i"), "i", "left_semi"), ["i"], p, k, threshold, at_least_one)
+    else:
+        numbered = entries.join(broadcast_if_rows(samples, n), "i").select(F.col("sidx").alias("s"), "j", "v")
+        wide = _wide_gram(numbered, n, part.select(F.col("sidx").alias("s")), k, threshold, at_least_one)
+        scores = samples.join(wide.withColumnRenamed("r", "sidx"), "sidx").select("i", "pcs")
+    return FA.with_signs(cut_lineage(scores), "pcs").withColumnRenamed("i", key)
+
+
+def _tall_gram(rows: DataFrame, part: DataFrame, keys: Sequence[str], p: int, k: int, threshold: float, at_least_one: bool) -> DataFrame:
+    factor = FA.tall_factor(part, "_x", p)
+    found = FA.of_factor(factor, lambda r: np.linalg.svd(r, compute_uv=False)[None, :]).collect()
+    squares = np.array(found[0]["x"]) ** 2 if found else np.zeros(0)
+    n = leading(shares_of(squares)[:k], threshold, at_least_one) if squares.sum() > 0 else 0
+    loadings = FA.of_factor(factor, lambda r: np.linalg.svd(r, full_matrices=False)[2].T[:, :n])
+    return FA.times_factor(rows, keys, "_x", loadings, p, "pcs")
+
+
+def _wide_gram(entries: DataFrame, n: int, part: DataFrame, k: int, threshold: float, at_least_one: bool) -> DataFrame:
+    """(r, pcs) of all sample numbers from (s, j, v) rows; ``part`` lists the training ones."""
+    gathered = entries.groupBy("j").agg(F.collect_list(F.struct("s", F.col("v").cast("double").alias("v"))).alias("e"))
+    rows = _dense_rows(gathered.select(F.col("e.s").alias("s"), F.col("e.v").alias("v")), n, vector=False)
+    inside = np.array(sorted(r["s"] for r in part.collect()), dtype=np.int64)  # as many as the factor is wide
+
+    def solve(factor: np.ndarray) -> np.ndarray:
+        left, values, _ = np.linalg.svd(factor[:, inside], full_matrices=False)
+        squares = values**2
+        kept = leading(shares_of(squares)[:k], threshold, at_least_one) if squares.sum() > 0 else 0
+        return factor.T @ left[:, :kept]
+
+    return FA.of_factor(FA.tall_factor(rows, "z", n), solve, "pcs")
 
 
 # ---------------------------------------------------------------- iterative forms on long data
@@ -216,24 +317,12 @@ def _start(keys: DataFrame, key: str, width: int, seed: int) -> DataFrame:
     return keys.select(key, F.array(*cells).alias("q"))
 
 
-def _less_means(product: DataFrame, block: DataFrame, means: DataFrame, rows: int, width: int) -> DataFrame:
-    """``X'X q`` → the same for centred columns: less ``rows * m (m'q)``."""
-    mean_of = broadcast_if_small(means)
-    weighted = block.join(mean_of, "j").agg(_sums(width, "m", "q").alias("t")).first()["t"]
-    factors = F.array(*[F.lit(float(rows * t)) for t in weighted])
-    shifted = F.zip_with("q", factors, lambda q, f: q - F.col("m") * f)
-    return product.join(mean_of, "j").select("j", shifted.alias("q"))
-
-
 def subspace_iteration(
     entries: DataFrame, k: int, max_iter: int = 100, tol: float = 1e-7, oversample: int = 8, seed: int = SEED,
-    symmetric: bool = False, means: DataFrame | None = None, rows: int = 0,
+    symmetric: bool = False,
 ) -> Subspace:
     """Leading ``k`` singular pairs of a matrix given as ``(i, j, v)`` rows.
 
-    With ``means`` (``j, m``) the columns are centred on the way, over ``rows`` rows of which absent
-    entries are zeros; the centred matrix is never written out.
-
     Each round is two join-and-sum steps (one for a symmetric matrix) over the entries and one
     orthonormalisation through a small Gram matrix. Only that matrix, as wide as the block, reaches the
     driver; the block itself stays a DataFrame and is checkpointed every round.
@@ -258,8 +347,6 @@ def subspace_iteration(
             raw = half(block, "j", "i").withColumnRenamed("i", "j")
         else:
             raw = half(half(block, "j", "i"), "i", "j")
-            if means is not None:
-                raw = _less_means(raw, block, means, rows, width)
         raw = cut_lineage(raw)
         squares, rotation = np.linalg.eigh(_inner(raw, "q", width))
         order = np.argsort(squares)[::-1]
@@ -327,55 +414,35 @@ def pca_randomized(
     return _leading_scores(matrix_entries(long, key, feature, value), space, k, threshold, at_least_one)
 
 
-def scaled_entries(long: DataFrame, rows: int, key: str, feature: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """Entries over their feature's deviation, and the feature means after scaling; absent cells are zeros."""
-    entries = matrix_entries(long, key, feature, value)
-    sums = entries.groupBy("j").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    mean = F.col("s") / rows
-    variance = (F.col("q") - rows * mean * mean) / max(rows - 1, 1)
-    stats = cut_lineage(sums.select("j", mean.alias("m"), F.sqrt(variance).alias("sd"), variance.alias("var")).filter("var > 1e-12"))
-    scaled = entries.join(broadcast_if_small(stats.select("j", "sd")), "j").select("i", "j", (F.col("v") / F.col("sd")).alias("v"))
-    return scaled, stats.select("j", (F.col("m") / F.col("sd")).alias("m"))
-
-
-def _score_table(samples: DataFrame, scores: np.ndarray, key: str) -> DataFrame:
-    """Local scores (one row per sample number) → ``(key, pcs)``."""
-    n, c = scores.shape
-    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * c)
-    values = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(scores).ravel()))
-    table = pa.table({"sidx": pa.array(np.arange(n, dtype=np.int32)), "pcs": values})
-    return samples.sparkSession.createDataFrame(table).join(F.broadcast(samples), "sidx").select(F.col("i").alias(key), "pcs")
-
-
 def pca_wide(
-    long: DataFrame, k: int = 20, threshold: float = 0.7, mode: str = "parity", at_least_one: bool = True, local_limit: int = LOCAL_GRAM,
-    key: str = "sampleId", feature: str = "variantId", value: str = "altCount", tol: float = 1e-7,
+    long: DataFrame, k: int | None = None, threshold: float = 0.7, mode: str = "parity", at_least_one: bool = True,
+    key: str = "sampleId", feature: str = "variantId", value: str = "altCount",
 ) -> DataFrame:
-    """The PCA of :func:`pca` for more features than a covariance matrix can hold: ``(sampleId, pcs)``.
+    """The PCA of :func:`pca` from long rows, absent cells as zeros: ``(sampleId, pcs)``.
 
-    Up to ``local_limit`` samples all components come from the sample-by-sample products, summed over
-    the features; larger cohorts iterate for the leading ``k``.
+    The shares are taken over all components, whatever the numbers of samples and features. The smaller of both sets
+    the width of the factors. ``k`` bounds the components returned, none by default.
     """
+    entries = cut_lineage(matrix_entries(long, key, feature, value).groupBy("i", "j").agg(F.sum("v").alias("v")))
     samples = cut_lineage(sample_index(long.select(F.col(key).alias("i")), "i"))
-    n = samples.count()
-    scaled, means = scaled_entries(long, n, key, feature, value)
-    if n <= local_limit:
-        numbered = scaled.join(F.broadcast(samples), "i").groupBy("j").agg(F.collect_list(F.struct("sidx", "v")).alias("e"))
-        rows = _dense_rows(numbered.select(F.col("e.sidx").alias("s"), F.col("e.v").alias("v")), n)
-        products = _row_matrix(rows, "z").computeGramianMatrix().toArray()
-        middle = np.eye(n) - 1.0 / n
-        values, vectors = np.linalg.eigh(middle @ products @ middle)
-        order = np.argsort(values)[::-1]
-        order = order[values[order] > values[order[0]] * 1e-12]
-        scores = products @ middle @ fix_signs(vectors[:, order]) / np.sqrt(values[order])
-        s = np.linalg.svd(scores, compute_uv=False)
-        kept = leading(shares_of(s if mode == "parity" else s * s), threshold, at_least_one)
-        return _score_table(samples, scores[:, :kept], key)
-    space = subspace_iteration(scaled, k, tol=tol, means=means, rows=n)
-    scores = cut_lineage(scores_of(scaled, space))
-    s = np.sqrt(np.maximum(np.linalg.eigvalsh(_inner(scores, "pcs", len(space.values)))[::-1], 0.0))
-    kept = leading(shares_of(s if mode == "parity" else s * s), threshold, at_least_one)
-    return scores.select(F.col("i").alias(key), F.slice("pcs", 1, kept).alias("pcs"))
+    columns = cut_lineage(sample_index(entries, "j", "f"))
+    n, p = samples.count(), columns.count()
+    if p <= n:
+        numbered = entries.join(broadcast_if_rows(columns, p), "j")
+        own = numbered.groupBy("i").agg(F.collect_list(F.struct("f", "v")).alias("e"))
+        every = samples.select("i").join(own, "i", "left").select(
+            "i", F.coalesce("e.f", F.array().cast("array<int>")).alias("s"), F.coalesce("e.v", F.array().cast("array<double>")).alias("v")
+        )
+        scores = component_scores(_dense_rows(every, p, "i", vector=False), ["i"], "z")
+    else:
+        numbered = entries.join(broadcast_if_rows(samples, n), "i")
+        own = numbered.groupBy("j").agg(F.collect_list(F.struct("sidx", "v")).alias("e"))
+        wide = _wide_scores(_dense_rows(own.select(F.col("e.sidx").alias("s"), F.col("e.v").alias("v")), n, vector=False), "z", n)
+        scores = FA.with_signs(cut_lineage(samples.join(wide.withColumnRenamed("r", "sidx"), "sidx").select("i", "pcs")), "pcs")
+    scores = cut_lineage(scores)
+    values = FA.singular_values(scores, "pcs", scores.select(F.max(F.size("pcs"))).first()[0] or 0) if n else np.zeros(0)
+    kept = leading(shares_of(values if mode == "parity" else values * values), threshold, at_least_one) if len(values) else 0
+    return scores.select(F.col("i").alias(key), F.slice("pcs", 1, min(kept, k or kept)).alias("pcs"))
 
 
 def pca_glrm(
@@ -432,65 +499,73 @@ def normalized_genotypes(
     return known.join(scale, "j").select("i", "j", ((F.col("g") - F.col("mean")) / F.col("sd")).alias("v"))
 
 
-@dataclass
 class RelationshipPca:
-    """Leading components of the relationship matrix with their shares of the trace."""
+    """Components of the relationship matrix and their shares of its trace, found as far as they are asked for."""
 
-    shares: np.ndarray
-    scores: Callable[[int], DataFrame]
+    def __init__(self, pairs: KR.EigenPairs, samples: DataFrame, key: str) -> None:
+        self._pairs, self._samples, self._key = pairs, samples, key
+
+    def values(self) -> np.ndarray:
+        """Eigenvalues of all components of positive variance."""
+        n = self._pairs.reach(lambda values: self._pairs.size)
+        return self._pairs.values[:n]
+
+    @property
+    def shares(self) -> np.ndarray:
+        return self.values() / self._pairs.total if self._pairs.total else self.values()
+
+    def scores(self, count: int) -> DataFrame:
+        """``(sampleId, pcs)`` on the first ``count`` components, or on all that there are."""
+        return self._table(self._pairs.reach(lambda values: count) if count else 0)
 
     def keep(self, threshold: float, at_least_one: bool = False) -> DataFrame:
         """``(sampleId, pcs)`` with the components under the threshold."""
-        return self.scores(leading(np.cumsum(self.shares), threshold, at_least_one))
+        total = self._pairs.total
+        return self._table(self._pairs.reach(lambda values: leading(np.cumsum(values) / total, threshold, at_least_one)))
 
+    def _table(self, count: int) -> DataFrame:
+        if not count:
+            return self._samples.select(F.col("i").alias(self._key), F.array().cast("array<double>").alias("pcs"))
+        found = self._pairs.vectors(count).join(self._samples.withColumnRenamed("sidx", "r"), "r")
+        return FA.with_signs(cut_lineage(found.select(F.col("i").alias(self._key), F.col("v").alias("pcs"))), "pcs")
 
-def _dense_rows(gathered: DataFrame, width: int, key: str | None = None) -> DataFrame:
-    """Sparse rows ``(s, v)`` → dense vectors ``z`` of the given width, batch by batch."""
+
+def _dense_rows(gathered: DataFrame, width: int, key: str | None = None, vector: bool = True) -> DataFrame:
+    """Sparse rows ``(s, v)`` → dense vectors (or arrays) ``z`` of the given width, a bounded number of cells at once."""
     keys = [key] if key else []
+    most = max(1, DENSE_CELLS // max(width, 1))
+    ship_package(gathered.sparkSession)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dense = scatter(batch.column(len(keys)), batch.column(len(keys) + 1), width, 0.0, np.float64)
-            values = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, dense.size + 1, width, dtype=np.int32)), pa.array(dense.ravel())
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], values], names=[*keys, "z"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
+                dense = scatter(batch.column(len(keys)), batch.column(len(keys) + 1), width, 0.0, np.float64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], FA.lists_of(dense)], names=[*keys, "z"])
 
     kinds = dict(gathered.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + ["z array<double>"])
-    return gathered.select(*keys, "s", "v").mapInArrow(fill, schema).withColumn("z", array_to_vector("z"))
+    filled = gathered.select(*keys, "s", "v").mapInArrow(fill, schema)
+    return filled.withColumn("z", array_to_vector("z")) if vector else filled
 
 
 def grm_pca(
-    calls: DataFrame, maf: float | None = None, missing_rate: float | None = None, k: int = 20, local_limit: int = LOCAL_GRAM,
-    vector_limit: int = MAX_FEATURES, key: str = "sampleId", feature: str = "idx", value: str = "dosage",
+    calls: DataFrame, maf: float | None = None, missing_rate: float | None = None, key: str = "sampleId", feature: str = "idx",
+    value: str = "dosage", edge: int = KR.EDGE, width: int = KR.WIDTH, tol: float = 1e-8,
 ) -> RelationshipPca:
-    """Eigenvectors of the sample relationship matrix ``Z Z'``.
+    """Eigenvectors of the sample relationship matrix ``Z Z'``, as many as a share of its trace asks for.
 
-    Up to ``local_limit`` samples the n x n sum over SNPs is solved in full. Larger cohorts never build
-    it: up to ``vector_limit`` samples the leading ``k`` come from distributed matrix-vector products,
-    beyond that from the iteration on long entries. Shares are of the trace in all cases.
+    The matrix of normalised genotypes stays in blocks of ``edge``; vectors are iterated on its smaller side, in a
+    block that starts with ``width`` of them and grows. Samples without a usable genotype have no row. An iteration
+    that does not settle raises ``RuntimeError``.
     """
     entries = cut_lineage(normalized_genotypes(calls, maf, missing_rate, key, feature, value))
-    samples = cut_lineage(sample_index(entries, "i"))
-    n = samples.count()
-    if n > vector_limit:
-        flipped = entries.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-        space = subspace_iteration(flipped, k)
-        found = space.vectors.select(F.col("j").alias(key), F.col("q").alias("pcs"))
-        return RelationshipPca(space.values / space.total, lambda c: found.withColumn("pcs", F.slice("pcs", 1, c)))
-    numbered = entries.join(F.broadcast(samples), "i")  # at most `vector_limit` rows
-    per_snp = numbered.groupBy("j").agg(F.collect_list(F.struct("sidx", "v")).alias("e"))
-    gathered = per_snp.select(F.col("e.sidx").alias("s"), F.col("e.v").alias("v"))
-    rows = _dense_rows(gathered, n)
-    if n <= local_limit:
-        values, vectors = gram_eigen(rows, "z")
-        shares = values / values.sum()
-    else:
-        values, vectors = leading_singular(rows, "z", k)
-        shares = values / entries.agg(F.sum(F.col("v") * F.col("v"))).first()[0]
-
-    return RelationshipPca(shares, lambda c: _score_table(samples, vectors[:, :c], key))
+    samples, columns = cut_lineage(sample_index(entries, "i")), cut_lineage(sample_index(entries, "j", "c"))
+    n, p = samples.count(), columns.count()
+    numbered = entries.join(broadcast_if_rows(samples, n), "i").join(broadcast_if_rows(columns, p), "j")
+    matrix = KR.BlockMatrix(numbered.select(F.col("sidx").alias("r"), "c", "v"), n, p, edge)
+    total = entries.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    return RelationshipPca(KR.EigenPairs(matrix, p < n, total, width, tol), samples, key)
 
 
 def snp_pc_correlation(
@@ -524,71 +599,40 @@ def chi_square(long: DataFrame, region: str = "super_pop", feature: str = "idx",
 
 def mds_classic(
     long: DataFrame, metric: str = "euclidean", p: float = 2, k: int = 20, threshold: float = 0.7, at_least_one: bool = False,
-    key: str = "sampleId", feature: str = "idx", value: str = "w", max_iter: int = 100, tol: float = 1e-7,
-    local_limit: int = LOCAL_GRAM,
+    key: str = "sampleId", feature: str = "idx", value: str = "w", tol: float = 1e-8, edge: int = KR.EDGE, width: int = KR.WIDTH,
 ) -> DataFrame:
     """Classical MDS coordinates ``(sampleId, pcs)`` with the leading components kept.
 
     Shares are taken over the ``k`` components found. For Euclidean distances the coordinates are the
     scores of the centred data, so no pair is ever formed. Other distances go through the
-    double-centred matrix, of which the most positive eigenvalues count; it is solved on the driver up to
-    ``local_limit`` samples and iterated on beyond.
+    double-centred matrix in blocks, of which the most positive eigenvalues count.
     """
     if metric == "euclidean" or (metric == "minkowski" and p == 2):
         entries = cut_lineage(centred_entries(matrix_entries(long, key, feature, value)))
-        columns = cut_lineage(sample_index(entries, "j", "f"))
-        width = columns.count()
-        if width <= MAX_FEATURES:
-            numbered = entries.join(F.broadcast(columns), "j").groupBy("i").agg(F.collect_list(F.struct("f", "v")).alias("e"))
-            rows = _dense_rows(numbered.select("i", F.col("e.f").alias("s"), F.col("e.v").alias("v")), width, "i")
-            rows = cut_lineage(rows)
-            values, vectors = leading_singular(rows, "z", k)
-            n = leading(shares_of(values), threshold, at_least_one)
-            kept = project(rows, vectors[:, : max(n, 1)], ["i"], "z", "pcs")
-            return kept.select(F.col("i").alias(key), F.slice(vector_to_array("pcs"), 1, n).alias("pcs"))
-        space = subspace_iteration(entries, k, max_iter, tol)
-        n = leading(shares_of(space.values), threshold, at_least_one)
-        return scores_of(entries, space, max(n, 1)).select(F.col("i").alias(key), F.slice("pcs", 1, n).alias("pcs"))
-    upper = cut_lineage(DI.mds_double_centre(DI.distance_matrix(long, metric, p, key, feature, value)))
-    samples = cut_lineage(sample_index(upper, "i"))
-    if (size := samples.count()) <= local_limit:
-        values, vectors = _local_eigen(upper, samples, size)
-        values, vectors = np.maximum(values[:k], 0.0), vectors[:, :k]
-        n = leading(shares_of(values), threshold, at_least_one)
-        return _score_table(samples, vectors[:, :n] * np.sqrt(values[:n]), key)
-    # Shift by a bound of the negative eigenvalues, so that the largest eigenvalues are the largest in size.
-    strict = upper.filter("i <> j")
-    both = upper.select("i", "j", F.col("b").alias("v")).unionByName(strict.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("b").alias("v")))
-    low = _most_negative(both, max_iter)
-    shifted = both.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") + low).otherwise(F.col("v")))
-    space = subspace_iteration(shifted, k, max_iter, tol, symmetric=True)
-    values = np.maximum(space.values - low, 0.0)
-    n = leading(shares_of(values), threshold, at_least_one)
-    scaled = _times(space.vectors, "j", "q", np.diag(np.sqrt(values))[:, : max(n, 1)])
-    return scaled.select(F.col("j").alias(key), F.slice("q", 1, n).alias("pcs"))
-
-
-def _local_eigen(upper: DataFrame, samples: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenpairs (falling) of a symmetric matrix of at most ``LOCAL_GRAM`` rows from its upper triangle."""
-    side = F.broadcast(samples)
-    cells = upper.join(side.select("i", F.col("sidx").alias("r")), "i").join(side.select(F.col("i").alias("j"), F.col("sidx").alias("c")), "j")
-    table = cells.select("r", "c", "b").toArrow()
-    r, c, b = (table[name].to_numpy() for name in ("r", "c", "b"))
-    matrix = np.zeros((n, n))
-    matrix[r, c] = b
-    matrix[c, r] = b
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(values)[::-1]
-    return values[order], fix_signs(vectors[:, order])
-
-
-def _most_negative(entries: DataFrame, max_iter: int) -> float:
-    """A bound of the size of the negative eigenvalues of a symmetric matrix."""
-    top = subspace_iteration(entries, 1, max_iter, 1e-4, oversample=4, symmetric=True)
-    size = float(top.values[0])
-    moved = entries.withColumn("v", F.when(F.col("i") == F.col("j"), F.lit(size) - F.col("v")).otherwise(-F.col("v")))
-    far = subspace_iteration(moved, 1, max_iter, 1e-4, oversample=4, symmetric=True)
-    return max(0.0, 1.05 * (float(far.values[0]) - size)) + 1e-9 * size
+        samples, columns = cut_lineage(sample_index(entries, "i")), cut_lineage(sample_index(entries, "j", "c"))
+        n, m = samples.count(), columns.count()
+        numbered = entries.join(broadcast_if_rows(samples, n), "i").join(broadcast_if_rows(columns, m), "j")
+        matrix = KR.BlockMatrix(numbered.select(F.col("sidx").alias("r"), "c", "v"), n, m, edge)
+        total = entries.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+        pairs = KR.EigenPairs(matrix, m < n, total, width, tol)
+    else:
+        upper = cut_lineage(DI.mds_double_centre(DI.distance_matrix(long, metric, p, key, feature, value)))
+        samples = cut_lineage(sample_index(upper, "i"))
+        n = samples.count()
+        side = broadcast_if_rows(samples, n)
+        cells = upper.join(side.withColumnRenamed("sidx", "r"), "i").join(side.select(F.col("i").alias("j"), F.col("sidx").alias("c")), "j")
+        cells = cells.select("r", "c", F.col("b").alias("v"))
+        both = cells.unionByName(cells.filter("r <> c").select(F.col("c").alias("r"), F.col("r").alias("c"), "v"))
+        pairs = KR.EigenPairs(KR.BlockMatrix(both, n, n, edge), False, 0.0, width, tol, symmetric=True)
+    found = pairs.reach(lambda values: k)
+    values = pairs.values[:found]
+    kept = leading(shares_of(values), threshold, at_least_one) if found else 0
+    if not kept:
+        return samples.select(F.col("i").alias(key), F.array().cast("array<double>").alias("pcs"))
+    lengths = F.array(*[F.lit(float(x)) for x in np.sqrt(values[:kept])])
+    rows = pairs.vectors(kept).join(samples.withColumnRenamed("sidx", "r"), "r")
+    scaled = rows.select(F.col("i").alias(key), F.zip_with("v", lengths, lambda x, y: x * y).alias("pcs"))
+    return FA.with_signs(cut_lineage(scaled), "pcs")
 
 
 def column_similarities(df: DataFrame, column: str = "features") -> DataFrame:

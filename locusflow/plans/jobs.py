@@ -120,23 +120,18 @@ class Stratification:
 def reduce_features(long: DataFrame, panel: DataFrame, params: JobParams, level: str, k: int = 20) -> DataFrame:
     """``(sampleId, Region, pcaFeatures)`` by the method the parameters name."""
     options = {"feature": "variantId", "value": "altCount"}
-    size = long.agg(F.count_distinct("variantId").alias("p")).first()
-    narrow = size["p"] <= R.LOCAL_GRAM
     if params.dim_red_method == "MDS":
         scores = R.mds_classic(long, k=k, at_least_one=True, **options)
-    elif params.dim_red_method == "pcaH2O" and params.pca_method == "GLRM":
+    elif params.dim_red_method != "pcaH2O":
+        scores = R.pca_wide(long, **options)
+    elif params.pca_method == "GLRM":
         scores = R.pca_glrm(long, k, train=0.5, **options)
-    elif params.dim_red_method == "pcaH2O" and params.pca_method == "Randomized":
+    elif params.pca_method == "Randomized":
         scores = R.pca_randomized(long, k, at_least_one=True, **options)
-    elif params.dim_red_method == "pcaH2O" and (params.pca_method == "Power" or not narrow):
+    elif params.pca_method == "Power":
         scores = R.pca_power(long, k, at_least_one=True, **options)
-    elif not narrow:
-        scores = R.pca_wide(long, k, **options)
     else:
-        vectors = RS.compact(P.attach_region(R.filled_vectors(long), panel, level))
-        if params.dim_red_method == "pcaH2O":
-            return R.pca_gram(vectors, k, at_least_one=True)
-        return R.pca(vectors, min(vectors.count(), size["p"])).drop("allPcaFeatures")
+        scores = R.pca_gram_wide(long, k, at_least_one=True, **options)
     return P.attach_region(scores, panel, level).select("sampleId", "Region", array_to_vector("pcs").alias("pcaFeatures"))
 
 

@@ -54,7 +54,7 @@ def _(spark, sf):
 @query("svm")
 def _(spark, sf):
     rows = region_vectors(spark, sf)
-    return K.svm(rows, cv=False, max_iter=(5,)).transform(rows).select("sampleId", "Region", "label", "prediction")
+    return K.svm(rows).transform(rows).select("sampleId", "Region", "label", "prediction")
 
 
 @query("decision_tree")

@@ -36,10 +36,20 @@ def _(spark, sf):
     return scaled.select("sampleId", F.posexplode("n").alias("idx", "v")).select("sampleId", "idx", r6("v").alias("v"))
 
 
-@query("pca")
+def _lengths(scores, column="pcs"):
+    """Per sample the number of components and the square of its whole score, which no rotation changes."""
+    c = F.col(column)
+    return scores.select("sampleId", F.size(c).alias("components"), r6(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x), 4).alias("total_square"))
+
+
+@query(
+    "pca", "dense",
+    sql="""SELECT d.sampleId, 64 AS components, round(sum(d.w * d.w / s.v), 4) AS total_square FROM dense d
+    JOIN (SELECT idx, var_samp(w) AS v FROM dense GROUP BY idx) s ON s.idx = d.idx GROUP BY d.sampleId""",
+)
 def _(spark, sf):
     reduced = R.pca(region_vectors(spark, sf), 64)
-    return _sizes(reduced.withColumn("pcs", vector_to_array("pcaFeatures")))
+    return _lengths(reduced.withColumn("pcs", vector_to_array("allPcaFeatures")))
 
 
 # All components of the scaled data keep its total square, whatever the rotation.
@@ -53,29 +63,38 @@ def _(spark, sf):
     return _sizes(reduced.withColumn("pcs", vector_to_array("allPcaFeatures")))
 
 
-@query("explained_components")
+# Shares are of singular values; the squares of all of them add up to those of the matrix.
+@query(
+    "explained_components", "dense",
+    sql="""SELECT 64 AS components, round(sum(d.w * d.w / s.v), 4) AS total_square, 1.0 AS last_share, 1.0 AS shares FROM dense d
+    JOIN (SELECT idx, var_samp(w) AS v FROM dense GROUP BY idx) s ON s.idx = d.idx""",
+)
 def _(spark, sf):
-    reduced = R.pca(region_vectors(spark, sf), 64)
-    return rounded(R.explained_components(reduced, "allPcaFeatures", 64), "value", "share", "cumulative")
+    shares = R.explained_components(R.pca(region_vectors(spark, sf), 64), "allPcaFeatures", 64)
+    return shares.agg(
+        F.count(F.lit(1)).cast("int").alias("components"), r6(F.sum(F.col("value") * F.col("value")), 4).alias("total_square"),
+        r6(F.max("cumulative"), 9).alias("last_share"), r6(F.sum("share"), 9).alias("shares"),
+    )
 
 
-# The Gram matrix itself has a plain SQL form; its eigenvectors do not.
-@query("pca_gram")
+# With all components the score of a sample is as long as the sample itself, also of one outside the training part.
+WHOLE = "SELECT sampleId, 64 AS components, round(sum(w * w), 4) AS total_square FROM dense GROUP BY sampleId"
+
+
+@query("pca_gram", "dense", sql=WHOLE)
 def _(spark, sf):
-    reduced = R.pca_gram(region_vectors(spark, sf), threshold=0.95)
-    return rounded(RS.pc_columns(reduced, KEYS, 4), *[f"PC{i + 1}" for i in range(4)])
+    reduced = R.pca_gram(region_vectors(spark, sf), k=64, threshold=1.0)
+    return _lengths(reduced.withColumn("pcs", vector_to_array("pcaFeatures")))
 
 
-@query("pca_power")
+@query("pca_power", "dense", sql=WHOLE)
 def _(spark, sf):
-    scores = R.pca_power(X.dense(spark, sf), 4, 0.99, train=1.0)
-    return rounded(R.component_table(scores, ["sampleId"], 4), *[f"PC{i + 1}" for i in range(4)])
+    return _lengths(R.pca_power(X.dense(spark, sf), 64, 1.0))
 
 
-@query("pca_randomized")
+@query("pca_randomized", "dense", sql=WHOLE)
 def _(spark, sf):
-    scores = R.pca_randomized(X.dense(spark, sf), 4, 0.99, train=1.0)
-    return rounded(R.component_table(scores, ["sampleId"], 4), *[f"PC{i + 1}" for i in range(4)])
+    return _lengths(R.pca_randomized(X.dense(spark, sf), 64, 1.0))
 
 
 @query("pca_glrm")
@@ -83,10 +102,24 @@ def _(spark, sf):
     return R.component_table(R.pca_glrm(X.dense(spark, sf), 4), ["sampleId"], 4)
 
 
-@query("grm_pca")
+# Eigenvectors weighted with their eigenvalues give back the diagonal of the relationship matrix.
+@query(
+    "grm_pca", "dense",
+    sql="""SELECT d.sampleId, (SELECT count(*) FROM (SELECT idx FROM dense GROUP BY idx HAVING min(dosage) < max(dosage)
+        AND count(dosage) >= (SELECT count(DISTINCT sampleId) FROM dense) * CAST(0.95 AS DOUBLE))) AS components,
+      round(sum((d.dosage - s.m) * (d.dosage - s.m) / (s.p * (1 - s.p))), 4) + 0.0 AS diagonal FROM dense d
+    JOIN (SELECT idx, avg(dosage) AS m, (1 + sum(dosage)) / CAST(2 + 2 * count(dosage) AS DOUBLE) AS p FROM dense WHERE dosage IS NOT NULL
+      GROUP BY idx HAVING min(dosage) < max(dosage)
+        AND count(dosage) >= (SELECT count(DISTINCT sampleId) FROM dense) * CAST(0.95 AS DOUBLE)) s ON s.idx = d.idx
+    WHERE d.dosage IS NOT NULL GROUP BY d.sampleId""",
+)
 def _(spark, sf):
-    found = R.grm_pca(X.dense(spark, sf), 0.05)
-    return rounded(R.component_table(found.keep(0.25), ["sampleId"], 4), *[f"PC{i + 1}" for i in range(4)])
+    found = R.grm_pca(X.dense(spark, sf), missing_rate=0.05)
+    values = F.array(*[F.lit(float(v)) for v in found.values()])
+    weighted = F.zip_with("pcs", values, lambda x, v: x * x * v)
+    return found.keep(1.0).select(
+        "sampleId", F.size("pcs").cast("long").alias("components"), r6(F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x), 4).alias("diagonal")
+    )
 
 
 @query(
@@ -128,40 +161,31 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- distances
+# Missing genotypes count as zeros.
 
-COMPLETE = """, full_dense AS (SELECT * FROM dense WHERE idx IN (SELECT idx FROM dense WHERE dosage IS NOT NULL GROUP BY idx
-  HAVING count(*) = (SELECT count(DISTINCT sampleId) FROM dense)))"""
-DIST = COMPLETE + """
+FULL = """, full_dense AS (SELECT sampleId, idx, coalesce(dosage, 0) AS dosage FROM dense)"""
+DIST = FULL + """
 SELECT a.sampleId AS i, b.sampleId AS j, round({e}, 6) AS dist FROM full_dense a JOIN full_dense b ON a.idx = b.idx AND a.sampleId < b.sampleId GROUP BY a.sampleId, b.sampleId"""
 
 
-def _complete(spark, sf):
-    from ..session import one_value
-
-    long = X.dense(spark, sf)
-    total = one_value(long.agg(F.count_distinct("sampleId")))
-    full = long.groupBy("idx").agg(F.count("dosage").alias("n")).filter(F.col("n") == total).select("idx")
-    return long.join(full, "idx", "left_semi")
-
-
 @query("dist_minkowski", "dense", sql=DIST.format(e="pow(sum(pow(abs(CAST(a.dosage - b.dosage AS DOUBLE)), 3)), 1 / CAST(3 AS DOUBLE))"))
 def _(spark, sf):
-    return rounded(DI.distance_matrix(_complete(spark, sf), "minkowski", 3), "dist")
+    return rounded(DI.distance_matrix(X.dense(spark, sf), "minkowski", 3), "dist")
 
 
 @query("dist_euclidean", "dense", sql=DIST.format(e="sqrt(CAST(sum((a.dosage - b.dosage) * (a.dosage - b.dosage)) AS DOUBLE))"))
 def _(spark, sf):
-    return rounded(DI.distance_matrix(_complete(spark, sf), "euclidean"), "dist")
+    return rounded(DI.distance_matrix(X.dense(spark, sf), "euclidean"), "dist")
 
 
 @query("dist_manhattan", "dense", sql=DIST.format(e="CAST(sum(abs(a.dosage - b.dosage)) AS DOUBLE)"))
 def _(spark, sf):
-    return rounded(DI.distance_matrix(_complete(spark, sf), "manhattan"), "dist")
+    return rounded(DI.distance_matrix(X.dense(spark, sf), "manhattan"), "dist")
 
 
 @query("dist_hamming", "dense", sql=DIST.format(e="CAST(count(*) FILTER (WHERE a.dosage <> b.dosage) AS DOUBLE)"))
 def _(spark, sf):
-    return rounded(DI.distance_matrix(_complete(spark, sf), "hamming"), "dist")
+    return rounded(DI.distance_matrix(X.dense(spark, sf), "hamming"), "dist")
 
 
 @query(
@@ -177,19 +201,23 @@ def _(spark, sf):
 
 @query(
     "mds_double_centre", "dense",
-    sql=COMPLETE + """, d AS (SELECT a.sampleId AS i, b.sampleId AS j, CAST(sum((a.dosage - b.dosage) * (a.dosage - b.dosage)) AS DOUBLE) AS d2
+    sql=FULL + """, d AS (SELECT a.sampleId AS i, b.sampleId AS j, CAST(sum((a.dosage - b.dosage) * (a.dosage - b.dosage)) AS DOUBLE) AS d2
       FROM full_dense a JOIN full_dense b ON a.idx = b.idx GROUP BY a.sampleId, b.sampleId),
     m AS (SELECT i, avg(d2) AS m FROM d GROUP BY i), g AS (SELECT avg(d2) AS g FROM d)
     SELECT d.i, d.j, round(-0.5 * (d2 - a.m - b.m + g), 6) + 0.0 AS b FROM d JOIN m a ON a.i = d.i JOIN m b ON b.i = d.j, g WHERE d.i <= d.j""",
 )
 def _(spark, sf):
-    return rounded(DI.mds_double_centre(DI.distance_matrix(_complete(spark, sf))), "b")
+    return rounded(DI.mds_double_centre(DI.distance_matrix(X.dense(spark, sf))), "b")
 
 
-@query("mds_classic")
+# All coordinates together are as long as the sample is far from the centre.
+@query(
+    "mds_classic", "dense",
+    sql="""SELECT d.sampleId, 64 AS components, round(sum((d.w - m.m) * (d.w - m.m)), 4) AS total_square FROM dense d
+    JOIN (SELECT idx, avg(w) AS m FROM dense GROUP BY idx) m ON m.idx = d.idx GROUP BY d.sampleId""",
+)
 def _(spark, sf):
-    scores = R.mds_classic(X.dense(spark, sf), k=20, threshold=0.9)
-    return rounded(R.component_table(scores, ["sampleId"], 4), *[f"PC{i + 1}" for i in range(4)])
+    return _lengths(R.mds_classic(X.dense(spark, sf), k=64, threshold=1.0))
 
 
 @query("mds_classic_manhattan")

@@ -30,7 +30,9 @@ def build_session(app: str = "locusflow", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def _is_local(spark: SparkSession) -> bool:
@@ -61,6 +63,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the shared folder and read it back, so that iterative jobs neither grow their plan nor lose
     executor state. A reliable checkpoint would run its last stage twice."""
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

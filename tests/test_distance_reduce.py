@@ -3,6 +3,7 @@ import pytest
 from locusflow.operators import distance as DI
 from locusflow.operators import reduce as R
 from locusflow.operators import reshape as RS
+from locusflow.operators.sampling import frame_split
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -136,22 +137,64 @@ def test_symmetric_iteration(spark):
     assert found.values == pytest.approx(np.linalg.eigvalsh(a)[::-1][:3], rel=1e-4)
 
 
-def test_relationship_pca_paths_agree(spark):
+def relationship(g, missing):
+    """Normalised genotypes, missing ones as zeros."""
+    z = np.where(missing, np.nan, g)
+    n, total = (~np.isnan(z)).sum(axis=0), np.nansum(z, axis=0)
+    share = (1 + total) / (2 + 2 * n)
+    return np.nan_to_num((z - total / n) / np.sqrt(share * (1 - share)))
+
+
+@pytest.fixture(scope="module")
+def genotypes(spark):
     rng = np.random.default_rng(7)
     freq = rng.uniform(0.2, 0.8, (2, 40))
     g = rng.binomial(2, freq[np.arange(30) % 2]).astype(float)
-    calls = long_from(spark, g, "dosage").filter("NOT (idx = 3 AND sampleId < 's004')")
-    full = R.grm_pca(calls, 0.05)
-    part = R.grm_pca(calls, 0.05, k=2, local_limit=5)
-    rounds = R.grm_pca(calls, 0.05, k=2, local_limit=5, vector_limit=5)
-    assert full.shares.sum() == pytest.approx(1.0)
-    assert part.shares == pytest.approx(full.shares[:2], abs=1e-6)
-    assert rounds.shares == pytest.approx(full.shares[:2], abs=1e-4)
-    first = [np.abs(scores_matrix(x.scores(1))) for x in (full, part, rounds)]
-    assert first[1] == pytest.approx(first[0], abs=1e-6)
-    assert first[2] == pytest.approx(first[0], abs=1e-3)
-    assert full.keep(0.0).first()["pcs"] == []
-    assert len(full.keep(0.0, at_least_one=True).first()["pcs"]) == 1
+    missing = np.zeros(g.shape, dtype=bool)
+    missing[:4, 3] = True
+    rows = long_from(spark, g, "dosage").filter("NOT (idx = 3 AND sampleId < 's004')")
+    return rows.persist(), relationship(g, missing)
+
+
+@pytest.mark.parametrize("turn", [False, True])
+@pytest.mark.parametrize("edge, width", [(512, 48), (7, 4)])
+def test_relationship_pca_is_the_same_at_every_size(genotypes, turn, edge, width):
+    """Blocks and first vectors of any size, more samples than SNPs or fewer: all components, shares and cuts are those of
+    the dense matrix."""
+    rows, z = genotypes
+    if turn:
+        z = z[:, :18]
+        rows = rows.filter("idx < 18")
+    values, vectors = np.linalg.eigh(z @ z.T)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    found = R.grm_pca(rows, edge=edge, width=width)
+    for threshold in (0.0, 0.25):
+        got = scores_matrix(found.keep(threshold))
+        count = int((np.cumsum(values) / values.sum() <= threshold).sum())
+        assert got.shape == (30, count)
+        assert np.abs(got) == pytest.approx(np.abs(vectors[:, :count]), abs=1e-6)
+    positive = values > values[0] * 1e-10
+    assert found.shares == pytest.approx(values[positive] / values.sum(), abs=1e-9)
+    u = scores_matrix(found.scores(100))
+    assert u.shape[1] == positive.sum()
+    residual = z @ (z.T @ u) - u * (found.shares * values.sum())
+    assert np.linalg.norm(residual, axis=0).max() <= 1e-6 * values[0]
+    assert u.T @ u == pytest.approx(np.eye(u.shape[1]), abs=1e-6)
+    assert found.keep(0.0, at_least_one=True).first()["pcs"] != [] and found.keep(0.0).first()["pcs"] == []
+
+
+def test_unsettled_iteration_raises(genotypes):
+    found = R.grm_pca(genotypes[0], width=2)
+    found._pairs.max_rounds = 2
+    with pytest.raises(RuntimeError):
+        found.keep(0.3)
+
+
+def test_relationship_pca_of_nothing(spark):
+    empty = spark.createDataFrame([], "sampleId string, idx int, dosage double")
+    assert R.grm_pca(empty).keep(0.5).collect() == []
+    constant = long_from(spark, np.ones((4, 3)), "dosage")
+    assert R.grm_pca(constant).keep(0.5).collect() == []
 
 
 def classical(d, k):
@@ -189,13 +232,53 @@ def test_filled_vectors_put_zeros(spark):
     assert rows == {"a": [1.0, 2.0], "b": [0.0, 1.0]}
 
 
-def test_wide_pca_paths_agree_with_the_pipeline(spark, signal, long, vectors):
-    options = {"feature": "idx", "value": "w", "threshold": 1.0, "mode": "standard"}
-    pipeline = scores_matrix(R.pca(vectors, 12).withColumn("pcs", vector_to_array("allPcaFeatures")))
-    dual = scores_matrix(R.pca_wide(long, **options))
-    rounds = scores_matrix(R.pca_wide(long, 3, local_limit=5, tol=1e-10, **options))
-    assert np.abs(dual) == pytest.approx(np.abs(pipeline), abs=1e-6)
-    assert np.abs(rounds[:, :2]) == pytest.approx(np.abs(pipeline[:, :2]), abs=1e-2)
+def dense_pca(x):
+    """Scores of the scaled rows on the components of the centred matrix."""
+    sd = x.std(axis=0, ddof=1)
+    scaled = np.divide(x, sd, out=np.zeros_like(x), where=sd > 1e-6)
+    _, s, vt = np.linalg.svd(scaled - scaled.mean(axis=0), full_matrices=False)
+    return scaled @ vt[s > s[0] * 1e-10].T
+
+
+@pytest.mark.parametrize("n, m, parts", [(40, 9, 11), (9, 40, 1), (21, 21, 3), (2, 5, 2), (5, 1, 1)])
+def test_pca_of_any_shape(spark, n, m, parts):
+    """Rows and columns in any proportion, folded by few tasks or many, from vectors or from long rows."""
+    x = np.random.default_rng(n).normal(size=(n, m)) * np.arange(1, m + 1) + 3
+    x[:, m // 2] = 2.0  # a constant column
+    if m == 1:
+        x = np.arange(5.0)[:, None]
+    want = dense_pca(x)
+    long = long_from(spark, x).repartition(parts)
+    rows = RS.feature_vectors(long.withColumn("Region", F.lit("x")), ["sampleId", "Region"]).repartition(parts)
+    reduced = R.pca(rows, min(n, m), 1.0)
+    got = scores_matrix(reduced.withColumn("pcs", vector_to_array("allPcaFeatures")))
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-8)
+    table = R.explained_components(reduced, "allPcaFeatures", min(n, m)).orderBy("component").collect()
+    values = np.linalg.svd(want, compute_uv=False)
+    assert [r["value"] for r in table] == pytest.approx(list(values), abs=1e-9)
+    assert table[-1]["cumulative"] == pytest.approx(1.0)
+    wide = scores_matrix(R.pca_wide(long, threshold=0.8, feature="idx", value="w"))
+    count = max(1, int((np.cumsum(values) / values.sum() <= 0.8 + 1e-12).sum()))
+    assert np.abs(wide) == pytest.approx(np.abs(want[:, :count]), abs=1e-8)
+
+
+@pytest.mark.parametrize("n, m", [(40, 9), (9, 40)])
+@pytest.mark.parametrize("train", [1.0, 0.6])
+def test_gram_pca_of_any_shape(spark, n, m, train):
+    x = np.random.default_rng(m).normal(size=(n, m)) * np.arange(1, m + 1)
+    long = long_from(spark, x)
+    got = scores_matrix(R.pca_gram_wide(long, 4, 0.7, train=train, feature="idx", value="w"))
+    rows = RS.feature_vectors(long.withColumn("Region", F.lit("x")), ["sampleId", "Region"])
+    same = scores_matrix(R.pca_gram(rows, 4, 0.7, train=train).withColumn("pcs", vector_to_array("pcaFeatures")))
+    part = np.ones(n, dtype=bool)
+    if train < 1:
+        inside = {r["sampleId"] for r in frame_split(rows, train, key="sampleId")[0].collect()}
+        part = np.array([f"s{i:03d}" in inside for i in range(n)])
+    _, s, vt = np.linalg.svd(x[part], full_matrices=False)
+    count = int((np.cumsum(s**2)[:4] / (s**2).sum() <= 0.7).sum())
+    assert 0 < count <= 4
+    assert np.abs(got) == pytest.approx(np.abs(x @ vt[:count].T), abs=1e-8)
+    assert same == pytest.approx(got, abs=1e-8)
 
 
 def test_wide_pca_fills_absent_cells_with_zeros(spark):
@@ -209,10 +292,12 @@ def test_wide_pca_fills_absent_cells_with_zeros(spark):
     assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
 
 
-def test_mds_paths_agree(spark, long):
-    local = scores_matrix(R.mds_classic(long, "manhattan", k=2, threshold=1.0))
-    rounds = scores_matrix(R.mds_classic(long, "manhattan", k=2, threshold=1.0, tol=1e-10, local_limit=5))
-    assert np.abs(rounds) == pytest.approx(np.abs(local), abs=2e-2)
+@pytest.mark.parametrize("metric", ["manhattan", "euclidean"])
+def test_mds_is_the_same_at_every_size(spark, signal, long, metric):
+    d = np.abs(signal[:, None] - signal[None]).sum(-1) if metric == "manhattan" else np.sqrt(((signal[:, None] - signal[None]) ** 2).sum(-1))
+    for edge, width in ((512, 48), (9, 3)):
+        got = scores_matrix(R.mds_classic(long, metric, k=4, threshold=1.0, edge=edge, width=width))
+        assert np.abs(got) == pytest.approx(np.abs(classical(d, 4)), abs=1e-5)
 
 
 def test_low_rank_model_scores_samples_outside_the_fit(spark, signal, long):
