@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_of, hash_words, mix, prepare, stored
+from .common import discard, doc_of, hash_words, mix, prepare, stored
 from .components import components
 
 #: Base of the register scale and rate of the exponential values.
@@ -202,10 +202,11 @@ def near_groups(
     sets = ["n_shingles", "key1", "key2"]
     linked = table.where("doc_id is not null and n_shingles > 0")
     first = F.min(F.struct("doc_id", "text_key")).alias("first")
-    # Classes have numbers of their own, as rows of one id may lie in several.
-    classes = stored(
-        linked.groupBy(*sets).agg(first, F.first("sketch").alias("sketch")).withColumn("rep", F.monotonically_increasing_id()), "near"
-    )
+    # Classes have numbers of their own, as rows of one id may lie in several. They rise with the first document, so that
+    # the middle of a star is the oldest member of a bucket, of which the others tend to be copies.
+    unnumbered = stored(linked.groupBy(*sets).agg(first, F.first("sketch").alias("sketch")), "near")
+    classes = stored(unnumbered.orderBy("first").withColumn("rep", F.monotonically_increasing_id()), "near")
+    discard(unnumbered)
     bands = F.array(
         *(F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * band_rows, band_rows)) for k in range(registers // band_rows))
     )
