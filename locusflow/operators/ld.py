@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ld as LD
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small, cut_lineage, scratch_path
 from . import tiles as TL
 from .catalog import sample_index
 
 #: Samples per chunk of a SNP vector; counts of several chunks are added up.
 SAMPLE_CHUNK = 1 << 20
-#: Neighbouring SNPs that are settled together in one task of the greedy scan.
-SEGMENT = 1024
+#: Neighbouring SNPs that the greedy scan never separates, and edges up to which segments are settled in one task.
+SEGMENT, GROUP_EDGES = 256, 1 << 18
+#: Grid points in one mask.
+MASK_BITS = 62
 
 
 def snp_vectors(
@@ -158,82 +161,101 @@ def ld_matrix(
 
 
 def orient(pairs: DataFrame, start: int | None, cross_boundary: bool = False) -> DataFrame:
-    """Pairs ``j < i`` → (scan, later, earlier) in scan order; ``scan`` is the contig unless given.
+    """Pairs ``j < i`` → (scan, later, earlier, mask) in scan order.
 
-    From ``start`` the scan runs upward, below it downward; the two scans ignore each other unless
-    ``cross_boundary`` lets the downward scan see what the upward scan kept.
+    ``scan`` is the contig and ``mask`` the single bit 1 unless the pairs bring their own. From ``start`` the scan runs
+    upward, below it downward; the two scans ignore each other unless ``cross_boundary`` lets the downward scan see
+    what the upward scan kept.
     """
     if "scan" not in pairs.columns:
         pairs = pairs.withColumn("scan", F.col("contig"))
+    if "mask" not in pairs.columns:
+        pairs = pairs.withColumn("mask", F.lit(1).cast("long"))
     if start is None:
-        return pairs.select("scan", F.col("i").alias("later"), F.col("j").alias("earlier"))
+        return pairs.select("scan", F.col("i").alias("later"), F.col("j").alias("earlier"), "mask")
     up_i, up_j = F.col("i") >= start, F.col("j") >= start
     kept = pairs if cross_boundary else pairs.filter(up_i == up_j)
     return kept.select(
         "scan",
         F.when(up_j, F.col("i")).otherwise(F.col("j")).alias("later"),
         F.when(up_j, F.col("j")).otherwise(F.col("i")).alias("earlier"),
+        "mask",
     )
 
 
 def _settle(start: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Greedy scan of one segment; SNPs that wait for another segment stay open."""
+    """Greedy scan of one group of segments, all bits of the masks at once.
+
+    Edges lie in one compressed array, ordered by the rank of their later SNP, so a SNP's edges are one slice. A bit
+    that hangs on a SNP outside the group stays open.
+    """
 
     def settle(edges: pd.DataFrame) -> pd.DataFrame:
-        later = edges["later"].to_numpy()
-        nodes, first = np.unique(later[np.argsort(later, kind="stable")], return_index=True)
-        order = np.argsort(later, kind="stable")
-        earlier = edges["earlier"].to_numpy()[order]
-        open_ = edges["open"].to_numpy()[order]
-        bounds = np.append(first, later.size)
-        rank = np.arange(nodes.size)
+        later, earlier = edges["later"].to_numpy(), edges["earlier"].to_numpy()
+        nodes = np.unique(later)
         if start is not None:  # upward part first, then downward from the start
-            rank = np.lexsort((np.where(nodes >= start, nodes, -nodes), nodes < start))
-        state: dict[int, int] = {}  # 1 kept, 0 dropped, 2 open
-        for r in rank:
-            verdict = 1
-            for e in range(bounds[r], bounds[r + 1]):
-                other = int(earlier[e])
-                known = state.get(other, 2) if open_[e] else 1
-                if known == 1:
-                    verdict = 0
-                    break
-                if known == 2:
-                    verdict = 2
-            state[int(nodes[r])] = verdict
-        return pd.DataFrame(
-            {"scan": edges["scan"].iloc[0], "node": list(state), "state": list(state.values())}
-        )
+            nodes = nodes[np.lexsort((np.where(nodes >= start, nodes, -nodes), nodes < start))]
+        by_number = np.argsort(nodes)
+        numbers = nodes[by_number]
+        rank = by_number[np.searchsorted(numbers, later)]
+        order = np.argsort(rank, kind="stable")
+        at = np.minimum(np.searchsorted(numbers, earlier), nodes.size - 1)
+        source = np.where(numbers[at] == earlier, by_number[at], nodes.size)[order]
+        mask, free = edges["mask"].to_numpy()[order], ~edges["open"].to_numpy()[order]
+        bounds = np.searchsorted(rank[order], np.arange(nodes.size + 1))
+        kept, dropped = np.zeros(nodes.size + 1, np.int64), np.zeros(nodes.size + 1, np.int64)
+        for r in range(nodes.size):
+            part = slice(bounds[r], bounds[r + 1])
+            own, known = mask[part], kept[source[part]] | free[part]
+            out = np.bitwise_or.reduce(own & known)
+            wait = np.bitwise_or.reduce(own & ~known & ~dropped[source[part]])
+            dropped[r], kept[r] = out, np.bitwise_or.reduce(own) & ~out & ~wait
+        told = np.flatnonzero(kept[:-1] | dropped[:-1])
+        return pd.DataFrame({"scan": edges["scan"].iloc[0], "node": nodes[told], "kept": kept[told], "dropped": dropped[told]})
 
     return settle
 
 
-def greedy_dropped(edges: DataFrame, start: int | None = None, segment: int = SEGMENT) -> DataFrame:
-    """SNPs (scan, node) the greedy scan drops, from the conflict edges (scan, later, earlier).
+def _grouped(edges: DataFrame, segment: int, most: int) -> DataFrame:
+    """Edges with the group ``_g`` that settles them: neighbouring segments, together about ``most`` edges."""
+    numbered = edges.withColumn("_s", F.floor(F.col("later") / segment))
+    so_far = F.sum("n").over(Window.partitionBy("scan").orderBy("_s"))  # one row per segment, not per SNP
+    groups = numbered.groupBy("scan", "_s").agg(F.count(F.lit(1)).alias("n"))
+    groups = groups.select("scan", "_s", F.floor((so_far - 1) / most).alias("_g"))
+    return numbered.join(groups, ["scan", "_s"]).drop("_s")
+
 
-    A SNP is dropped when an earlier neighbour is kept and kept when all earlier neighbours are
-    dropped. Each round settles whole segments in parallel and hands the outcome over to the segments
-    that wait for it; edges of settled SNPs leave the table, which is checkpointed every round. All
-    scans advance together.
+def greedy_dropped(edges: DataFrame, start: int | None = None, segment: int = SEGMENT, most: int = GROUP_EDGES) -> DataFrame:
+    """SNPs and bits (scan, node, mask) that the greedy scans drop, from conflict edges (scan, later, earlier, mask).
+
+    Every bit of ``mask`` is a scan of its own, an edge without a mask belongs to bit 1. In a scan, a SNP is dropped when
+    an earlier neighbour is kept and kept when all earlier neighbours are dropped. Each round settles groups of
+    segments in parallel; edges of settled bits vanish, and the groups of the next round widen so that they hold as many
+    edges again: what waits along a chain of segments soon lies in one group. The rounds' results are stored side by
+    side, so the plan does not grow. A SNP may come in several rows with different bits.
     """
+    spark = edges.sparkSession
+    if "mask" not in edges.columns:
+        edges = edges.withColumn("mask", F.lit(1).cast("long"))
     edges = cut_lineage(edges)
-    dropped = edges.select("scan", F.col("later").alias("node")).limit(0)
+    settled_schema = f"scan {edges.schema['scan'].dataType.simpleString()}, node long, kept long, dropped long"
+    paths: list[str] = []
     while not edges.isEmpty():
-        waiting = edges.select("scan", F.col("later").alias("earlier")).distinct().withColumn("open", F.lit(True))
-        flagged = edges.join(waiting, ["scan", "earlier"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        settled = cut_lineage(
-            flagged.groupBy("scan", F.floor(F.col("later") / segment).alias("_g"))
-            .applyInPandas(_settle(start), "scan string, node long, state int")
-            .filter("state <> 2")
-        )
-        out = settled.filter("state = 0").select("scan", "node")
-        dropped = dropped.unionByName(out)
-        edges = cut_lineage(
-            edges.join(settled.select("scan", F.col("node").alias("later")), ["scan", "later"], "left_anti").join(
-                out.withColumnRenamed("node", "earlier"), ["scan", "earlier"], "left_anti"
-            )
-        )
-    return dropped
+        waiting = edges.groupBy("scan", F.col("later").alias("earlier")).agg(F.bit_or("mask").alias("open"))
+        flagged = edges.join(waiting, ["scan", "earlier"], "left").withColumn("open", F.coalesce("open", F.lit(0).cast("long")))
+        paths.append(scratch_path(spark, "settled"))
+        _grouped(flagged, segment, most).groupBy("scan", "_g").applyInPandas(_settle(start), settled_schema).write.parquet(paths[-1])
+        settled = spark.read.schema(settled_schema).parquet(paths[-1])
+        told = settled.select("scan", F.col("node").alias("later"), F.col("kept").bitwiseOR(F.col("dropped")).alias("_told"))
+        out = settled.filter("dropped <> 0").select("scan", F.col("node").alias("earlier"), F.col("dropped").alias("_out"))
+        gone = F.coalesce("_told", F.lit(0).cast("long")).bitwiseOR(F.coalesce("_out", F.lit(0).cast("long")))
+        left = edges.join(told, ["scan", "later"], "left").join(out, ["scan", "earlier"], "left")
+        left = left.select("scan", "later", "earlier", F.col("mask").bitwiseAND(F.bitwise_not(gone)).alias("mask"))
+        edges = cut_lineage(left.filter("mask <> 0"))
+    if not paths:
+        return edges.select("scan", F.col("later").alias("node"), "mask")
+    settled = spark.read.schema(settled_schema).parquet(*paths)
+    return settled.filter("dropped <> 0").select("scan", "node", F.col("dropped").alias("mask"))
 
 
 def prune_from_pairs(
@@ -285,24 +307,42 @@ def ld_prune_grid(
 ) -> DataFrame:
     """Pruning over a parameter grid.
 
-    Pairs are computed once, grid points are independent scans that are settled in the same rounds.
+    Pairs are computed once and stay one row each: the grid points are bits of a mask per SNP and per pair, and one scan
+    settles them all (beyond ``MASK_BITS`` points, one scan per word of bits, in the same rounds).
     """
-    points = [
-        F.struct(F.lit(f"{t}/{m}").alias("point"), F.lit(float(t)).alias("threshold"), F.lit(m).cast("double").alias("maf"))
-        for m in (None if m is None or m != m else float(m) for m in mafs)
-        for t in thresholds
-    ]
+    points = [(float(t), m) for m in (None if m is None or m != m else float(m) for m in mafs) for t in thresholds]
+    words = [points[k : k + MASK_BITS] for k in range(0, len(points), MASK_BITS)]
+    bit = lambda hit, k: F.when(hit, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    def masks(hits: Callable[[float, float | None], Column]) -> Column:
+        """One mask per word of grid points, bit by bit the outcome at that point."""
+        return F.array(*[reduce(Column.bitwiseOR, [bit(hits(*point), k) for k, point in enumerate(word)]) for word in words])
+
+    def both(one: str, other: str) -> Column:
+        return F.zip_with(one, other, lambda x, y: x.bitwiseAND(y))
+
     vectors = cut_lineage(snp_vectors(calls, idx, pos))
     minor = F.least("alleleFrequency", 1 - F.col("alleleFrequency"))
-    snps = snp_frequency(vectors).select("contig", "idx", minor.alias("minor"), F.explode(F.array(*points)).alias("g"))
-    snps = snps.filter(F.col("g.maf").isNull() | (F.col("minor") >= F.col("g.maf")))
-    snps = cut_lineage(
-        snps.select("contig", "idx", F.concat_ws("/", "g.point", "contig").alias("scan"), "g.threshold", "g.maf")
-    )
+    takes = masks(lambda _, maf: F.lit(True) if maf is None else minor >= maf)
+    snps = cut_lineage(snp_frequency(vectors).select("contig", "idx", takes.alias("takes")))
     pairs = ld_value(pair_counts(vectors, max_bp, max_n), method).select("contig", "i", "j", "ld")
-    # A pair reappears only at the grid points where it conflicts and both of its SNPs take part.
-    conflicts = pairs.join(snps.withColumnRenamed("idx", "i"), ["contig", "i"])
-    conflicts = conflicts.filter(~F.coalesce((F.abs("ld") <= F.col("threshold")) & ~F.isnan("ld"), F.lit(False)))
-    conflicts = conflicts.join(snps.select("scan", F.col("idx").alias("j")), ["scan", "j"], "left_semi")
-    dropped = greedy_dropped(orient(conflicts, None)).withColumnRenamed("node", "idx")
-    return snps.join(dropped, ["scan", "idx"], "left_anti").select("contig", "idx", "threshold", "maf")
+    # A pair is one row whatever the grid, and only if it conflicts at some point where both SNPs take part.
+    some = lambda c: F.exists(c, lambda m: m != 0)
+    conflicts = pairs.select("contig", "i", "j", masks(lambda t, _: LD.is_conflict(F.col("ld"), t)).alias("bad")).filter(some("bad"))
+    if any(maf is not None for _, maf in points):
+        for end in ("i", "j"):
+            conflicts = conflicts.join(snps.withColumnRenamed("idx", end), ["contig", end])
+            conflicts = conflicts.select("contig", "i", "j", both("bad", "takes").alias("bad")).filter(some("bad"))
+    conflicts = conflicts.select("contig", "i", "j", F.posexplode("bad").alias("word", "mask")).filter("mask <> 0")
+    conflicts = conflicts.withColumn("scan", F.concat_ws("/", F.col("word").cast("string"), "contig"))
+    dropped = greedy_dropped(orient(conflicts, None)).groupBy("scan", F.col("node").alias("idx")).agg(F.bit_or("mask").alias("out"))
+    taking = snps.select("contig", "idx", F.posexplode("takes").alias("word", "mask"))
+    taking = taking.withColumn("scan", F.concat_ws("/", F.col("word").cast("string"), "contig"))
+    kept = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("out", F.lit(0).cast("long"))))
+    kept = taking.join(dropped, ["scan", "idx"], "left").withColumn("kept", kept)
+    point = lambda t, m: F.struct(F.lit(t).alias("threshold"), F.lit(m).cast("double").alias("maf"))
+    chosen = [
+        F.when((F.col("word") == w) & (F.col("kept").bitwiseAND(F.lit(1 << k).cast("long")) != 0), point(*p))
+        for w, word in enumerate(words) for k, p in enumerate(word)
+    ]
+    return kept.select("contig", "idx", F.explode(F.array_compact(F.array(*chosen))).alias("g")).select("contig", "idx", "g.threshold", "g.maf")

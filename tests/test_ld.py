@@ -112,8 +112,8 @@ def test_pruning_by_brute_force(spark, monkeypatch, threshold, max_bp, max_n, st
     vectors = L.snp_vectors(calls_from(spark, {"c": base}))
     pairs = L.ld_value(L.pair_counts(vectors, max_bp, max_n, tile=5), "corr").select("contig", "i", "j", "ld")
     conflicts = L.orient(pairs.filter(LDF.is_conflict(F.col("ld"), threshold)), start, cross)
-    for segment in (4, 1000):  # several waiting segments, and one
-        dropped = {r["node"] for r in L.greedy_dropped(conflicts, start, segment).collect()}
+    for segment, most in ((4, 1), (4, 20), (1000, 1 << 18)):  # segments that wait for each other, wider groups, and one
+        dropped = {r["node"] for r in L.greedy_dropped(conflicts, start, segment, most).collect()}
         assert sorted(set(range(26)) - dropped) == greedy(base, threshold, max_bp, max_n, start, cross)
 
 
@@ -129,6 +129,48 @@ def test_pruning_keeps_an_independent_maximal_set(spark):
     assert all(any(clash(i, j) for j in kept if j < i) for i in set(range(30)) - kept)
 
 
+def test_chain_over_many_segments_settles_in_few_rounds(spark, monkeypatch):
+    """Every SNP of 100 segments conflicts with the one before it: each waits for the whole chain below."""
+    rounds = []
+    settle = L._settle
+    monkeypatch.setattr(L, "_settle", lambda start: rounds.append(start) or settle(start))
+    edges = spark.range(1, 1000).selectExpr("'c' AS scan", "id AS later", "id - 1 AS earlier")
+    dropped = L.greedy_dropped(edges, segment=10, most=40)
+    assert sorted(r["node"] for r in dropped.collect()) == list(range(1, 1000, 2))
+    assert len(rounds) <= 30  # a round settles one group of the chain, 4 segments and more
+    rounds.clear()
+    dropped = L.greedy_dropped(edges, segment=10)
+    assert sorted(r["node"] for r in dropped.collect()) == list(range(1, 1000, 2)) and len(rounds) == 1
+    plan = dropped._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan
+
+
+def test_no_edges(spark):
+    edges = spark.createDataFrame([], "scan string, later long, earlier long")
+    assert L.greedy_dropped(edges).collect() == []
+
+
+@pytest.mark.parametrize("bits", [62, 3])
+def test_grid_equals_separate_runs(spark, monkeypatch, bits):
+    """All points in one mask, and in several words of three bits."""
+    monkeypatch.setattr(L, "MASK_BITS", bits)
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 3, (30, 20))
+    for i in range(1, 20, 2):
+        base[:, i] = np.where(rng.random(30) < 0.7, base[:, i - 1], base[:, i])
+    base[:, 4] = 0
+    calls = calls_from(spark, {"c": base, "d": base[:, ::-1]})
+    thresholds, mafs = (0.05, 0.2, 0.6), (None, 0.45)
+    got = {tuple(r) for r in L.ld_prune_grid(calls, thresholds, mafs, "corr", max_bp=9000).collect()}
+    want = set()
+    share = calls.groupBy("contig", "idx").agg((F.sum("dosage") / (2 * F.count("dosage"))).alias("f"))
+    for maf in mafs:
+        some = calls if maf is None else calls.join(share.filter(F.least("f", 1 - F.col("f")) >= maf), ["contig", "idx"], "left_semi")
+        for t in thresholds:
+            want |= {(r["contig"], r["idx"], t, maf) for r in L.ld_prune(some, "corr", t, max_bp=9000).collect()}
+    assert got == want
+
+
 def test_pruning_does_not_depend_on_partitioning(spark):
     rng = np.random.default_rng(9)
     calls = calls_from(spark, {"c": rng.integers(0, 3, (30, 24)), "d": rng.integers(0, 3, (30, 24))})
