@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +18,7 @@ from ..session import broadcast_if_rows, broadcast_if_small, cut_lineage, one_va
 from . import distance as DI
 from . import factor as FA
 from . import krylov as KR
+from . import tiles as TL
 from .catalog import cumulative_share, row_index, sample_index
 from .reshape import MAX_FEATURES
 from .sampling import SEED, frame_split
@@ -42,11 +41,6 @@ def slice_vector(column: str | Column, n: int) -> Column:
     return array_to_vector(F.slice(vector_to_array(F.col(column) if isinstance(column, str) else column), 1, n))
 
 
-def _row_matrix(df: DataFrame, column: str) -> RowMatrix:
-    """Distributed matrix from an ML vector column, without passing through Python rows."""
-    return RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(column), column))
-
-
 def shares_of(values: Sequence[float], total: float | None = None) -> np.ndarray:
     v = np.asarray(values, dtype=float)
     whole = v.sum() if total is None else total
@@ -635,10 +629,63 @@ def mds_classic(
     return FA.with_signs(cut_lineage(scaled), "pcs")
 
 
-def column_similarities(df: DataFrame, column: str = "features") -> DataFrame:
-    """Cosine similarity of every two feature columns (``i < j``)."""
-    entries = _row_matrix(df, column).columnSimilarities().entries
-    return entries.map(lambda e: (int(e.i), int(e.j), float(e.value))).toDF("i long, j long, similarity double")
+def _products_of_tiles(table: pa.Table) -> pa.Table:
+    """Sums of products of the columns of two tiles over one chunk of rows, where both have a cell."""
+    later, earlier = TL.split_roles(table)
+    at = TL.list_column(table, "f")
+    width = int(at.flatten().to_numpy().max(initial=-1)) + 1
+    dense = TL.scatter(at, TL.list_column(table, "v"), width, 0.0, np.float64)
+    met = (dense != 0).astype(np.float32)
+    idx = table["idx"].to_numpy()
+    inside = (idx[later][:, None] > idx[earlier][None, :]) & (met[later] @ met[earlier].T > 0)
+    r, c = np.nonzero(inside)
+    dot = (dense[later] @ dense[earlier].T)[r, c]
+    return pa.table({"i": idx[earlier][c], "j": idx[later][r], "dot": dot})
+
+
+def similar_tiles(unit: DataFrame, threshold: float) -> DataFrame:
+    """Tile pairs (t, u), ``u <= t``, that may hold a similarity of ``threshold``.
+
+    Inside a chunk of rows a product is at most that of the longest columns of either tile (``unit``: idx, tile, chunk,
+    square), and chunks add up.
+    """
+    longest = unit.groupBy("tile", "chunk").agg(F.sqrt(F.max("square")).alias("long"))
+    t, u = (longest.select("chunk", F.col("tile").alias(n), F.col("long").alias(f"_{n}")) for n in ("t", "u"))
+    bound = F.sum(F.col("_t") * F.col("_u"))
+    met = t.join(u, "chunk").filter("u <= t").groupBy("t", "u").agg(bound.alias("bound"))
+    return met.filter(~(F.col("bound") < threshold - 1e-9)).select("t", "u")
+
+
+def column_similarities(
+    df: DataFrame, column: str = "features", threshold: float = 0.0, chunk: int = 1 << 14, tile: int | None = None
+) -> DataFrame:
+    """Cosine similarity of every two feature columns (``i < j``) that share a row, if its size is at least ``threshold``.
+
+    Columns of unit length are cut into tiles and chunks of rows, one task multiplies two tiles of one chunk, and tile
+    pairs that cannot reach the threshold are not formed. Columns of zeros have no similarity and are left out.
+    """
+    values = F.col(column) if df.schema[column].dataType.typeName() == "array" else vector_to_array(F.col(column))
+    numbered = df.select(F.monotonically_increasing_id().alias("n"), values.alias("x"))  # before the cells are listed
+    cells = numbered.select("n", F.posexplode("x").alias("idx", "v")).filter("v <> 0")
+    cells = cells.select(
+        F.col("idx").cast("long").alias("idx"), F.floor(F.col("n") / chunk).alias("chunk"),
+        F.struct((F.col("n") % chunk).cast("int").alias("f"), F.col("v").cast("double").alias("v")).alias("e"),
+    )
+    gathered = cells.groupBy("idx", "chunk").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    stripes = cut_lineage(gathered.select("idx", "chunk", F.col("e.f").alias("f"), F.col("e.v").alias("v")).withColumn("square", square))
+    size = stripes.agg(F.count_distinct("idx").alias("columns"), (F.max(F.array_max("f")) + 1).alias("width")).first()
+    tile = tile or TL.tile_size(size["columns"], size["width"] or 1, cells=1 << 21)
+    norms = stripes.groupBy("idx").agg(F.sqrt(F.sum("square")).alias("norm"))
+    unit = stripes.join(norms, "idx").select(
+        "idx", "chunk", "f", F.transform("v", lambda x: x / F.col("norm")).alias("v"),
+        (F.col("square") / (F.col("norm") * F.col("norm"))).alias("square"), F.floor(F.col("idx") / tile).cast("int").alias("tile"),
+    )
+    pairs = similar_tiles(unit, threshold)
+    ends = pairs.select(F.col("t").alias("tile"), "t", "u").unionByName(pairs.filter("t <> u").select(F.col("u").alias("tile"), "t", "u"))
+    sent = unit.drop("square").join(ends, "tile").withColumn("role", TL.role(F.col("tile"), F.col("t"), F.col("u")))
+    dots = sent.groupBy("t", "u", "chunk").applyInArrow(_products_of_tiles, "i long, j long, dot double")
+    return dots.groupBy("i", "j").agg(F.sum("dot").alias("similarity")).filter(~(F.abs("similarity") < threshold))
 
 
 def component_table(scores: DataFrame, keys: Sequence[str], k: int, column: str = "pcs") -> DataFrame:

@@ -226,6 +226,30 @@ def test_similarities_and_projection(spark, signal, vectors):
     assert all(v == pytest.approx(want[i, j], abs=1e-9) for (i, j), v in got.items())
 
 
+@pytest.mark.parametrize("threshold, chunk, tile", [(0.0, 7, 3), (0.3, 7, 3), (0.3, 1 << 14, None)])
+def test_similarities_in_tiles(spark, threshold, chunk, tile):
+    """Sparse columns over several chunks of rows, one of them all zeros, against the whole product."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 11)) * (rng.random((40, 11)) < 0.4)
+    x[:, 5] = 0
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").coalesce(1)
+    got = {(r["i"], r["j"]): r["similarity"] for r in R.column_similarities(rows, threshold=threshold, chunk=chunk, tile=tile).collect()}
+    norm = np.linalg.norm(x, axis=0)
+    want = {(i, j): x[:, i] @ x[:, j] / norm[i] / norm[j] for j in range(11) for i in range(j) if ((x[:, i] != 0) & (x[:, j] != 0)).any()}
+    want = {k: v for k, v in want.items() if abs(v) >= threshold}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert R.column_similarities(rows.filter("size(features) = 0")).count() == 0
+
+
+def test_similarities_skip_tiles_that_cannot_reach_the_threshold(spark):
+    """Two sets of columns that live in different chunks of rows: only the pairs of tiles inside a set are formed."""
+    rows = [(c, c // 2, (c // 4), 1.0) for c in range(8)]
+    unit = spark.createDataFrame(rows, "idx long, tile int, chunk long, square double")
+    assert {tuple(r) for r in R.similar_tiles(unit, 0.5).collect()} == {(0, 0), (1, 0), (1, 1), (2, 2), (3, 2), (3, 3)}
+    low = unit.withColumn("square", F.expr("CASE WHEN tile = 1 THEN 0.16 ELSE 1.0 END"))
+    assert {tuple(r) for r in R.similar_tiles(low, 0.5).collect()} == {(0, 0), (2, 2), (3, 2), (3, 3)}
+
+
 def test_filled_vectors_put_zeros(spark):
     long = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "y", 1)], "sampleId string, variantId string, altCount int")
     rows = {r["sampleId"]: sorted(r["features"].toArray()) for r in R.filled_vectors(long).collect()}
