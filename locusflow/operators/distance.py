@@ -81,13 +81,8 @@ def _exponent(metric: str, p: float) -> float:
     return {"euclidean": 2.0, "manhattan": 1.0, "hamming": 1.0}.get(metric, float(p))
 
 
-def pair_distances(rows: DataFrame, metric: str = "euclidean", p: float = 2, tile: int | None = None) -> DataFrame:
-    """Distance of every sample pair once (columns ``i < j`` and ``dist``), from :func:`sample_rows`.
-
-    The result has n(n-1)/2 rows by definition; it is produced tile pair by tile pair and never
-    gathered.
-    """
-    power = _exponent(metric, p)
+def _sent_rows(rows: DataFrame, tile: int | None) -> tuple[DataFrame, int]:
+    """Rows of :func:`sample_rows` at their tile pairs, and the number of the last feature chunk."""
     labelled = "label" in rows.columns
     rows = cut_lineage(rows)
     numbers = cut_lineage(sample_index(rows, "id"))
@@ -102,11 +97,22 @@ def pair_distances(rows: DataFrame, metric: str = "euclidean", p: float = 2, til
             {"f": F.coalesce("f", F.array().cast("array<int>")), "v": F.coalesce("v", F.array().cast("array<double>"))}
         )
     tiled = rows.join(broadcast_if_small(numbers), "id").withColumn("tile", F.floor(F.col("sidx") / tile).cast("int"))
-    sent = TL.all_tile_pairs(tiled, max(1, -(-size["n"] // tile)))
+    return TL.all_tile_pairs(tiled, max(1, -(-size["n"] // tile))), size["chunks"] or 0
+
+
+def pair_distances(rows: DataFrame, metric: str = "euclidean", p: float = 2, tile: int | None = None) -> DataFrame:
+    """Distance of every sample pair once (columns ``i < j`` and ``dist``), from :func:`sample_rows`.
+
+    The result has n(n-1)/2 rows by definition; it is produced tile pair by tile pair and never
+    gathered.
+    """
+    power = _exponent(metric, p)
+    labelled = "label" in rows.columns
+    sent, chunks = _sent_rows(rows, tile)
     schema = "x string, y string, total double" + (", lx string, ly string" if labelled else "")
     sums = sent.groupBy("t", "u", "chunk").applyInArrow(_sums_of_tiles(metric, power, labelled), schema)
     keys = ["x", "y", *(["lx", "ly"] if labelled else [])]
-    if size["chunks"]:
+    if chunks:
         sums = sums.groupBy(*keys).agg(F.sum("total").alias("total"))
     dist = F.col("total") if power == 1 else (F.sqrt("total") if power == 2 else F.pow("total", F.lit(1 / power)))
     swap = F.col("x") > F.col("y")
@@ -200,34 +206,134 @@ def dunn(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _sum_of_smallest(pairs: DataFrame, count: int, low: float, high: float, buckets: int = 4096) -> float:
-    """Sum of the ``count`` smallest distances, exactly.
+#: One range of distances: number of a selection, lowest and highest distance that may be its boundary.
+Span = tuple[int, float, float]
+_HISTOGRAM = "k int, b long, n long, s double, lo double, hi double"
+
+
+def _buckets_of(parts: DataFrame) -> DataFrame:
+    sums = (F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return parts.groupBy("k", "b").agg(*sums)
+
 
-    Each pass histograms the range that still holds the boundary; only bucket totals (a fixed number)
-    reach the driver. The range shrinks by the bucket count every pass.
+def _sums_of_smallest(histogram: Callable[[list[Span]], DataFrame], counts: list[int], low: float, high: float) -> list[float]:
+    """For each of ``counts`` the sum of that many smallest distances, exactly.
+
+    Each pass histograms, for every selection, the range that still holds its boundary; only bucket totals (a fixed
+    number) reach the driver. The range shrinks by the bucket count every pass.
     """
-    total = 0.0
-    while count > 0:
-        if high <= low:
-            return total + count * low
-        inside = pairs.filter(F.col("dist").between(low, high))
-        bucket = F.least(F.floor((F.col("dist") - low) / F.lit((high - low) / buckets)), F.lit(buckets - 1))
-        rows = (
-            inside.groupBy(bucket.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("s"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-            .orderBy("b").collect()
-        )
-        for row in rows:
-            if row["n"] > count:
-                low, high = row["lo"], row["hi"]
-                break
-            total += row["s"]
-            count -= row["n"]
-            if count == 0:
-                break
-        else:
+    totals, left = [0.0] * len(counts), list(counts)
+    spans = {k: (low, high) for k, n in enumerate(counts) if n}
+    while spans:
+        for k, (lo, hi) in list(spans.items()):
+            if hi <= lo:  # ties
+                totals[k] += left[k] * lo
+                del spans[k]
+        if not spans:
             break
-    return total
+        found: dict[int, list] = {k: [] for k in spans}
+        for row in histogram([(k, *span) for k, span in spans.items()]).orderBy("k", "b").collect():
+            found[row["k"]].append(row)
+        for k, rows in found.items():
+            del spans[k]
+            for row in rows:
+                if row["n"] > left[k]:
+                    spans[k] = (row["lo"], row["hi"])
+                    break
+                totals[k] += row["s"]
+                left[k] -= row["n"]
+                if not left[k]:
+                    break
+    return totals
+
+
+def _sum_of_smallest(pairs: DataFrame, count: int, low: float, high: float, buckets: int = 4096) -> float:
+    """The same for one selection from a table of distances."""
+
+    def histogram(spans: list[Span]) -> DataFrame:
+        ((k, lo, hi),) = spans
+        inside = pairs.filter(F.col("dist").between(lo, hi))
+        bucket = F.least(F.floor((F.col("dist") - lo) / F.lit((hi - lo) / buckets)), F.lit(buckets - 1))
+        dist = F.col("dist")
+        one = inside.select(F.lit(k).alias("k"), bucket.alias("b"), F.lit(1).alias("n"), dist.alias("s"), dist.alias("lo"), dist.alias("hi"))
+        return _buckets_of(one)
+
+    return _sums_of_smallest(histogram, [count], low, high)[0]
+
+
+def _distances_of_tiles(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Euclidean distances of the sample pairs of two tiles, and whether both have the same label."""
+    later, earlier = TL.split_roles(table)
+    f = TL.list_column(table, "f")
+    dense = TL.scatter(f, TL.list_column(table, "v"), int(f.flatten().to_numpy().max(initial=-1)) + 1, 0.0, np.float64)
+    number = table["sidx"].to_numpy()
+    inside = number[later][:, None] > number[earlier][None, :]
+    label = table["label"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    same = (label[later][:, None] == label[earlier][None, :]) & (label[later] >= 0)[:, None]
+    return np.sqrt(_power_sums(dense[later], dense[earlier], "euclidean", 2))[inside], same[inside]
+
+
+_TOTALS = "n long, nw long, all double, sw double, lo double, hi double, near double, far double"
+
+
+def _totals_of_tiles(table: pa.Table) -> pa.Table:
+    """One row per tile pair: counts, sums and extremes of its distances."""
+    dist, same = _distances_of_tiles(table)
+    low = lambda x: x.min() if x.size else None
+    high = lambda x: x.max() if x.size else None
+    row = (dist.size, same.sum(), dist.sum(), dist[same].sum(), low(dist), high(dist), low(dist[~same]), high(dist[same]))
+    names = [c.split()[0] for c in _TOTALS.split(", ")]
+    return pa.table({n: pa.array([x], pa.int64() if n in ("n", "nw") else pa.float64()) for n, x in zip(names, row)})
+
+
+def _histogram_of_tiles(spans: list[Span], buckets: int) -> Callable[[pa.Table], pa.Table]:
+    def histogram(table: pa.Table) -> pa.Table:
+        dist, _ = _distances_of_tiles(table)
+        dist.sort()
+        out = []
+        for k, low, high in spans:
+            some = dist[np.searchsorted(dist, low) : np.searchsorted(dist, high, side="right")]
+            bucket = np.minimum((some - low) / ((high - low) / buckets), buckets - 1).astype(np.int64)
+            b, first, n = np.unique(bucket, return_index=True, return_counts=True)
+            if b.size:
+                out.append((np.full(b.size, k, np.int32), b, n, np.add.reduceat(some, first), some[first], some[first + n - 1]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in "ilqddd"]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["k", "b", "n", "s", "lo", "hi"])
+
+    return histogram
+
+
+def pair_indices(
+    long: DataFrame, label: str, key: str = "sampleId", feature: str = "idx", value: str = "w", tile: int | None = None, buckets: int = 4096
+) -> DataFrame:
+    """One row (dunn, c_index) of a clustering, without a table of pairs.
+
+    Every pass multiplies the tiles anew and takes one row of totals, or the filled buckets of a histogram, from a pair of
+    tiles. Samples longer than one feature chunk have no distance inside a tile pair; their pairs are stored. Fewer
+    than two samples, or no pair of either kind, give nulls.
+    """
+    rows = sample_rows(long, key, feature, value, label)
+    sent, chunks = _sent_rows(rows, tile)
+    if chunks:
+        pairs = cut_lineage(pair_distances(rows, tile=tile))
+        return c_index(pairs).select(dunn(pairs).scalar().alias("dunn"), "c_index")
+    sent = cut_lineage(sent.drop("chunk"))
+    tiles = sent.groupBy("t", "u")
+    head = tiles.applyInArrow(_totals_of_tiles, _TOTALS).agg(
+        *[F.sum(c).alias(c) for c in ("n", "nw", "all", "sw")], F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("near").alias("near"), F.max("far").alias("far")
+    ).first()
+    schema = "dunn double, c_index double"
+    if not head["n"]:
+        return long.sparkSession.createDataFrame([(None, None)], schema)
+
+    def histogram(spans: list[Span]) -> DataFrame:
+        return _buckets_of(tiles.applyInArrow(_histogram_of_tiles(spans, buckets), _HISTOGRAM))
+
+    smallest, others = _sums_of_smallest(histogram, [head["nw"], head["n"] - head["nw"]], head["lo"], head["hi"])
+    spread = head["all"] - others - smallest
+    index = (head["sw"] - smallest) / spread if spread else None
+    return long.sparkSession.createDataFrame([(head["near"] / head["far"] if head["near"] is not None and head["far"] else None, index)], schema)
 
 
 def c_index(pairs: DataFrame) -> DataFrame:

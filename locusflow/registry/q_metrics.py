@@ -197,7 +197,7 @@ def _(spark, sf):
 
 @query("dunn", "dense", sql=f"SELECT round(min(dist) FILTER (WHERE li <> lj) / max(dist) FILTER (WHERE li = lj), 6) AS dunn FROM ({DIST}) d")
 def _(spark, sf):
-    return rounded(DI.dunn(DI.labelled_distances(X.dense(spark, sf), "pop")), "dunn")
+    return rounded(DI.pair_indices(X.dense(spark, sf), "pop").select("dunn"), "dunn")
 
 
 @query(
@@ -208,7 +208,7 @@ def _(spark, sf):
       sum(dist) FILTER (WHERE r > n - nw) AS hi FROM d) t""",
 )
 def _(spark, sf):
-    return rounded(DI.c_index(DI.labelled_distances(X.dense(spark, sf), "pop")), "c_index")
+    return rounded(DI.pair_indices(X.dense(spark, sf), "pop").select("c_index"), "c_index")
 
 
 def _long(metric: str, table: str, names: list[str], key: str = "CAST(NULL AS VARCHAR)") -> str:

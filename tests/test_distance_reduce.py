@@ -96,6 +96,29 @@ def test_cluster_indices(spark, signal, long):
     assert DI.c_index(pairs).first()[0] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("tile, buckets, chunk", [(4, 3, None), (None, 4096, None), (8, 16, 3)])
+def test_indices_from_tiles(spark, monkeypatch, tile, buckets, chunk):
+    """Small integers, so many tied distances; one sample without a label; samples of several feature chunks."""
+    rng = np.random.default_rng(5)
+    x, label = rng.integers(0, 3, (25, 6)).astype(float), rng.integers(0, 3, 25)
+    names = [None if k == 7 else f"c{c}" for k, c in enumerate(label)]
+    rows = [(f"s{k:02d}", names[k], j, float(x[k, j])) for k in range(25) for j in range(6)]
+    long = spark.createDataFrame(rows, "sampleId string, pop string, idx int, w double")
+    if chunk:
+        monkeypatch.setattr(DI, "sample_rows", lambda *a, own=DI.sample_rows: own(*a, chunk=chunk))
+    pairs = [(np.linalg.norm(x[a] - x[b]), names[a] is not None and names[a] == names[b]) for a in range(25) for b in range(a)]
+    dist, same = np.array([d for d, _ in pairs]), np.array([m for _, m in pairs])
+    nw, s = same.sum(), np.sort(dist)
+    got = DI.pair_indices(long.filter("pop IS NOT NULL") if chunk else long, "pop", tile=tile, buckets=buckets).first()
+    if chunk:
+        known = np.array([a != 7 and b != 7 for a in range(25) for b in range(a)])
+        dist, same = dist[known], same[known]
+        s = np.sort(dist)
+    assert got["dunn"] == pytest.approx(dist[~same].min() / dist[same].max())
+    assert got["c_index"] == pytest.approx((dist[same].sum() - s[:nw].sum()) / (s[-nw:].sum() - s[:nw].sum()), abs=1e-9)
+    assert tuple(DI.pair_indices(long.limit(0), "pop").first()) == (None, None)
+
+
 def test_sum_of_smallest_with_ties(spark):
     values = [0.0, 1.0, 1.0, 1.0, 1.0, 2.0, 5.0]
     pairs = spark.createDataFrame([(v,) for v in values], "dist double")
