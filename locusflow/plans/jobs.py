@@ -316,9 +316,9 @@ def evaluation_report_job(
         cells = F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), F.col(c).alias("w")) for i, c in enumerate(features)]))
         long = predictions.select(key, F.col(predicted).alias("cluster"), cells.alias("_c")).select(key, "cluster", "_c.idx", "_c.w")
         long = cut_lineage(long)
-        pairs = cut_lineage(DI.labelled_distances(long, "cluster", key))
+        indices = DI.pair_indices(long, "cluster", key)
         for name, table in (
-            ("calinski_harabasz", DI.calinski_harabasz(long, "cluster", key)), ("dunn", DI.dunn(pairs)), ("c_index", DI.c_index(pairs)),
+            ("calinski_harabasz", DI.calinski_harabasz(long, "cluster", key)), ("dunn", indices.select("dunn")), ("c_index", indices.select("c_index")),
         ):
             report = report.unionByName(M.as_long(table, name))
     return report

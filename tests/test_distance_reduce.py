@@ -4,6 +4,7 @@ from locusflow.operators import distance as DI
 from locusflow.operators import reduce as R
 from locusflow.operators import reshape as RS
 from locusflow.operators.sampling import frame_split
+from locusflow.plans import jobs
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -119,6 +120,24 @@ def test_indices_from_tiles(spark, monkeypatch, tile, buckets, chunk):
     assert tuple(DI.pair_indices(long.limit(0), "pop").first()) == (None, None)
 
 
+def test_report_with_features(spark):
+    """The three indices of the clusters stand in the report, over the Euclidean distances of the features."""
+    rng = np.random.default_rng(6)
+    x, label = rng.normal(size=(24, 3)), np.arange(24) % 3
+    x[label == 1] += 2.0
+    rows = [(f"s{k}", f"r{label[k]}", f"r{label[k]}", *map(float, x[k])) for k in range(24)]
+    frame = spark.createDataFrame(rows, "SampleId string, Region string, prediction string, a double, b double, c double")
+    got = {r["metric"]: r["value"] for r in jobs.evaluation_report_job(frame, features=("a", "b", "c")).collect()}
+    dist = np.array([np.linalg.norm(x[a] - x[b]) for a in range(24) for b in range(a)])
+    same = np.array([label[a] == label[b] for a in range(24) for b in range(a)])
+    s, nw = np.sort(dist), same.sum()
+    centres = np.array([x[label == c].mean(axis=0) for c in range(3)])
+    within, between = ((x - centres[label]) ** 2).sum(), 8 * ((centres - x.mean(axis=0)) ** 2).sum()
+    assert got["dunn"] == pytest.approx(dist[~same].min() / dist[same].max())
+    assert got["c_index"] == pytest.approx((dist[same].sum() - s[:nw].sum()) / (s[-nw:].sum() - s[:nw].sum()))
+    assert got["calinski_harabasz"] == pytest.approx((between / 2) / (within / 21))
+
+
 def test_sum_of_smallest_with_ties(spark):
     values = [0.0, 1.0, 1.0, 1.0, 1.0, 2.0, 5.0]
     pairs = spark.createDataFrame([(v,) for v in values], "dist double")
