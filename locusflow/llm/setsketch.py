@@ -270,25 +270,66 @@ def _late_links(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     )
-    bodies = texts.toDF("b", "text").join(classes.select(F.col("rep").alias("b"), "sketch"), "b")
-    columns = ["at", "own", "b", "component", "n_shingles", "sketch", "text"]
-    tiles = spread.join(bodies, "b").select("band", "low", "high", *columns).groupBy("band", "low", "high")
-    return tiles.applyInPandas(_tile(words, percent, bands), "a long, b long")
+    sides = classes.select(F.col("rep").alias("b"), "sketch")
+    tile, rows = ["band", "low", "high"], ["at", "own", "b", "component", "n_shingles"]
+    # Sketches first: only members with a likely partner in their tile send their texts there.
+    likely = spread.join(sides, "b").select(*tile, *rows, "sketch").groupBy(*tile).applyInPandas(
+        _likely_members(percent, bands), "band long, low int, high int, at int, own int, b long, component long, n_shingles long"
+    )
+    likely = stored(likely, "near")
+    full = likely.join(sides, "b").join(texts.toDF("b", "text"), "b").select(*tile, *rows, "sketch", "text")
+    return full.groupBy(*tile).applyInPandas(_tile(words, percent, bands), "a long, b long")
 
 
-def _tile(words: int, percent: int, bands: int):
+def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.sort_values(["own", "b"], ignore_index=True)
+
+
+def _partners(key: tuple, frame: pd.DataFrame, percent: int, bands: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a tile with their later rows, likeliest first, that sketches do not rule out and that lie in another component.
+
+    A pair belongs to the first band its sketches share, and to one tile.
+    """
     similarity = percent / 100
+    part, size, chunk = (frame[c].to_numpy() for c in ("component", "n_shingles", "own"))
+    marks = np.stack([np.frombuffer(x, np.uint8) for x in frame["sketch"]])
+    keys = np.ascontiguousarray(marks[:, : marks.shape[1] // bands * bands]).view(f"V{marks.shape[1] // bands}")
+    _, keys = np.unique(keys, return_inverse=True)  # equal band values as equal numbers
+    keys = keys.reshape(len(frame), bands)
+    least = similarity - SLACK * np.sqrt(similarity * (1 - similarity) / marks.shape[1])
+    band, both = int(frame["at"].iloc[0]), key[1] != key[2]
+    for i in range(len(frame)):
+        rest = np.arange(i + 1, len(frame))
+        rest = rest[(part[rest] != part[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))]
+        if both:
+            rest = rest[chunk[rest] != chunk[i]]
+        if len(rest) and band:
+            rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
+        if not len(rest):
+            continue
+        found = joint_similarity(np.broadcast_to(marks[i], (len(rest), marks.shape[1])), marks[rest], np.full(len(rest), size[i]), size[rest])
+        likely = np.flatnonzero(found >= least)
+        if len(likely):
+            yield i, rest[likely[np.argsort(-found[likely], kind="stable")]]
 
+
+def _likely_members(percent: int, bands: int):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = _ordered(frame)
+        kept = np.zeros(len(frame), dtype=bool)
+        for i, others in _partners(key, frame, percent, bands):
+            kept[i] = True
+            kept[others] = True
+        return frame.loc[kept, ["band", "low", "high", "at", "own", "b", "component", "n_shingles"]]
+
+    return run
+
+
+def _tile(words: int, percent: int, bands: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["own", "b"], ignore_index=True)
-        ids, part, size, chunk = (frame[c].to_numpy() for c in ("b", "component", "n_shingles", "own"))
-        marks = np.stack([np.frombuffer(x, np.uint8) for x in frame["sketch"]])
-        keys = np.ascontiguousarray(marks[:, : marks.shape[1] // bands * bands]).view(f"V{marks.shape[1] // bands}")
-        _, keys = np.unique(keys, return_inverse=True)  # equal band values as equal numbers
-        keys = keys.reshape(len(frame), bands)
-        least = similarity - SLACK * np.sqrt(similarity * (1 - similarity) / marks.shape[1])
-        band, both = int(frame["at"].iloc[0]), key[1] != key[2]
-        sets = offsets = None
+        frame = _ordered(frame)
+        ids, part = frame["b"].to_numpy(), frame["component"].to_numpy()
+        sets, offsets = shingle_sets(frame["text"].tolist(), words)
         links = []
         joined = {c: c for c in part.tolist()}
 
@@ -298,21 +339,8 @@ def _tile(words: int, percent: int, bands: int):
                 c = joined[c]
             return c
 
-        for i in range(len(frame)):
-            # The pair belongs to the first band its sketches share, and to one tile.
-            rest = np.arange(i + 1, len(frame))
-            rest = rest[(part[rest] != part[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))]
-            if both:
-                rest = rest[chunk[rest] != chunk[i]]
-            if len(rest) and band:
-                rest = rest[~(keys[rest, :band] == keys[i, :band]).any(axis=1)]
-            if not len(rest):
-                continue
-            found = joint_similarity(np.broadcast_to(marks[i], (len(rest), marks.shape[1])), marks[rest], np.full(len(rest), size[i]), size[rest])
-            likely = np.flatnonzero(found >= least)
-            if len(likely) and sets is None:
-                sets, offsets = shingle_sets(frame["text"].tolist(), words)
-            for j in rest[likely[np.argsort(-found[likely], kind="stable")]].tolist():
+        for i, others in _partners(key, frame, percent, bands):
+            for j in others.tolist():
                 x, y = root(int(part[i])), root(int(part[j]))
                 if x != y and _similar(sets[offsets[i] : offsets[i + 1]], sets[offsets[j] : offsets[j + 1]], percent):
                     joined[max(x, y)] = min(x, y)
