@@ -3,62 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, one_value
+from ..session import cut_lineage, one_value
+from . import halves as H
 from .catalog import row_stats
 
 SEED = 1234
 
 
 def half_subsamples(samples: DataFrame, reps: int | None = None, key: str = "sampleId") -> DataFrame:
-    """``reps`` random halves of the samples (default: half as many as there are samples).
+    """``reps`` random halves of the samples (default: half as many as there are samples), one row per member.
 
     A subset takes the samples with the smallest hash of (repeat, id), so it is repeatable and needs no
-    random state.
+    random state. Statistics over the subsets take :func:`halves.half_masks` and form no such rows.
     """
-    total = one_value(samples.agg(F.count_distinct(key)))
-    half = F.floor(total / 2)
-    last = half if reps is None else F.lit(reps).cast("bigint")
-    drawn = samples.select(key).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1).cast("bigint"), last)))
-    order = W.partitionBy("rep").orderBy(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col(key))), F.col(key))
-    ranked = drawn.withColumn("_r", F.row_number().over(order))
-    return ranked.filter(F.col("_r") <= half).select("rep", key)
+    return H.members(H.half_masks(samples, reps, key))
+
+
+def _variance(n: str = "n", s: str = "s", q: str = "q") -> Column:
+    n, s, q = F.col(n), F.col(s), F.col(q)
+    return F.when(n > 1, F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
 
 
 def subsample_column_stats(
-    long: DataFrame, subsamples: DataFrame, sample_col: str = "sampleId", variant: str = "idx", value: str = "dosage"
+    long: DataFrame, masks: DataFrame, sample_col: str = "sampleId", variant: str = "idx", value: str = "dosage"
 ) -> DataFrame:
-    """Mean and sample variance per variant in each subset."""
-    joined = long.join(broadcast_if_small(subsamples), sample_col)
-    return joined.groupBy("rep", variant).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"))
+    """Mean and sample variance per variant in each subset; ``masks`` from :func:`halves.half_masks`."""
+    sums = H.column_sums(long, masks, sample_col, variant, value)
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    return sums.select("rep", variant, mean.alias("mean"), _variance().alias("variance"))
 
 
 def subsample_row_stats(
-    long: DataFrame, subsamples: DataFrame, sample_col: str = "sampleId", value: str = "dosage"
+    long: DataFrame, masks: DataFrame, sample_col: str = "sampleId", value: str = "dosage"
 ) -> DataFrame:
     """Mean and deviation per sample in each subset.
 
-    A row does not depend on which subset it is in, so the rows are summed once and then repeated.
+    A row does not depend on which subset it is in, so the rows are summed once; only the result repeats them.
     """
     stats = row_stats(long, sample_col, value)
-    return subsamples.join(stats, sample_col).select("rep", sample_col, "mean", "stddev")
+    return H.members(masks.join(stats, sample_col)).select("rep", sample_col, "mean", "stddev")
 
 
 def find_outliers(
-    long: DataFrame, subsamples: DataFrame, z: float = 3.0, sample_col: str = "sampleId", variant: str = "idx", value: str = "dosage"
+    long: DataFrame, masks: DataFrame, z: float = 3.0, sample_col: str = "sampleId", variant: str = "idx", value: str = "dosage"
 ) -> DataFrame:
     """Samples whose mean lies more than ``z`` standard deviations from the subset average.
 
     The centre and spread are those of the sample means inside the subsets, averaged over the subsets.
     """
-    means = row_stats(long, sample_col, value).select(sample_col, "mean")
-    per_rep = subsamples.join(means, sample_col).groupBy("rep").agg(
-        F.avg("mean").alias("m"), F.stddev_samp("mean").alias("sd")
-    )
-    centre, spread = one_value(per_rep.agg(F.avg("m"))), one_value(per_rep.agg(F.avg("sd")))
-    scored = means.withColumn("zscore", (F.col("mean") - centre) / spread)
+    means = cut_lineage(row_stats(long, sample_col, value).select(sample_col, "mean"))
+    # Sums are taken about the overall mean, so that squares lose no digits.
+    shift = one_value(means.agg(F.avg("mean")))
+    sums = H.value_sums(masks.join(means.select(sample_col, (F.col("mean") - shift).alias("_m")), sample_col), "_m")
+    per_rep = sums.select((F.col("s") / F.col("n")).alias("m"), F.sqrt(_variance()).alias("sd"))
+    found = cut_lineage(per_rep.agg(F.avg("m").alias("m"), F.avg("sd").alias("sd")))  # one row
+    scored = means.withColumn("zscore", (F.col("mean") - shift - one_value(found.select("m"))) / one_value(found.select("sd")))
     return scored.filter(F.abs("zscore") > z).select(sample_col, "zscore")
 
 

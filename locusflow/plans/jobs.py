@@ -21,6 +21,7 @@ from ..operators import metrics as M
 from ..operators import reduce as R
 from ..operators import reshape as RS
 from ..operators import sampling as Q
+from ..operators.halves import half_masks
 from ..session import broadcast_if_small, cut_lineage
 from ..sources import writers as W
 from ..sources.params import JobParams, load_job_params
@@ -193,7 +194,7 @@ def stratify(calls: DataFrame, catalog: DataFrame, panel: DataFrame, params: Job
         picked = located.join(kept.withColumnRenamed("idx", "snpIdx"), ["contig", "snpIdx"], "left_semi")
         long = picked.select("sampleId", "variantId", "altCount")
     if params.outliers:
-        halves = cut_lineage(Q.half_subsamples(long))
+        halves = half_masks(long)
         result.outliers = cut_lineage(Q.find_outliers(long, halves, variant="variantId", value="altCount"))
         long = Q.drop_outliers(long, result.outliers)
     if params.dim_reduction:

@@ -11,6 +11,7 @@ from ..operators import calls as P
 from ..operators import catalog as A
 from ..operators import reshape as RS
 from ..operators import sampling as Q
+from ..operators.halves import half_masks
 from ..plans import jobs as J
 from .base import DOSE, ID3, NONREF, query, r6, rounded
 from .q_calls import CATALOG_SQL, DOSE_COUNT, FEATURES, N_RAW, WIDE_SQL, _wide
@@ -378,37 +379,37 @@ def _(spark, sf):
     return Q.half_subsamples(X.panel(spark, sf))
 
 
-TEN = HALVES.format(view="dense", reps=10)
+DENSE_HALVES = HALVES.format(view="dense", reps="(SELECT count(DISTINCT sampleId) // 2 FROM dense)")
 
 
 @query(
     "subsample_column_stats", "dense",
-    sql=f"SELECT rep, idx, round(avg(dosage), 6) AS mean, round(var_samp(dosage), 6) AS variance FROM dense JOIN ({TEN}) h USING (sampleId) GROUP BY rep, idx",
+    sql=f"SELECT rep, idx, round(avg(dosage), 6) AS mean, round(var_samp(dosage), 6) AS variance FROM dense JOIN ({DENSE_HALVES}) h USING (sampleId) GROUP BY rep, idx",
 )
 def _(spark, sf):
     long = X.dense(spark, sf)
-    return rounded(Q.subsample_column_stats(long, Q.half_subsamples(long, 10)), "mean", "variance")
+    return rounded(Q.subsample_column_stats(long, half_masks(long)), "mean", "variance")
 
 
 @query(
     "subsample_row_stats", "dense",
     sql=f"""SELECT rep, sampleId, round(avg(dosage), 6) AS mean, round(stddev_samp(dosage), 6) AS stddev
-    FROM dense JOIN ({TEN}) h USING (sampleId) GROUP BY rep, sampleId""",
+    FROM dense JOIN ({DENSE_HALVES}) h USING (sampleId) GROUP BY rep, sampleId""",
 )
 def _(spark, sf):
     long = X.dense(spark, sf)
-    return rounded(Q.subsample_row_stats(long, Q.half_subsamples(long, 10)), "mean", "stddev")
+    return rounded(Q.subsample_row_stats(long, half_masks(long)), "mean", "stddev")
 
 
 OUTLIERS = f"""SELECT m.sampleId, (m.mean - b.centre) / b.spread AS z FROM (SELECT sampleId, avg(dosage) AS mean FROM dense GROUP BY sampleId) m,
   (SELECT avg(m) AS centre, avg(sd) AS spread FROM (SELECT rep, avg(mean) AS m, stddev_samp(mean) AS sd
-    FROM ({TEN}) h JOIN (SELECT sampleId, avg(dosage) AS mean FROM dense GROUP BY sampleId) s USING (sampleId) GROUP BY rep) r) b"""
+    FROM ({DENSE_HALVES}) h JOIN (SELECT sampleId, avg(dosage) AS mean FROM dense GROUP BY sampleId) s USING (sampleId) GROUP BY rep) r) b"""
 
 
 @query("find_outliers", "dense", sql=f"SELECT sampleId, round(z, 6) AS zscore FROM ({OUTLIERS}) o WHERE abs(z) > 2")
 def _(spark, sf):
     long = X.dense(spark, sf)
-    return rounded(Q.find_outliers(long, Q.half_subsamples(long, 10), 2.0), "zscore")
+    return rounded(Q.find_outliers(long, half_masks(long), 2.0), "zscore")
 
 
 @query(
@@ -417,7 +418,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     long = X.dense(spark, sf)
-    kept = Q.drop_outliers(long, Q.find_outliers(long, Q.half_subsamples(long, 10), 2.0))
+    kept = Q.drop_outliers(long, Q.find_outliers(long, half_masks(long), 2.0))
     return rounded(kept.select("sampleId", "idx", "w"), "w")
 
 
