@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
-from ..session import broadcast_if_small, cut_lineage, one_value
+from ..session import broadcast_if_rows, broadcast_if_small, cut_lineage, one_value
 from .calls import (
     SITE,
     VARIANT,
@@ -20,7 +20,7 @@ from .calls import (
 
 #: Positions per numbering bucket. A bucket holds at most this many sites per allele pair.
 NUMBERING_SPAN = 1 << 16
-#: Samples per chunk of a genotype list, variants per chunk of a sample vector.
+#: Entries per chunk of a genotype list or a sample vector.
 LIST_CHUNK = 1 << 16
 
 
@@ -84,22 +84,42 @@ def select_by_allele_counts(
     )
 
 
+def _ordered_chunks(entries: DataFrame, by: list[str], key: str, chunk: int, out: str) -> DataFrame:
+    """Sorted distinct entries ``e`` per group, cut into consecutive chunks of ``chunk`` entries; the last may be shorter.
+
+    Keys are numbered in their order and cut into buckets. A group's list is gathered per bucket, and the running sizes of its
+    buckets say which chunks an entry falls into. So chunks put together give one list whatever ``chunk`` is, and no task
+    holds more of a group than a bucket or a chunk. With a single bucket, its list is cut in place.
+    """
+    keys = cut_lineage(entries.select(F.col("e")[key].alias("_key")).distinct())
+    total = keys.count()
+    gather = F.array_sort(F.collect_set("e")).alias("_l")
+    if total <= chunk:
+        lists = entries.groupBy(*by).agg(gather).withColumn("_o", F.lit(0).cast("bigint"))
+    else:
+        buckets = row_index(keys, "_key", out="_n").select("_key", F.floor(F.col("_n") / chunk).alias("_b"))
+        placed = entries.join(broadcast_if_rows(buckets, total), F.col("e")[key].eqNullSafe(F.col("_key")))
+        lists = placed.groupBy(*by, "_b").agg(gather)
+        lists = lists.withColumn("_o", F.sum(F.size("_l")).over(W.partitionBy(*by).orderBy("_b")) - F.size("_l"))
+    first, last = (F.floor(c / chunk).cast("int") for c in (F.col("_o"), F.col("_o") + F.size("_l") - 1))
+    cut = lists.withColumn("chunk", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("chunk") * F.lit(chunk).cast("bigint") - F.col("_o"), F.lit(0)).cast("int")
+    end = F.least((F.col("chunk") + 1) * F.lit(chunk).cast("bigint") - F.col("_o"), F.size("_l")).cast("int")
+    cut = cut.select(*by, "chunk", "_o", F.slice("_l", begin + 1, end - begin).alias(out))
+    if total <= chunk:
+        return cut.drop("_o")
+    parts = F.array_sort(F.collect_list(F.struct("_o", out)))
+    return cut.groupBy(*by, "chunk").agg(F.flatten(F.transform(parts, lambda p: p[out])).alias(out))
+
+
 def genotype_list(calls: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:
-    """Sorted ``id:dosage`` lists per variant.
+    """Sorted ``id:dosage`` lists per variant, in consecutive chunks of ``chunk`` entries.
 
-    A list is split over several rows once the cohort outgrows ``chunk`` samples, and gathering into
-    sets folds repeated calls before the shuffle, so no row or task ever holds an unbounded group.
+    Gathering into sets folds repeated calls before the shuffle, so no row or task ever holds an unbounded group.
     """
-    chunks = F.ceil(sample_total(calls) / F.lit(float(chunk)))
     entry = F.struct(F.col("sampleId").alias("id"), G.dosage("alleles").alias("dosage"))
-    return (
-        calls.select(*VARIANT, F.pmod(F.xxhash64("sampleId"), chunks).cast("int").alias("chunk"), entry.alias("e"))
-        .groupBy(*VARIANT, "chunk")
-        .agg(F.array_sort(F.collect_set("e")).alias("entries"))
-        .select(
-            *VARIANT, "chunk", F.transform("entries", lambda e: G.genotype_text(e["id"], e["dosage"])).alias("genotype")
-        )
-    )
+    lists = _ordered_chunks(calls.select(*VARIANT, entry.alias("e")), VARIANT, "id", chunk, "_e")
+    return lists.select(*VARIANT, "chunk", F.transform("_e", lambda e: G.genotype_text(e["id"], e["dosage"])).alias("genotype"))
 
 
 def attach_genotypes(catalog: DataFrame, calls: DataFrame) -> DataFrame:
@@ -182,28 +202,14 @@ def sample_variant_dosage(
 
 
 def sample_vectors(
-    long: DataFrame,
-    variant_col: str = "variantId",
-    value_col: str = "altCount",
-    variant_total: Column | None = None,
-    chunk: int = LIST_CHUNK,
+    long: DataFrame, variant_col: str = "variantId", value_col: str = "altCount", chunk: int = LIST_CHUNK
 ) -> DataFrame:
-    """Per sample the variants in order with their values, split in chunks of bounded length.
+    """Per sample the variants in order with their values, in consecutive chunks of ``chunk`` entries.
 
     Repeated rows fold into one entry before the shuffle.
     """
-    if variant_total is None:
-        variant_total = one_value(long.agg(F.count_distinct(variant_col)))
-    chunks = F.ceil(variant_total / F.lit(float(chunk)))
-    return (
-        long.withColumn("chunk", F.pmod(F.xxhash64(variant_col), chunks).cast("int"))
-        .groupBy("sampleId", "chunk")
-        .agg(
-            F.array_sort(
-                F.collect_set(F.struct(F.col(variant_col).alias("variant"), F.col(value_col).alias("value")))
-            ).alias("variants")
-        )
-    )
+    entry = F.struct(F.col(variant_col).alias("variant"), F.col(value_col).alias("value"))
+    return _ordered_chunks(long.select("sampleId", entry.alias("e")), ["sampleId"], "variant", chunk, "variants")
 
 
 def region_count(df: DataFrame, column: str = "Region") -> DataFrame:

@@ -68,6 +68,39 @@ def test_chunked_lists_hold_everything(hot, chunk):
         assert max(r["chunk"] for r in lists) > 0 and max(r["chunk"] for r in vectors) > 0
 
 
+def joined_chunks(rows, keys, column, chunk):
+    """Lists put together, after a check that chunks are consecutive and full but for the last."""
+    parts = {}
+    for r in rows:
+        parts.setdefault(tuple(r[k] for k in keys), {})[r["chunk"]] = r[column]
+    for chunks in parts.values():
+        assert sorted(chunks) == list(range(len(chunks)))
+        assert all(len(chunks[c]) == chunk for c in range(len(chunks) - 1)) and 0 < len(chunks[len(chunks) - 1]) <= chunk
+    return {k: [x for c in sorted(chunks) for x in chunks[c]] for k, chunks in parts.items()}
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 20, 1000])
+def test_chunks_keep_the_order(spark, chunk):
+    """Several values per key, repeated rows, null keys and a sample that holds a third of the rows."""
+    rng = np.random.default_rng(8)
+    rows = [(f"s{int(s)}", f"v{int(v):02d}", int(d)) for s, v, d in zip(rng.integers(0, 9, 200), rng.integers(0, 40, 200), rng.integers(0, 3, 200))]
+    rows += [("s0", f"v{v:02d}", v % 3) for v in range(40)] * 3 + [("s1", None, 1), (None, "v01", 2)]
+    long = spark.createDataFrame(rows, "sampleId string, variantId string, altCount int")
+    got = joined_chunks(A.sample_vectors(long, chunk=chunk).collect(), ["sampleId"], "variants", chunk)
+    order = lambda pair: (pair[0] is not None, pair[0] or "", pair[1])
+    assert {k: [tuple(e) for e in v] for k, v in got.items()} == {
+        (s,): sorted({(v, d) for t, v, d in rows if t == s}, key=order) for s in {r[0] for r in rows}
+    }
+    calls = long.select(
+        F.lit("1").alias("contig"), F.lit(5).cast("long").alias("start"), F.lit("A").alias("ref"), F.col("variantId").alias("alt"), "sampleId",
+        F.array(*[F.when(F.col("altCount") > k, "Alt").otherwise("Ref") for k in (0, 1)]).alias("alleles"),
+    ).where("sampleId is not null")
+    got = joined_chunks(A.genotype_list(calls, chunk).collect(), P.VARIANT, "genotype", chunk)
+    assert got == {
+        ("1", 5, "A", v): [f"{s}:{d}" for s, d in sorted({(s, d) for s, w, d in rows if w == v and s is not None})] for v in {r[1] for r in rows}
+    }
+
+
 @pytest.mark.parametrize("span", [1, 7, 1 << 16])
 def test_snp_index_is_dense_and_ordered(hot, span):
     calls, _ = hot
