@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import ld as LD
 from ..session import broadcast_if_small, cut_lineage, scratch_path
 from . import tiles as TL
-from .catalog import sample_index
+from .catalog import row_index, sample_index
 
 #: Samples per chunk of a SNP vector; counts of several chunks are added up.
 SAMPLE_CHUNK = 1 << 20
 #: Neighbouring SNPs that the greedy scan never separates, and edges up to which segments are settled in one task.
 SEGMENT, GROUP_EDGES = 256, 1 << 18
+#: Sites per tile of the pair join.
+PAIR_TILE = 1024
 #: Grid points in one mask.
 MASK_BITS = 62
 
@@ -112,22 +114,60 @@ def pair_counts(
     return counted
 
 
+def position_tiles(sites: DataFrame, tile: int) -> DataFrame:
+    """Sites (contig, idx, pos) with the number of their tile: ``tile`` neighbours in order of position, however crowded."""
+    ordered = row_index(sites, "contig", "pos", "idx", out="_n")
+    return cut_lineage(ordered.withColumn("tile", F.floor(F.col("_n") / tile).cast("long")).drop("_n"))
+
+
+def neighbour_tiles(tiled: DataFrame, max_bp: int, max_n: int | None = None) -> DataFrame:
+    """Tile pairs (contig, t, u), ``u <= t``, that can hold a pair inside the window.
+
+    One sweep per contig over the ends of the tiles finds the first tile that reaches into the halo of each; all in between
+    belong to it, as tiles follow position. One row per tile is swept, not one per site.
+    """
+    meta = cut_lineage(
+        tiled.groupBy("contig", "tile").agg(
+            F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("idx").alias("first_n"), F.max("idx").alias("last_n")
+        )
+    )
+    none = F.lit(None).cast("long")
+    ends = meta.select("contig", F.col("last_pos").alias("p"), F.col("tile").alias("end_of"), none.alias("t")).unionByName(
+        meta.select("contig", (F.col("first_pos") - max_bp).alias("p"), none.alias("end_of"), F.col("tile").alias("t"))
+    )
+    onwards = Window.partitionBy("contig").orderBy("p").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    reach = ends.withColumn("_u", F.min("end_of").over(onwards)).where(F.col("t").isNotNull())
+    pairs = reach.select("contig", "t", F.explode(F.sequence(F.least("_u", "t"), F.col("t"))).alias("u"))
+    if max_n is None:
+        return pairs
+    side = lambda name: meta.select("contig", F.col("tile").alias(name), F.col("first_n").alias(f"{name}_first"), F.col("last_n").alias(f"{name}_last"))
+    met = pairs.join(side("t"), ["contig", "t"]).join(side("u"), ["contig", "u"])
+    near = (F.col("t_first") - F.col("u_last") <= max_n) & (F.col("u_first") - F.col("t_last") <= max_n)
+    return met.where(near).select("contig", "t", "u")
+
+
 def window_pair_join(
-    snps: DataFrame, max_bp: int = 500_000, max_n: int | None = None, idx: str = "idx", pos: str = "start"
+    snps: DataFrame, max_bp: int = 500_000, max_n: int | None = None, idx: str = "idx", pos: str = "start", tile: int = PAIR_TILE
 ) -> DataFrame:
-    """Pairs ``j < i`` with both gaps inside the window, by an equi-join on position buckets."""
-    width = max_bp + 1
-    sites = snps.select("contig", F.col(idx).alias("idx"), F.col(pos).alias("pos")).withColumn(
-        "_b", F.floor(F.col("pos") / width)
-    )
-    later = sites.select("contig", F.col("idx").alias("i"), F.col("pos").alias("pos_i"),
-                         F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
-    earlier = sites.select("contig", F.col("idx").alias("j"), F.col("pos").alias("pos_j"), "_b")
-    gap = F.col("i") - F.col("j")
-    close = (gap > 0) & (F.abs(F.col("pos_i") - F.col("pos_j")) <= max_bp)
+    """Pairs ``j < i`` with both gaps inside the window; sites without number, position or contig have none.
+
+    Sites are sorted into ranges and cut by count, and tiles meet those in their halo by an equi-join on the tile pair, so a
+    crowded stretch of a contig becomes many keys of bounded size instead of one hot bucket.
+    """
+    sites = snps.select("contig", F.col(idx).alias("idx"), F.col(pos).alias("pos")).dropna()
+    tiled = position_tiles(sites, tile)
+    pairs = neighbour_tiles(tiled, max_bp, max_n)
+    later = tiled.select("contig", F.col("tile").alias("t"), F.col("idx").alias("x"), F.col("pos").alias("pos_x")).join(pairs, ["contig", "t"])
+    earlier = tiled.select("contig", F.col("tile").alias("u"), F.col("idx").alias("y"), F.col("pos").alias("pos_y")).join(pairs, ["contig", "u"])
+    close = (F.col("x") != F.col("y")) & (F.abs(F.col("pos_x") - F.col("pos_y")) <= max_bp)
+    close = close & ((F.col("t") != F.col("u")) | (F.col("x") > F.col("y")))  # inside a tile both orders meet
     if max_n is not None:
-        close = close & (gap <= max_n)
-    return later.join(earlier, ["contig", "_b"]).filter(close).drop("_b")
+        close = close & (F.abs(F.col("x") - F.col("y")) <= max_n)
+    ahead = F.col("x") > F.col("y")
+    return later.join(earlier, ["contig", "t", "u"]).filter(close).select(
+        "contig", F.greatest("x", "y").alias("i"), F.when(ahead, F.col("pos_x")).otherwise(F.col("pos_y")).alias("pos_i"),
+        F.least("x", "y").alias("j"), F.when(ahead, F.col("pos_y")).otherwise(F.col("pos_x")).alias("pos_j"),
+    )
 
 
 def ld_value(counts: DataFrame, method: str, out: str = "ld") -> DataFrame:

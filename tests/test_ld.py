@@ -229,3 +229,30 @@ def test_contradicting_calls_do_not_depend_on_row_order(spark):
     schema = "contig string, idx int, start long, sampleId string, dosage int"
     found = [L.pair_counts(L.snp_vectors(spark.createDataFrame(r, schema).coalesce(1)), 100).collect() for r in (rows, rows[::-1])]
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("max_n", [None, 6])
+@pytest.mark.parametrize("tile", [1, 5, 1024])
+def test_pair_join_in_crowded_and_empty_stretches(spark, tile, max_n):
+    """Most sites in a few positions, wide gaps, equal positions, numbers against the order of positions, nulls."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for contig, n in (("1", 90), ("2", 7), ("3", 1)):
+        spots = np.where(rng.random(n) < 0.6, rng.integers(5000, 5040, n), rng.integers(0, 200_000, n))
+        rows += [(contig, int(i), int(p)) for i, p in zip(rng.permutation(n), spots)]
+    df = spark.createDataFrame([*rows, ("1", None, 5000), ("1", 500, None), (None, 3, 5000)], "contig string, idx long, start long")
+    got = sorted(tuple(r) for r in L.window_pair_join(df, 25, max_n, tile=tile).collect())
+    assert got == sorted(
+        (c, i, p, j, q) for c, i, p in rows for d, j, q in rows if c == d and i > j and abs(p - q) <= 25 and (max_n is None or i - j <= max_n)
+    )
+
+
+def test_crowded_stretch_is_split_by_count(spark):
+    """No key of the join holds more than two tiles of sites, and tiles beyond the halo do not meet."""
+    rows = [("1", k, 1000 + k // 50) for k in range(1000)] + [("1", 1000 + k, 10_000_000 * (k + 1)) for k in range(200)]
+    tiled = L.position_tiles(spark.createDataFrame(rows, "contig string, idx long, pos long"), 20)
+    assert {r["count"] for r in tiled.groupBy("contig", "tile").count().collect()} == {20}
+    pairs = {(r["t"], r["u"]) for r in L.neighbour_tiles(tiled, 3).collect()}
+    ends = {t: (min(p), max(p)) for t in range(60) for p in [[r[2] for r in rows[20 * t : 20 * t + 20]]]}
+    assert pairs == {(t, u) for t in ends for u in range(t + 1) if t == u or ends[t][0] - ends[u][1] <= 3}
+    assert len(pairs) < 50 * 12 + 11
