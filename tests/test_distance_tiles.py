@@ -74,3 +74,29 @@ def test_centred_matrix_is_not_stored(spark, monkeypatch, metric, p):
     got = {r["b"]: np.array(r["q"]).reshape(7, 3) for r in matrix.times(blocks, 3).collect()}
     np.testing.assert_allclose(np.vstack([got[b] for b in range(4)])[:26], want[order][:, order] @ vectors[:26], atol=1e-9)
     assert R.mds_classic(long, metric, p, k=2).count() == 26
+
+
+def _pairs_of(df):
+    return sorted(((r["i"], r["j"]) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("tile", [None, 1, 7, 40, 5000])
+def test_all_pairs_once_and_in_order(spark, monkeypatch, tile):
+    monkeypatch.setattr(DI, "RUN_PAIRS", 24)
+    names = [f"S{k}" for k in range(37)] + ["", "s1", "Ä", "S1 "]
+    df = spark.createDataFrame([(x,) for x in names + names[:9]], "sampleId string").repartition(3)
+    want = sorted(names, key=str.encode)
+    assert _pairs_of(DI.all_pairs(df, tile=tile)) == sorted(((a, b) for k, a in enumerate(want) for b in want[k + 1 :]), key=repr)
+
+
+def test_all_pairs_with_few_or_null_keys(spark):
+    for names, want in (([], []), (["a"], []), ([None], []), (["b", None, "a", None], [("a", "a"), ("a", "b"), ("b", "b")])):
+        df = spark.createDataFrame([(x,) for x in names], "key string")
+        assert _pairs_of(DI.all_pairs(df, key="key")) == want
+
+
+def test_all_pairs_leaves_no_pair_to_python(spark, capsys):
+    df = spark.createDataFrame([(f"S{k}",) for k in range(30)], "sampleId string")
+    DI.all_pairs(df).explain()
+    plan = capsys.readouterr().out
+    assert "Generate" in plan and "InArrow" not in plan and "InPandas" not in plan
