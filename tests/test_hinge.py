@@ -101,3 +101,28 @@ def test_odd_tables(spark, table):
     assert {r["prediction"] for r in K.svm(one, cv=False).transform(one).collect()} == {0.0}
     twice = table.limit(1).unionByName(table.limit(1))
     assert K.svm(twice, folds=2).transform(twice).count() == 2
+
+
+def test_rows_are_spread_evenly_over_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(0, 100, 1, 7).select(RS.array_to_vector(F.array_repeat(F.lit(1.0), 4)).alias("features"), F.lit(0).alias("label"))
+    assert H.training_rows(few, "features", "label", 2, 25)[0].rdd.getNumPartitions() == 1
+    n = 2 * cores * H.LEAST_CELLS // 64
+    many = spark.range(0, n, 1, 1).select(
+        RS.array_to_vector(F.array_repeat(F.col("id").cast("double"), 64)).alias("features"), (F.col("id") % 3).alias("label")
+    )
+    rows, width = H.training_rows(many, "features", "label", 2, 25)
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert width == 64 and sum(sizes) == n and len(sizes) == cores and max(sizes) < 1.1 * n / cores
+
+
+def test_a_pass_works_on_bounded_blocks(spark):
+    rows = spark.range(0, 5000, 1, 3).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), (F.col("id") % 4).cast("int").alias("label"), F.lit(0).alias("fold"))
+    most = 512
+
+    def measure(x, label, fold):
+        assert len(x) <= most
+        return np.array([x[:, 0].sum(), len(x), label.sum()])
+
+    total = H._pass(rows, measure, 3, H.BLOCK_CELLS // most)
+    assert total.tolist() == [5000 * 4999 / 2, 5000, 7500]
