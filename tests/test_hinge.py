@@ -126,3 +126,9 @@ def test_a_pass_works_on_bounded_blocks(spark):
 
     total = H._pass(rows, measure, 3, H.BLOCK_CELLS // most)
     assert total.tolist() == [5000 * 4999 / 2, 5000, 7500]
+
+
+def test_vectors_of_different_length_are_refused(spark):
+    rows = spark.createDataFrame([([1.0, 2.0], 0, 0), ([1.0, 2.0, 3.0, 4.0], 1, 0)], "x array<double>, label int, fold int").coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        H._pass(rows, lambda x, label, fold: np.array([x.sum()]), 1, 1)
